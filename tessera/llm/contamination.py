@@ -33,6 +33,11 @@ BLOCK = 1_000_000
 
 
 
+def _low(texts: list[str | None]) -> list[str]:
+    """Lower case of all scripts, as items are often quoted in another case."""
+    return [(t or "").lower() for t in texts]
+
+
 def minima(sets: list[np.ndarray], functions: int) -> Iterator[np.ndarray]:
     """For each hash function the minimum over each set."""
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets[:-1]])]).astype(np.int64)
@@ -120,7 +125,7 @@ class Items:
 
 def _item_blocks(items: DataFrame, width: int, block: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
     def sets_of(rows: pa.Table) -> pa.Table:
-        sets = S.distinct(*S.sequence(*S.words(rows["text"].to_pylist()), width))
+        sets = S.distinct(*S.sequence(*S.words(_low(rows["text"].to_pylist())), width))
         return pa.table({"item_id": rows["item_id"], "n": pa.array([len(s) for s in sets], pa.int64()), "s": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     named = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
@@ -153,7 +158,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.75, width:
             index = Items(*held.value, least)
 
             def step(rows: pa.Table) -> pa.Table:
-                docs_of, words = rows["doc_id"].to_numpy(), rows["text"].to_pylist()
+                docs_of, words = rows["doc_id"].to_numpy(), _low(rows["text"].to_pylist())
                 found = []
                 for a, b in S.pieces(words):
                     hashes, starts = S.sequence(*S.words(words[a:b]), width)

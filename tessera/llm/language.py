@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from tessera.llm.sampling import held_out, per_class
 from tessera.llm.shared import mapper
@@ -183,7 +184,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by BUCKETS and the number of languages
     out = docs.drop("lang_pred", "score", "accepted")
-    schema = out.schema.add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
+    schema = StructType([*out.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("accepted", BooleanType())])
 
     def make():
         m = held.value

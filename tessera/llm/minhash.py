@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import shingles as S
 from tessera.llm.components import components
-from tessera.llm.shared import drop, in_batches, mapper, table, whole_groups
+from tessera.llm.shared import drop, mapper, passing, table, whole_groups
 
 #: Hash functions are ``BANDS * ROWS``. A pair at similarity 0.75 misses all bands with probability 2e-6.
 BANDS, ROWS = 24, 3
@@ -107,10 +107,10 @@ _SCANNED = "doc_id long, n_shingles long, d1 long, d2 long, minima array<int>, b
 _LINKED = "a long, b long"
 
 
-def _verify(percent: int, forest: bool) -> Callable:
+def _verify(percent: int, forest: bool, width: int) -> Callable:
     """Links within blocks. Rows arrive sorted by (k1, k2, k3, side): a block's few members (side 0) come before
     the others (side 1). Yields pairs of a few and another member of another label whose sets are similar enough;
-    with ``forest`` only such as join two labels that the block has not joined yet. A set is held as sorted hashes."""
+    with ``forest`` only such as join two labels that the block has not joined yet."""
 
     def block(ids: np.ndarray, sides: np.ndarray, labels: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
         found, joined = [], {}
@@ -157,7 +157,7 @@ def _verify(percent: int, forest: bool) -> Callable:
             k = np.stack([part[c].to_numpy() for c in keys])
             cut = np.flatnonzero(np.any(k[:, 1:] != k[:, :-1], axis=0)) + 1
             ids, sides, labels = part["id"].to_numpy(), part["side"].to_numpy(), part["label"].to_numpy()
-            sets = [np.frombuffer(x.as_py(), np.uint64) for x in part["shingles"]]
+            sets = list(sets_of(part["text"].to_pylist(), width))
             out = [p for a, b in zip([0, *cut], [*cut, len(ids)], strict=True) for p in block(ids[a:b], sides[a:b], labels[a:b], sets[a:b])]
             if out:
                 a, b = np.array(out, np.int64).T
@@ -167,17 +167,13 @@ def _verify(percent: int, forest: bool) -> Callable:
 
 
 def _confirm(rows: DataFrame, docs: DataFrame, width: int, percent: int, forest: bool) -> DataFrame:
-    """Confirmed links (a, b) from block rows (k1, k2, k3, side, id, label), sets made anew from the texts of the ids."""
-
-    def make() -> Callable:
-        return lambda t: pa.table({"id": t["doc_id"], "shingles": pa.array([s.tobytes() for s in sets_of(t["text"].to_pylist(), width)], pa.binary())})
-
-    wanted = rows.select(F.col("id").alias("doc_id")).distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-    sets = texts.mapInArrow(mapper(make), "id long, shingles binary")
-    full = rows.join(sets, "id").select("k1", "k2", "k3", "side", "id", "label", "shingles")
+    """Confirmed links (a, b) from block rows (k1, k2, k3, side, id, label). The texts of the ids travel, which
+    compress better than sets; those of all other documents are dropped before any shuffle."""
+    wanted = rows.select("id").distinct()
+    texts = passing(docs.where("doc_id is not null and text is not null"), "doc_id", wanted).select(F.col("doc_id").alias("id"), "text")
+    full = rows.join(texts, "id").select("k1", "k2", "k3", "side", "id", "label", "text")
     dealt = full.repartition("k1", "k2", "k3").sortWithinPartitions("k1", "k2", "k3", "side", "id")
-    return dealt.mapInArrow(_verify(percent, forest), _LINKED).distinct()
+    return dealt.mapInArrow(_verify(percent, forest, width), _LINKED).distinct()
 
 
 def _near(percent: int) -> Callable:

@@ -7,7 +7,9 @@ import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where ``spark.checkpoint.dir`` is unset, as in tests on one machine.
@@ -79,6 +81,50 @@ def in_batches(rows: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
+def _bits(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    x = ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return (x & np.uint64(size - 1)).astype(np.int64), ((x >> np.uint64(32)) & np.uint64(size - 1)).astype(np.int64)
+
+
+def bloom(ids: DataFrame, most: int = 1 << 26, parts: int = 8) -> np.ndarray:
+    """A Bloom filter, as a bit array, of the one long column of ``ids``: ten bits an id, ``most`` bits in all.
+
+    So its size has a bound; beyond it more other ids pass, which a later join drops.
+    """
+    size = 1 << max(10, min(most.bit_length() - 1, (10 * ids.count()).bit_length()))
+
+    def fill(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(size, bool)
+        for b in rows:
+            for at in _bits(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), size):
+                seen[at] = True
+        yield pa.record_batch({"bits": pa.array([np.packbits(seen).tobytes()], pa.binary())})
+
+    found = np.zeros(size // 8, np.uint8)
+    for row in ids.repartition(parts).mapInArrow(fill, "bits binary").toLocalIterator():
+        found |= np.frombuffer(bytes(row["bits"]), np.uint8)
+    return found
+
+
+def passing(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``rows`` whose ``key`` is, or may be, among ``ids``: a semi-join's work done before any shuffle."""
+    held = rows.sparkSession.sparkContext.broadcast(bloom(ids))
+
+    def make() -> Callable[[pa.Table], pa.Table]:
+        bits = np.unpackbits(held.value).view(bool)
+
+        def step(t: pa.Table) -> pa.Table:
+            x = pc.fill_null(t[key], 0).to_numpy().astype(np.int64)
+            a, b = _bits(x, len(bits))
+            return t.filter(pa.array(bits[a] & bits[b]))
+
+        return step
+
+    return rows.mapInArrow(mapper(make), rows.schema)
+
+
 def whole_groups(rows: Iterator[pa.RecordBatch], keys: list[str], limit: int = 1 << 23) -> Iterator[pa.Table]:
     """Tables of whole groups from rows that arrive sorted by ``keys``; a group may span batches."""
     rest: pa.Table | None = None

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessera.llm.sampling import held_out, per_class
 from tessera.llm.shared import mapper
@@ -283,4 +284,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         m = held.value
         return lambda rows: rows.append_column("toxicity", pa.array(m.score(rows["text"].to_pylist())))
 
-    return out.mapInArrow(mapper(make), out.schema.add("toxicity", "double"))
+    return out.mapInArrow(mapper(make), StructType([*out.schema.fields, StructField("toxicity", DoubleType())]))
