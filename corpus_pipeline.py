@@ -1,31 +1,75 @@
-"""A corpus pipeline of the operators in ``tessera.llm``."""
+"""A corpus pipeline: language ID, near dedup, substring dedup, benchmark decontamination and packing.
+
+Each stage reads what the one before it wrote, and decides by what its operator in
+``tessera.llm`` finds in that. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import language
+from tessera.llm.contamination import contaminated
 from tessera.llm.minhash import near_duplicates
+from tessera.llm.packing import pack_documents
+from tessera.llm.passages import repeated_passages, without_repeats
 from tessera.llm.shared import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with a score over the calibrated limit stay; lang is as predicted.
+
+    With no labelled document to learn from, no language can be told and nothing stays.
+    """
+    model = language.train(docs) if docs.where("lang is not null and text is not null").limit(1).count() else language.Model([], None, None, 1.0, 2.0)
+    if not model.languages:
+        return docs.limit(0)
+    found = language.identify(docs, model).where("accepted")
+    return found.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest doc_id; rows without doc_id stay."""
     gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
-STAGES: list[tuple[str, Stage]] = [("near_dedup", near_dedup)]
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that a document with a smaller doc_id has are cut; documents of which no word is left go."""
+    return without_repeats(docs, repeated_passages(docs))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    leaks = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as pieces with their places in sequences."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
 
-#: Language models, tokenizers and shingle verification are beyond SQL.
+#: A fitted model, a tokenizer and passages grown over edits are beyond SQL.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``; each result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = table(stage(spark, docs, sf_dir), name)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language, toxicity, urls, warc
+from tessera.llm import language, licences, toxicity, urls, warc
 from tessera.llm.contamination import contaminated
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.packing import pack_documents
@@ -38,12 +38,17 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_read(spark, sf_dir, "documents"))
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_read(spark, sf_dir, "documents"), licences.known_licences(spark))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(_read(spark, sf_dir, "pages"))
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(_read(spark, sf_dir, "pages"), URL_RULES)
+    labelled = spark.createDataFrame(urls.example_labels(), "url string, blocked boolean")
+    return urls.judge(_read(spark, sf_dir, "pages"), URL_RULES, labelled)
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_license_scans": licences.scan_sql()}

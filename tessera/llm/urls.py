@@ -157,6 +157,29 @@ def fit(urls: list[str], hosts: list[str], paths: list[str], blocked: np.ndarray
     return Model(Trees().fit(features(urls, hosts, paths, suffixes, prior), blocked.astype(float)), suffixes, prior)
 
 
+def example_labels(n: int = 1500, seed: int = 11) -> list[tuple[str, bool]]:
+    """Labelled URLs made by a rule, for use where no labels are at hand: plain ones of short spoken names, shallow
+    paths and at most two parameters, and blocked ones of hyphenated or digit-laden hosts, long random tokens and many parameters."""
+    rng = np.random.default_rng(seed)
+    syllables = [c + v for c in "bdfghklmnprstvw" for v in "aeiou"] + [v + c for v in "aeio" for c in "nrst"]
+    token = lambda size, of: "".join(rng.choice(list(of), size))
+    word = lambda: "".join(rng.choice(syllables, rng.integers(2, 5)))
+    ends = ["com", "net", "org", "info", "example.com", "example.net", "example.org"]
+    out: list[tuple[str, bool]] = []
+    for i in range(n):
+        if i % 2:
+            front = rng.choice(["", "www.", "blog.", "m."])
+            path = "/".join([*(rng.choice(["en", "de", "fr", "es", "news", "docs"], 1)), *(word() for _ in range(rng.integers(0, 2))), str(rng.integers(1, 1000))])
+            tail = rng.choice(["", "", "/", ".html", "?page=2", "?page=2&ref=x", "?utm_source=feed", "#top"])
+            out.append((f"https://{front}{word()}.{rng.choice(ends)}/{path}{tail}", False))
+        else:
+            host = "-".join(word() for _ in range(rng.integers(2, 5))) if rng.random() < 0.6 else word() + token(rng.integers(3, 9), "0123456789")
+            path = "/".join([rng.choice(["en", "de", "fr", "es", "go", "out"]), *(token(rng.integers(4, 14), "abcdefghij0123456789") for _ in range(rng.integers(0, 4)))])
+            tail = "?" + "&".join(f"{token(2, 'abcdxyz')}={token(rng.integers(2, 12), 'abcdef0123456789')}" for _ in range(rng.integers(1, 6))) if rng.random() < 0.5 else f"/{rng.integers(1, 1000)}"
+            out.append((f"http://{rng.choice(['', 'www.'])}{host}.{rng.choice(ends)}/{path}{tail}", True))
+    return out
+
+
 def _matched(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     host, path = split(F.col("url"))
     parts = pages.select("page_id", "url").withColumn("host", host).withColumn("path", path)
