@@ -50,3 +50,54 @@ VERSION = r"(^|[^0-9a-z_])v?[0-9]+(\.[0-9]+)+(\.x)?($|[^0-9a-z_])"
 SWITCH_MODEL = r"^C(9200|9200L|9200CX|9300|9400|9500|9600)[A-Z0-9-]*$"
 NETWORK_MODULE = r"^C(9200|9300|9500|9600)-NM-[A-Z0-9-]+(\s+[0-9]+)?$"
 TABLE_HEADER = r"([A-Z][A-Za-z0-9 /()+-]{2,40}):"
+#: Evidence types and the base of their priority.
+EVIDENCE_BASE = (
+    ("ViolationEvidence", 100), ("RiskEvidence", 100), ("InventoryEvidence", 85), ("CompatibilityEvidence", 70), ("VersionEvidence", 70), ("DependencyEvidence", 70),
+    ("RecommendationEvidence", 70), ("LifecycleEvidence", 50), ("DomainEvidence", 50),
+)
+RISKS = ("Informational", "Low", "Medium", "High", "Critical")
+#: Keyword in a report's text, root cause, violation, risk; the order decides which of several with one outcome counts.
+VIOLATION_PATTERNS = (
+    ("version mismatch", "RC-VERSION-MISMATCH", "VIOL-VERSION", "High"), ("not supported", "RC-UNSUPPORTED-CONFIGURATION", "VIOL-COMPATIBILITY", "High"),
+    ("incompatible", "RC-CONFLICT-VIOLATION", "VIOL-CONFLICT", "High"), ("conflicts", "RC-CONFLICT-VIOLATION", "VIOL-CONFLICT", "High"),
+    ("missing", "RC-MISSING-DEPENDENCY", "VIOL-DEPENDENCY", "High"), ("dependency", "RC-MISSING-DEPENDENCY", "VIOL-DEPENDENCY", "Medium"),
+    ("upgrade", "RC-INVALID-UPGRADE-PATH", "VIOL-UPGRADE", "High"), ("end-of-support", "RC-DEPRECATED-COMPONENT", "VIOL-LIFECYCLE", "High"),
+    ("end of support", "RC-DEPRECATED-COMPONENT", "VIOL-LIFECYCLE", "High"), ("deprecated", "RC-DEPRECATED-COMPONENT", "VIOL-LIFECYCLE", "Medium"),
+    ("security", "RC-SECURITY-VIOLATION", "VIOL-SECURITY", "Critical"), ("vulnerability", "RC-SECURITY-VIOLATION", "VIOL-SECURITY", "Critical"),
+    ("cve", "RC-SECURITY-VIOLATION", "VIOL-SECURITY", "Critical"), ("privilege escalation", "RC-SECURITY-VIOLATION", "VIOL-SECURITY", "Critical"),
+    ("token exposure", "RC-SECURITY-VIOLATION", "VIOL-SECURITY", "Critical"), ("policy", "RC-POLICY-VIOLATION", "VIOL-POLICY", "Medium"),
+    ("drift", "RC-CONFIGURATION-DRIFT", "VIOL-COMPLIANCE", "Medium"), ("compliance", "RC-POLICY-VIOLATION", "VIOL-COMPLIANCE", "Medium"),
+    ("non-compliant", "RC-POLICY-VIOLATION", "VIOL-COMPLIANCE", "High"), ("noncompliant", "RC-POLICY-VIOLATION", "VIOL-COMPLIANCE", "High"),
+    ("readiness", "RC-INVALID-UPGRADE-PATH", "VIOL-UPGRADE", "High"), ("sequence", "RC-INVALID-UPGRADE-PATH", "VIOL-UPGRADE", "High"),
+    ("order", "RC-INVALID-UPGRADE-PATH", "VIOL-UPGRADE", "High"), ("unknown", "RC-UNKNOWN-STATE", "VIOL-COMPLIANCE", "Medium"),
+    ("failing", "RC-VERSION-MISMATCH", "VIOL-COMPATIBILITY", "High"), ("fail", "RC-VERSION-MISMATCH", "VIOL-COMPATIBILITY", "High"),
+    ("lifecycle", "RC-LIFECYCLE-MISMATCH", "VIOL-LIFECYCLE", "Medium"), ("outdated", "RC-VERSION-MISMATCH", "VIOL-VERSION", "High"),
+    ("boot delay", "RC-UNSUPPORTED-CONFIGURATION", "VIOL-CONFLICT", "High"), ("boot failure", "RC-UNSUPPORTED-CONFIGURATION", "VIOL-CONFLICT", "Critical"),
+    ("instability", "RC-CONFLICT-VIOLATION", "VIOL-CONFLICT", "High"), ("network adapter", "RC-CONFLICT-VIOLATION", "VIOL-CONFLICT", "High"),
+    ("telemetry", "RC-CONFIGURATION-DRIFT", "VIOL-COMPLIANCE", "Medium"), ("authentication", "RC-SECURITY-VIOLATION", "VIOL-SECURITY", "Critical"),
+)
+#: Component types in questions and their names.
+QUESTION_COMPONENTS = (
+    ("bios", ("bios", "uefi", "system bios")), ("firmware", ("firmware", "system firmware", "device firmware")), ("operating_system", ("operating system", "windows", "linux", "ubuntu", "os")),
+    ("driver", ("driver", "drivers", "driver pack")), ("security_component", ("security agent", "antivirus", "endpoint protection", "secure boot", "tpm")),
+    ("management_tool", ("management agent", "management tool", "mdm", "monitoring agent")),
+)
+IN_SCOPE = (
+    "compatibility", "compatible", "incompatible", "compliance", "compliant", "rule", "rules", "candidate", "candidates", "document", "documents", "release note", "release notes", "evidence", "source",
+    "chunk", "chunks", "page", "excerpt", "firmware", "bios", "driver", "drivers", "os", "operating system", "windows server", "windows", "tpm", "secure boot", "secureboot", "uefi", "crowdstrike", "intune",
+    "nvidia", "vgpu", "nic", "ethernet", "remediation", "upgrade", "rollout", "configuration", "configure", "unsupported", "supported", "certified", "baseline", "known issue", "approval", "approve", "review",
+    "reject", "reviewed", "rule extraction", "normalize", "normalization", "validated", "pending review", "approved candidate", "rule candidate", "inventory", "device", "server", "host", "scan", "violation",
+    "version", "version constraint", "min version", "minimum version", "dependency", "requirement", "handoff", "export", "comp-", "unsup-", "rec-", "rcand-", "doc-", "perc", "storecli", "openmanage", "dell",
+    "idrac", "esxi", "vmware", "hyper-v", "linux", "ubuntu", "rhel", "centos", "poweredge", "proliant", "thinkserver", "kb", "knowledge base", "kg", "knowledge graph", "graph", "llm", "ai", "extraction", "extracted",
+)
+OUT_OF_SCOPE = (
+    "cricket", "football", "soccer", "basketball", "baseball", "tennis", "sports", "match", "tournament", "championship", "league", "nfl", "ipl", "movie", "movies", "film", "actor", "actress", "celebrity", "recipe",
+    "cook", "bake", "ingredient", "restaurant", "weather", "forecast", "rain", "temperature", "politics", "election", "vote", "president", "prime minister", "love letter", "poem", "poetry", "story",
+    "creative writing", "photosynthesis", "biology", "chemistry", "physics", "algebra", "homework", "essay", "school", "university", "college", "joke", "funny", "humor", "comedy", "stocks", "bitcoin", "crypto",
+    "nft", "investment", "medical advice", "diagnosis", "symptom", "medicine", "lawyer", "legal advice",
+)
+INJECTIONS = (
+    r"ignore\s+(your\s+)?(previous|prior|all|above)\s+instructions?", r"forget\s+(your\s+)?(previous|prior|all)?\s*(rules?|instructions?)", r"you\s+are\s+now\s+a\s+(general|different|new)",
+    r"reveal\s+(your\s+)?(system\s+)?prompt", r"show\s+(me\s+)?(your\s+)?(hidden|internal|system)\s*(prompt|instructions?)", r"bypass\s+(the\s+)?(guardrail|filter|safety|restriction)",
+    r"pretend\s+you\s+(are|have\s+no)\s+restrictions?", r"act\s+as\s+(if\s+you\s+are\s+)?a\s+general", r"jailbreak", r"dan\s+(mode|prompt)",
+)
