@@ -27,10 +27,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     With no labelled document to learn from, no language can be told and nothing stays.
     """
-    model = language.train(docs) if docs.where("lang is not null and text is not null").limit(1).count() else language.Model([], None, None, 1.0, 2.0)
-    if not model.languages:
+    if not language.learnable(docs).limit(1).count():
         return docs.limit(0)
-    found = language.identify(docs, model).where("accepted")
+    found = language.identify(docs, language.train(docs)).where("accepted")
     return found.withColumn("lang", F.col("lang_pred")).select(docs.columns)
 
 

@@ -84,14 +84,19 @@ class Model:
     bias: np.ndarray
     temperature: float
     limit: float  # score below which a text is rejected
+    seen: np.ndarray  # 1 for buckets that fitting met
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and calibrated probability of each text; und and 0 for null or no letter."""
+        """Language and score of each text; und and 0 for null or no letter.
+
+        The score is the calibrated probability times the share of subwords that fitting met, so a text in
+        a script or vocabulary of its own scores low however clear its softmax is.
+        """
         names: list[str] = []
         best = np.zeros(len(texts))
         for a, b in pieces(texts):
             found, starts, letters = subwords(texts[a:b])
-            total, n = np.zeros((b - a, len(self.languages))), np.zeros(b - a)
+            total, n, met = np.zeros((b - a, len(self.languages))), np.zeros(b - a), np.zeros(b - a)
             for buckets, at in found:
                 bounds = np.searchsorted(at, starts)
                 some = np.flatnonzero(np.diff(np.append(bounds, len(at))) > 0)
@@ -99,6 +104,7 @@ class Model:
                     continue
                 for k in range(len(self.languages)):
                     total[some, k] += np.add.reduceat(self.scores[k][buckets], bounds[some], dtype=np.float64)
+                met[some] += np.add.reduceat(self.seen[buckets], bounds[some], dtype=np.float64)
                 n[some] += np.diff(np.append(bounds, len(at)))[some]
             z = (total / np.maximum(n, 1)[:, None] + self.bias) / self.temperature
             z = np.exp(z - z.max(axis=1, keepdims=True))
@@ -107,7 +113,7 @@ class Model:
             for i in range(b - a):
                 ok = letters[i] > 0
                 names.append(self.languages[top[i]] if ok else UND)
-                best[a + i] = z[i, top[i]] if ok else 0.0
+                best[a + i] = z[i, top[i]] * met[i] / max(1, n[i]) if ok else 0.0
         return names, best
 
 
@@ -144,7 +150,7 @@ def fit(texts: list[str], labels: list[str], dim: int = 16, epochs: int = 12, ra
         unseen[xs[i][0]] = False
     emb[unseen] = 0  # an unknown script scores as the bias alone, which the limit rejects
     scores = np.ascontiguousarray((emb @ w).T)
-    model = Model(languages, scores, bias, 1.0, 0.0)
+    model = Model(languages, scores, bias, 1.0, 0.0, (~unseen).astype(np.float32))
     if len(check) >= 20:
         z = np.stack([scores[:, xs[i][0]] @ xs[i][1] + bias if len(xs[i][0]) else bias for i in check]).astype(float)
         grid = np.geomspace(1e-3, 20, 80)
@@ -164,13 +170,17 @@ def math_ceil(n: int, d: int) -> int:
     return -(-n // d)
 
 
+def learnable(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, lang) of the labelled documents that aren't held out."""
+    return docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", 3, 1)).select("doc_id", "text", "lang")
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fitted on at most ``sample`` documents of each non-null lang among those that aren't held out.
 
     Without any labelled document there is nothing to learn, which is an error.
     """
-    usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", 3, 1)).select("doc_id", "text", "lang")
-    rows = per_class(usable, "lang", "doc_id", sample).orderBy("doc_id", "lang", "text").collect()
+    rows = per_class(learnable(docs), "lang", "doc_id", sample).orderBy("doc_id", "lang", "text").collect()
     if not rows:
         raise ValueError("no labelled documents to learn from")
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
