@@ -87,3 +87,31 @@ def ios_xe_release(text: Column) -> Column:
     loose = F.nullif(F.regexp_extract(text, r"(?i)\b([0-9]+(?:\.[0-9]+){1,3}[a-z]?)\b", 1), F.lit(""))
     family = F.when(F.lower(train).isin(*V.IOS_XE_TRAINS), train)
     return F.struct(family.alias("family"), F.coalesce(version, loose).alias("version"), F.when(version.isNotNull(), "cisco_ios_xe").otherwise("cisco_ios_xe_unknown").alias("scheme"))
+
+
+#: Numbers of a version that a sort key holds; longer versions compare by their first ones.
+KEY = 12
+
+
+def key(version: Column) -> Column:
+    """Struct (numbers, letter) that sorts as ``compare``, for versions met in many pairs; null numbers for anything that isn't a version."""
+    p = parts(version)
+    padded = F.slice(F.concat(p, F.array_repeat(F.lit(0).cast("bigint"), F.greatest(F.lit(KEY) - F.size(p), F.lit(0)))), 1, KEY)
+    return F.struct(F.when(F.size(p) > 0, padded).alias("numbers"), suffix(version).alias("letter"))
+
+
+def satisfies_keyed(installed: Column, key_installed: Column, operator: Column, required: Column, key_required: Column) -> Column:
+    """``satisfies`` with both keys at hand."""
+    wild = F.endswith(F.lower(required), F.lit(".x"))
+    comparable = key_installed["numbers"].isNotNull() & key_required["numbers"].isNotNull()
+    a, b = key_installed, key_required
+    by = F.when(operator == ">=", a >= b).when(operator == ">", a > b).when(operator == "<=", a <= b).when(operator == "<", a < b).when(operator == "==", a == b).when(operator == "!=", a != b)
+    equal = F.lower(installed) == F.lower(required)
+    return (
+        F.when(installed.isNull(), F.lit(None).cast("boolean"))
+        .when(operator == "installed", True)
+        .when(wild, F.startswith(installed, F.substring(required, F.lit(1), F.length(required) - 1)))
+        .when(comparable, by)
+        .when(operator == "==", equal)
+        .when(operator == "!=", ~equal)
+    )

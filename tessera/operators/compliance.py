@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.versions import satisfies
+from tessera.functions.versions import key, satisfies_keyed
 from tessera.plans.registry import query, table
 
 #: Points a violation costs, by severity: our own formula, as none is specified.
@@ -25,12 +25,12 @@ def scan(components: DataFrame, rules: DataFrame, exceptions: DataFrame | None =
     component_type, so rules and devices are never paired without one in common; only rules without any condition go to all.
     """
     def judged(kind: str) -> DataFrame:
-        items = rules.select("rule_id", F.posexplode(kind).alias("pos", "i")).select("rule_id", "pos", "i.*")
+        items = rules.select("rule_id", F.posexplode(kind).alias("pos", "i")).select("rule_id", "pos", "i.*").withColumn("key", key(F.col("version")))
         met = components.join(items, "component_type")
-        ok = satisfies(F.col("c_version"), F.col("operator"), F.col("version"))
+        ok = satisfies_keyed(F.col("c_version"), F.col("c_key"), F.col("operator"), F.col("version"), F.col("key"))
         return met.groupBy("device_id", "rule_id", "pos").agg(F.max(ok.cast("int")).alias("ok"))
 
-    components = components.withColumnRenamed("version", "c_version")
+    components = components.withColumnRenamed("version", "c_version").withColumn("c_key", key(F.col("c_version")))
     sizes = rules.select("rule_id", "severity", "logic", F.size("conditions").alias("n_c"), F.size("requirements").alias("n_r"))
     conditions = judged("conditions").groupBy("device_id", "rule_id").agg(F.count(F.when(F.col("ok") == 1, 1)).alias("c_met"))
     applies = conditions.join(sizes, "rule_id").where(F.when(F.col("logic") == "OR", F.col("c_met") > 0).otherwise(F.col("c_met") == F.col("n_c")))
