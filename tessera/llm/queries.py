@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language, licences, toxicity, urls, warc
+from tessera.llm import language, licences, oracles, toxicity, urls, warc
 from tessera.llm.contamination import contaminated
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.packing import pack_documents
@@ -43,7 +43,8 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive(_read(spark, sf_dir, "pages"))
+    found = warc.archive(_read(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scans": licences.scan_sql()}
+    return {"op4_license_scans": licences.scan_sql(), "op5_warc": oracles.CAPTURES, "op8_minhash_near_dedup": oracles.NEAR_DUPLICATES, "op9_exact_top_k": oracles.TOP_K}
