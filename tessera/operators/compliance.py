@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.versions import key, satisfies_keyed
+from tessera.plans.catalogue import small
 from tessera.plans.registry import query, table
 
 #: Points a violation costs, by severity: our own formula, as none is specified.
@@ -24,23 +25,23 @@ def scan(components: DataFrame, rules: DataFrame, exceptions: DataFrame | None =
     compared, is unknown and never passes. ``exceptions`` (device_id, rule_id) suppress. Items meet components by
     component_type, so rules and devices are never paired without one in common; only rules without any condition go to all.
     """
-    def judged(kind: str) -> DataFrame:
-        items = rules.select("rule_id", F.posexplode(kind).alias("pos", "i")).select("rule_id", "pos", "i.*").withColumn("key", key(F.col("version")))
-        met = components.join(items, "component_type")
-        ok = satisfies_keyed(F.col("c_version"), F.col("c_key"), F.col("operator"), F.col("version"), F.col("key"))
-        return met.groupBy("device_id", "rule_id", "pos").agg(F.max(ok.cast("int")).alias("ok"))
-
-    components = components.withColumnRenamed("version", "c_version").withColumn("c_key", key(F.col("c_version")))
-    sizes = rules.select("rule_id", "severity", "logic", F.size("conditions").alias("n_c"), F.size("requirements").alias("n_r"))
-    conditions = judged("conditions").groupBy("device_id", "rule_id").agg(F.count(F.when(F.col("ok") == 1, 1)).alias("c_met"))
-    applies = conditions.join(sizes, "rule_id").where(F.when(F.col("logic") == "OR", F.col("c_met") > 0).otherwise(F.col("c_met") == F.col("n_c")))
-    everywhere = components.select("device_id").distinct().join(F.broadcast(sizes.where("n_c = 0").withColumn("c_met", F.lit(0))), F.lit(True))  # rules, a catalogue
-    due = applies.select("device_id", "rule_id", "severity", "n_r").union(everywhere.select("device_id", "rule_id", "severity", "n_r"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("items")) for k in ("conditions", "requirements")])
+    flat = rules.select("rule_id", F.explode(kinds).alias("k")).select("rule_id", "k.kind", F.posexplode("k.items").alias("pos", "i")).select("rule_id", "kind", "pos", "i.*")
+    items = small(flat.withColumn("key", key(F.col("version"))))
+    sizes = small(rules.select("rule_id", "severity", "logic", F.size("conditions").alias("n_c"), F.size("requirements").alias("n_r")))
+    owned = components.withColumnRenamed("version", "c_version").withColumn("c_key", key(F.col("c_version")))
+    ok = satisfies_keyed(F.col("c_version"), F.col("c_key"), F.col("operator"), F.col("version"), F.col("key")).cast("int")
+    # one exchange, by device, serves all that follows
+    met = owned.join(items, "component_type").select("device_id", "rule_id", "kind", "pos", ok.alias("ok")).repartition("device_id")
+    each = met.groupBy("device_id", "rule_id", "kind", "pos").agg(F.max("ok").alias("ok"))
+    n = lambda kind, value: F.count(F.when((F.col("kind") == kind) & (F.col("ok") == value), 1))
+    state = each.groupBy("device_id", "rule_id").agg(n("conditions", 1).alias("c_met"), n("requirements", 1).alias("met"), n("requirements", 0).alias("unmet"))
+    zero = F.lit(0).cast("long")
+    everywhere = components.select("device_id").distinct().join(small(rules.where(F.size("conditions") == 0).select("rule_id")), F.lit(True)).select("device_id", "rule_id", zero.alias("c_met"), zero.alias("met"), zero.alias("unmet"))
+    out = state.union(everywhere).groupBy("device_id", "rule_id").agg(*[F.sum(c).alias(c) for c in ("c_met", "met", "unmet")]).join(sizes, "rule_id")
+    out = out.where((F.col("n_c") == 0) | F.when(F.col("logic") == "OR", F.col("c_met") > 0).otherwise(F.col("c_met") == F.col("n_c")))
     if exceptions is not None:
-        due = due.join(exceptions, ["device_id", "rule_id"], "left_anti")
-    state = judged("requirements").groupBy("device_id", "rule_id").agg(F.count(F.when(F.col("ok") == 1, 1)).alias("met"), F.count(F.when(F.col("ok") == 0, 1)).alias("unmet"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    out = due.join(state, ["device_id", "rule_id"], "left").select("device_id", "rule_id", "severity", "n_r", zero("met").alias("met"), zero("unmet").alias("unmet"))
+        out = out.join(exceptions, ["device_id", "rule_id"], "left_anti")
     out = out.withColumn("unknown", F.col("n_r") - F.col("met") - F.col("unmet"))
     outcome = F.when(F.col("unmet") > 0, "fail").when(F.col("unknown") > 0, "unknown").otherwise("pass")
     return out.select("device_id", "rule_id", "severity", outcome.alias("outcome"), "met", "unmet", "unknown")
