@@ -94,16 +94,17 @@ KEY = 12
 
 
 def key(version: Column) -> Column:
-    """Struct (numbers, letter) that sorts as ``compare``, for versions met in many pairs; null numbers for anything that isn't a version."""
-    p = parts(version)
-    padded = F.slice(F.concat(p, F.array_repeat(F.lit(0).cast("bigint"), F.greatest(F.lit(KEY) - F.size(p), F.lit(0)))), 1, KEY)
-    return F.struct(F.when(F.size(p) > 0, padded).alias("numbers"), suffix(version).alias("letter"))
+    """A string that sorts as ``compare``, for versions met in many pairs: numbers to eighteen digits, then the letter; null for anything that isn't a version."""
+    v = F.trim(version)
+    body = F.regexp_extract(v, r"(?i)^([0-9]{1,18}(?:\.[0-9]{1,18})*)[a-z]?$", 1)
+    wide = F.transform(F.split(body, r"\."), lambda p: F.lpad(p, 18, "0"))
+    return F.when(body != "", F.concat(F.rpad(F.array_join(F.slice(wide, 1, KEY), ""), 18 * KEY, "0"), suffix(version)))
 
 
 def satisfies_keyed(installed: Column, key_installed: Column, operator: Column, required: Column, key_required: Column) -> Column:
     """``satisfies`` with both keys at hand."""
     wild = F.endswith(F.lower(required), F.lit(".x"))
-    comparable = key_installed["numbers"].isNotNull() & key_required["numbers"].isNotNull()
+    comparable = key_installed.isNotNull() & key_required.isNotNull()
     a, b = key_installed, key_required
     by = F.when(operator == ">=", a >= b).when(operator == ">", a > b).when(operator == "<=", a <= b).when(operator == "<", a < b).when(operator == "==", a == b).when(operator == "!=", a != b)
     equal = F.lower(installed) == F.lower(required)

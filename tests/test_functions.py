@@ -112,3 +112,14 @@ def test_tables_labels_and_envelopes(spark):
     assert [tuple(r) for r in R.metadata_pairs(docs).collect()] == [(1, "version", "2.1")]
     for raw, want in [('{"a": 1}', '{"a": 1}'), ('```json\n{"a": 2}\n```', '{"a": 2}'), ('so: {"a": {"b": 3}} ok', '{"a": {"b": 3}}'), ("none", None), ("{broken", None)]:
         assert one(spark, R.parse_envelope(F.lit(raw))) == want, raw
+
+
+def test_version_keys_sort_as_compare(spark):
+    vs = ["17.3", "17.3.0", "17.3.1a", "17.3.1", "9.10", "9.9", "009.9", "x", None, "1.2.3.4.5"]
+    rows = spark.createDataFrame([(a, b) for a in vs for b in vs], "a string, b string")
+    got = rows.select("a", "b", V.compare(F.col("a"), F.col("b")).alias("c"), V.key(F.col("a")).alias("x"), V.key(F.col("b")).alias("y")).collect()
+    for r in got:
+        if "x" not in (r["a"], r["b"]) and r["a"] and r["b"]:
+            assert ((r["x"] > r["y"]) - (r["x"] < r["y"])) == r["c"], r
+        else:
+            assert r["x"] is None or r["y"] is None
