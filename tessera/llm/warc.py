@@ -22,9 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import drop, in_batches, mapper, partitions, scratch, table
+from tessera.plans.catalogue import small
 
 #: Records in a file, which is read back as a whole.
 FILE_RECORDS = 4000
+#: Payloads that recur, up to which they are broadcast; beyond it pages are joined by shuffle.
+REPEATED = 100_000
 #: Time of capture of page 0; each page's is its id in seconds later, as pages carry none.
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 END = "\r\n"
@@ -71,7 +74,9 @@ def write(pages: DataFrame, path: str, smallest: int = 0) -> None:
     body = F.col("html").cast("binary")
     keyed = rows.withColumn("sha", F.sha1(body)).withColumn("size", F.octet_length(body))
     firsts = keyed.where((F.col("size") >= smallest) & F.col("page_id").isNotNull()).groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    found = keyed.join(firsts, ["sha", "size"], "left").select("page_id", "url", "html", "first")
+    # payloads that recur are few as a rule; then they go to the pages, so that no page is shuffled
+    firsts = table(firsts, "firsts")
+    found = keyed.join(small(firsts, REPEATED), ["sha", "size"], "left").select("page_id", "url", "html", "first")
 
     def step(t: pa.Table) -> pa.Table:
         cols = [t[c].to_pylist() for c in ("page_id", "url", "html", "first")]
@@ -80,6 +85,7 @@ def write(pages: DataFrame, path: str, smallest: int = 0) -> None:
 
     records = found.mapInArrow(mapper(lambda: step), "value string")
     records.write.option("lineSep", END * 2).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    drop(firsts)
 
 
 READ = "archive string, position long, length long, page_id long, url string, url_key string, captured string, record_type string, payload_bytes long, payload_digest string, refers_to long"
