@@ -11,4 +11,4 @@ MOST = 200_000
 
 def small(df: DataFrame, most: int = MOST) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``most`` rows; a larger one is joined by shuffle, to be split by AQE where skewed."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if df.count() <= most else df
