@@ -18,10 +18,21 @@ from tessera.llm.minhash import near_duplicates
 from tessera.llm.packing import pack_documents
 from tessera.llm.passages import repeated_passages, without_repeats
 from tessera.llm.shared import table
+from tessera.plans.catalogue import small
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+#: Ids that are broadcast at most, 8 bytes each; beyond it texts are shuffled to meet them.
+IDS = 1_000_000
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` but those whose doc_id is in ``gone``."""
+    ids = table(gone.distinct(), "gone")
+    return docs.join(small(ids, IDS), "doc_id", "left_anti").select(docs.columns)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a score over the calibrated limit stay; lang is as predicted.
 
@@ -35,8 +46,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest doc_id; rows without doc_id stay."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return _without(docs, near_duplicates(docs).where("not kept").select("doc_id"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +56,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
-    leaks = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    return _without(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
