@@ -12,7 +12,10 @@ again, until one partition is left or nothing more can be saved.
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,23 +29,29 @@ from tessera.llm.shared import drop, mapper, table
 CAPACITY = 2048
 #: Pieces packed together in one task.
 DEALT = 60_000
-#: Chunks of text, and words in them, whose ids a worker keeps.
-KNOWN = 350_000
+#: Words whose ids a worker keeps.
+KNOWN = 800_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _byte_characters() -> dict[str, str]:
+    """The visible character by which byte-level vocabularies write each byte: itself if printable, else the next from U+0100 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): chr(b) for b in shown} | {chr(b): chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class Ids:
-    """Little-endian 32-bit ids of texts, chunk by chunk between white space, of which many recur.
+    """Little-endian 32-bit ids of texts, word by word, as most words recur.
 
-    The tokenizer drops white space and never joins over it, nor joins a letter with
-    the punctuation behind it, and lower-cases; ``splits`` tells if that holds for a
-    tokenizer, else each text is encoded in one. Chunks not seen yet are encoded
-    together, set apart by a special token, which no chunk contains.
+    The tokenizer normalises to NFC and lower case, drops white space and never joins over
+    it, nor a letter with punctuation behind it; ``splits`` tells if that holds for a
+    tokenizer, else each text is encoded in one, as are texts in which it could fail.
+    Words of letters not seen yet go to the vocabulary's model directly, others are
+    encoded together, set apart by a special token.
     """
 
-    TAIL = ".,;:!?#*%&$|()"
-
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
@@ -50,49 +59,49 @@ class Ids:
         special = sorted(i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special)
         self.mark = special[0] if special else None
         self.between = self.tokenizer.id_to_token(self.mark) if special else ""
+        self.bytes = str.maketrans(_byte_characters())
         probe = self._one("Ab, c.").startswith(self._one("ab") + self._one(",")) and self._one(" a b ") == self._one("a") + self._one("b")
-        self.splits = bool(special) and probe and not self._one(" ")
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.heads: dict[str, bytes] = {}
+        self.splits = bool(special) and probe and not self._one(" ") and all(self._word(w) == self._one(w) for w in ("a", "street", "größe", "ciónque"))
+        self.known: dict[str, bytes] = {"": b""}
 
     def _one(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, new: list[str]) -> None:
-        if len(self.heads) + len(new) > KNOWN:
-            self.heads.clear()
-        ids = np.array(self.tokenizer.encode(self.between.join(new), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(ids == self.mark)
-        for chunk, a, b in zip(new, [0, *(ends + 1)], [*ends, len(ids)], strict=True):
-            self.heads[chunk] = ids[a:b].tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.bytes))]).tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        rest = []
+        for w in new:
+            if w.isalpha():
+                self.known[w] = self._word(w)
+            else:
+                rest.append(w)
+        if rest:
+            ids = np.array(self.tokenizer.encode(self.between.join(rest), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(ids == self.mark)
+            for w, a, b in zip(rest, [0, *(ends + 1)], [*ends, len(ids)], strict=True):
+                self.known[w] = ids[a:b].tobytes()
 
     def of(self, texts: list[str]) -> list[bytes]:
-        if not self.splits:
-            return [self._one(t) for t in texts]
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = set().union(*split).difference(self.chunks)
-        if missing:
-            if len(self.chunks) + len(missing) > KNOWN:
-                self.chunks = {"": b""}
-                missing = set().union(*split) - {""}
-            parts: dict[str, tuple[str, ...]] = {}
-            for chunk in missing:
-                head = chunk.rstrip(self.TAIL)
-                if "<" in chunk:
-                    parts[chunk] = (chunk,)
-                elif head and head[-1].isalpha():
-                    parts[chunk] = (head.lower() if head.isascii() else head, chunk[len(head) :])
-                else:
-                    parts[chunk] = (chunk,)
-            new = {x for p in parts.values() for x in p if x} - self.heads.keys()
-            alone = {x for x in new if "<" in x}
-            if len(new) > len(alone):
-                self._learn(sorted(new - alone))
-            known = self.heads.get
-            for chunk, p in parts.items():
-                self.chunks[chunk] = b"".join(self._one(x) if (got := known(x)) is None else got for x in p if x)
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        words = [_BEHIND.sub(r" \g<0>", t.lower()).replace("\n", " ").split(" ") if self.splits and _plain(t) else None for t in texts]
+        some = set().union(*(w for w in words if w))
+        new = some - self.known.keys()
+        if len(self.known) + len(new) > KNOWN:
+            self.known = {"": b""}
+            new = some - {""}
+        self._learn(new)
+        get = self.known.__getitem__
+        return [self._one(t) if w is None else b"".join(map(get, w)) for w, t in zip(words, texts, strict=True)]
+
+
+#: Punctuation right behind a letter.
+_BEHIND = re.compile(r"(?<=[^\W\d_])[.,;:!?#*%&$|()]")
+
+
+def _plain(text: str) -> bool:
+    """Whether lower-casing first changes nothing: no special token's beginning, no final sigma, NFC."""
+    return "<|" not in text and "\u03a3" not in text and unicodedata.is_normalized("NFC", text)
 
 
 #: Kept while a worker lives, so that its next task starts with what is known.
