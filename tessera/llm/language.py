@@ -61,7 +61,8 @@ def subwords(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray, np.
             h = (h ^ p[j : j + m]) * np.uint32(0x01000193 * 2 * n + 1)
             if 0 < j < n - 1:
                 ok &= letter[j : j + m]
-        ok &= letter[: m] | letter[n - 1 : n - 1 + m] if n == 2 else ok
+        if n == 2:
+            ok &= letter[:m] | letter[1 : 1 + m]
         at = np.flatnonzero(ok)
         h = h[at]
         h ^= h >> np.uint32(15)
