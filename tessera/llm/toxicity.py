@@ -9,8 +9,8 @@ stochastic subgradient on the hinge loss separates them; a logistic fit turns ma
 
 Landmarks are words of the training texts that tell toxic from other texts, found by document
 counts in bounded samples. Only pairs whose letters can align are given to the kernel: a word
-that shares fewer letters with a landmark than ``SHARED`` of the landmark's has value 0 there.
-That is part of the definition, the same for fitting and scoring.
+that shares fewer letters with a landmark than ``SHARED`` of the landmark's, or fewer neighbouring
+ones than ``NEIGHBOURS``, or that is ``LONGER`` by far, has value 0 there. That is part of the definition, the same for fitting and scoring.
 """
 
 from __future__ import annotations
@@ -31,42 +31,58 @@ from tessera.llm.shared import mapper
 ORDER, DECAY, SHARED = 4, 0.75, 0.8
 #: Power of the normalised kernel, which is a kernel again: near matches stay, loose ones fade, those below ``LEAST`` to 0.
 POWER, LEAST = 4, 0.3
+#: Share of a landmark's pairs of neighbouring letters that a word must have, and how much longer it may be.
+NEIGHBOURS, LONGER = 0.5, 1.5
 LANDMARKS, RATIO = 160, 15
 #: Labelled documents of each class that fitting reads.
 SAMPLE = 3000
 #: A token is cut into overlapping windows of this many characters, half of it apart.
 LONGEST = 32
-KNOWN = 250_000
+KNOWN = 1_000_000
 
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _ASCII = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_][^\w\s]*\s+){3,}[^\W\d_](?!\w)")
-_SOFT = dict.fromkeys(map(ord, "­​‌‍⁠﻿"))
+_INVISIBLE = re.compile("[\u00ad\u200b\u200c\u200d\u2060\ufeff]")
 
 
-def tokens(text: str | None) -> set[str]:
-    """Distinct words of a text: lower-cased, without marks at the ends, with and without marks inside; four or more single letters in a row are one word."""
-    low = (text or "").lower().translate(_SOFT)
-    words = set(low.split())
-    found = set()
-    for w in words:
+#: Single letters of the Latin, Greek and Cyrillic blocks.
+_SINGLE = {chr(c) for c in range(0x500) if chr(c).isalpha()}
+
+
+def words_of(chunk: str) -> list[str]:
+    """A chunk between white space as words: without marks at its ends, with and without marks inside, long ones in windows."""
+    found = [chunk]
+    if not chunk.isalnum():
+        w = chunk.strip(_ASCII)
         if not w.isalnum():
-            w = w.strip(_ASCII)
-            if not w.isalnum():
-                w = _EDGE.sub("", w)
-            if w and not w.isalnum():
-                found.add("".join(c for c in w if c.isalnum()))
-        found.add(w)
-    if sum(len(w) == 1 for w in found) > 2:
-        found |= {"".join(c for c in m if c.isalpha()) for m in _SPELLED.findall(low)}
-    found.discard("")
-    out = set()
+            w = _EDGE.sub("", w)
+        found = [w]
+        if w and not w.isalnum():
+            found.append("".join(c for c in w if c.isalnum()))
+    out = []
     for w in found:
         if len(w) <= LONGEST:
-            out.add(w)
+            out.append(w)
         else:
-            out.update(w[i : i + LONGEST] for i in range(0, len(w) - LONGEST // 2, LONGEST // 2))
-    return out
+            out += [w[i : i + LONGEST] for i in range(0, len(w) - LONGEST // 2, LONGEST // 2)]
+    return [w for w in out if w]
+
+
+def chunks(text: str | None) -> set[str]:
+    """Distinct lower-cased chunks between white space; four or more single letters in a row are a chunk as well."""
+    low = (text or "").lower()
+    if not low.isascii() and _INVISIBLE.search(low):
+        low = _INVISIBLE.sub("", low)
+    found = set(low.split())
+    if len(_SINGLE & found) > 2:
+        found |= {"".join(c for c in m if c.isalpha()) for m in _SPELLED.findall(low)}
+    return found
+
+
+def tokens(text: str | None) -> set[str]:
+    """Distinct words of a text."""
+    return {w for c in chunks(text) for w in words_of(c)}
 
 
 def _codes(words: list[str], width: int) -> np.ndarray:
@@ -117,6 +133,16 @@ def _bags(words: list[str]) -> np.ndarray:
     return out
 
 
+def _pairs_of_letters(words: list[str]) -> np.ndarray:
+    """The set of two letters in a row, borders included, of each word as 64 hashed bits."""
+    joined = "^".join(words)
+    x = np.frombuffer(f"^{joined}^".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = (x[:-1] * np.uint64(0x9E3779B97F4A7C15) + x[1:]) * np.uint64(0xD6E8FEB86659FD93)
+    bits = np.uint64(1) << (h >> np.uint64(58))
+    lens = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    return np.bitwise_or.reduceat(bits, np.concatenate([[0], np.cumsum(lens)[:-1]]))
+
+
 @dataclass
 class Landmarks:
     words: list[str]
@@ -129,6 +155,8 @@ class Landmarks:
         self.own = np.sqrt(kernel(self.codes[:, : max(map(len, self.words), default=0) + 2], self.codes[:, : max(map(len, self.words), default=0) + 2]))
         self.bags = _bags(self.words)
         self.width = max(map(len, self.words), default=0) + 2
+        self.pairs = _pairs_of_letters(self.words) if self.words else np.zeros(0, np.uint64)
+        self.least = np.ceil(NEIGHBOURS * np.bitwise_count(self.pairs)).astype(np.uint8)
 
     def similar(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each word the landmarks with a value above 0 and the values."""
@@ -137,14 +165,16 @@ class Landmarks:
         if not self.words or not words:
             return out
         size = self.bags.sum(axis=1)
-        bags = _bags(words)
-        for at in range(0, len(words), 2048):
-            some = bags[at : at + 2048]
-            both = np.zeros((len(some), len(self.words)), np.int16)
-            for c in range(32):
-                if self.bags[:, c].any():
-                    both += np.minimum(some[:, c, None], self.bags[None, :, c])
-            w, m = np.nonzero((both >= SHARED * size) & (some.sum(axis=1)[:, None] <= 3 * size + 6))
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            w, m = np.nonzero(np.bitwise_count(_pairs_of_letters(some)[:, None] & self.pairs) >= self.least)
+            if not len(w):
+                continue
+            who, back = np.unique(w, return_inverse=True)
+            bags = _bags([some[i] for i in who])
+            both = np.minimum(bags[back], self.bags[m]).sum(axis=1)
+            ok = (both >= SHARED * size[m]) & (bags.sum(axis=1)[back] <= LONGER * size[m] + 1)
+            w, m = w[ok], m[ok]
             if not len(w):
                 continue
             used = np.unique(w)
@@ -166,13 +196,13 @@ class Landmarks:
             near = values >= LEAST
             w, m, values = w[near], m[near], values[near]
             cut = np.searchsorted(w, np.arange(len(some) + 1))
-            for i in used:
+            for i in used.tolist():
                 out[at + i] = (m[cut[i] : cut[i + 1]], values[cut[i] : cut[i + 1]])
         return out
 
 
-#: Values of words a worker has seen, by the model's stamp.
-_seen: dict[bytes, dict[str, tuple[np.ndarray, np.ndarray]]] = {}
+#: Values of chunks a worker has seen, by the model's stamp.
+_seen: dict[bytes, dict[str, tuple]] = {}
 
 
 @dataclass
@@ -191,19 +221,20 @@ class Model:
             _seen.clear()
             _seen[stamp] = {}
         known = _seen[stamp]
-        words = [tokens(t) for t in texts]
-        new = list(set().union(*words).difference(known)) if words else []
+        found = [chunks(t) for t in texts]
+        new = set().union(*found).difference(known)
         if len(known) + len(new) > KNOWN:
             known.clear()
-            new = list(set().union(*words))
-        for w, (m, v) in zip(new, self.marks.similar(new), strict=True):
-            known[w] = (m, v) if len(m) else ()
+            new = set().union(*found)
+        parts = [words_of(c) for c in new]
+        flat = sorted({w for p in parts for w in p})
+        near = {w: x for w, x in zip(flat, self.marks.similar(flat), strict=True) if len(x[0])}
+        for c, p in zip(new, parts, strict=True):
+            known[c] = tuple(near[w] for w in p if w in near)
         out = np.zeros((len(texts), len(self.marks.words)))
-        for i, ws in enumerate(words):
-            for w in ws:
-                got = known[w]
-                if got:
-                    m, v = got
+        for i, cs in enumerate(found):
+            for got in filter(None, map(known.__getitem__, cs)):
+                for m, v in got:
                     out[i, m] = np.maximum(out[i, m], v)
         return out
 
@@ -265,7 +296,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fitted on at most ``sample`` labelled documents of each class among those that aren't held out."""
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", 5, 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = per_class(marked, "toxic", "doc_id", sample)
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(chosen, "doc_id").orderBy("doc_id", "text").collect()
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").collect()
     if not rows:
         raise ValueError("no labelled documents to learn from")
     return fit([r["text"] for r in rows], np.array([r["toxic"] == 1 for r in rows]))
