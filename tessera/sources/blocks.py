@@ -36,6 +36,13 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(document_id(F.col("file")).alias("document_id"), F.lit(1).alias("page_number"), F.lit("text").alias("block_type"), F.col("value").alias("text"), F.lit("text").alias("extraction_method"), F.lit(0.95).alias("quality_score"))
 
 
+def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of files that each hold a JSON array, with their source_file; what doesn't parse is a row with only _corrupt_record."""
+    kept = f"{schema}, _corrupt_record string"
+    rows = spark.read.schema(kept).json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
+    return rows.withColumn("source_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+
+
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
     """One ``table_row`` block for each row of CSV files with a header: a line ``header: value`` for each column, and the row as a map."""
     rows = spark.read.csv(path, header=True, inferSchema=False)

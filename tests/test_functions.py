@@ -89,6 +89,11 @@ def test_sources(spark, tmp_path):
     assert got == ["Name: bios\nVersion: 1.2", "Name: \nVersion: 3"]
     (tmp_path / "b.txt").write_text("x\ny")
     assert B.text_files(spark, str(tmp_path / "b.txt")).first()["text"] == "x\ny"
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "ok.json").write_text('[{"id": "a", "name": "x"}, {"id": "b"}]')
+    (tmp_path / "j" / "bad.json").write_text("[{broken")
+    rows = {(r["source_file"], r["id"], r["name"], r["_corrupt_record"] is None) for r in B.json_records(spark, str(tmp_path / "j"), "id string, name string").collect()}
+    assert rows == {("ok.json", "a", "x", True), ("ok.json", "b", None, True), ("bad.json", None, None, False)}
     a = B.checksums(spark, str(tmp_path / "b.txt"))
     assert B.changed(a, a).count() == 0 and one(spark, B.safe_name(F.lit("x/ü b.pdf"))) == "_b.pdf"
 
