@@ -9,7 +9,9 @@ likeness is s is missed if less than two functions agree: never at 1, with 0.027
 at 0.75; longer passages have more runs. A key's documents are pre-aggregated where they are made:
 each batch keeps its first document and links the others to it; then first documents meet by key
 and link likewise, so a passage in a third of all documents costs a row for each, never a pair for
-each two.
+each two. Where that comparison fails, as the first document has only a part of a passage or an
+edited form of it, the key's other documents lead in turn, twice as many in each round, until every
+one is verified there or has met all earlier ones. Those that repeat an earlier one exactly don't lead.
 
 Pairs are verified on whole texts: stretches in which the tokens are
 shared, grown over edits, whose exact Jaccard similarity is ``SIMILAR`` or more.
@@ -22,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles as S
@@ -239,11 +241,49 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     local = made.where("kind = 1").select("key", "first", "doc", "at")
     leads = made.where("kind = 0").select("key", "doc", "at")
     met = leads.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_lead, "key long, first long, doc long, at int")
-    pairs = table(local.union(met).select("first", "doc").distinct(), "pairs")
+    links = table(local.union(met), "links")
     drop(made)
-    spans = _verified(docs, pairs)
-    drop(pairs)
-    return spans
+    tried = table(links.select("first", "doc").distinct(), "pairs")
+    spans = _verified(docs, tried)
+    held = _unsettled(links, spans)
+    used = [links, tried, spans, held]
+    begin, most = 0, held.agg(F.max("rank")).first()[0] or 0
+    while begin < most:
+        end = 2 * begin + 1  # leads of this round by rank: 0, 1 to 2, 3 to 6 and so on
+        now = _covered(held, spans)
+        first = now.where(f"not same and rank between {begin} and {end - 1}").select("key", F.col("doc").alias("first"), F.col("rank").alias("before"))
+        still = now.where(f"not done and rank > {begin}").select("key", "doc", "rank")
+        pairs = still.join(first, "key").where("before < rank").select("first", "doc").distinct()
+        pairs = table(pairs.join(tried, ["first", "doc"], "left_anti"), "pairs")
+        used.append(pairs)
+        if pairs.take(1):
+            used.append(_verified(docs, pairs))
+            tried, spans = tried.union(pairs), spans.union(used[-1])
+        begin = end
+    out = table(spans.distinct(), "spans")
+    drop(*used)
+    return out
+
+
+def _covered(members: DataFrame, spans: DataFrame) -> DataFrame:
+    """``members`` (key, doc, at and others) with done, whether a passage found covers the key's minima there, and same, whether an equal one does."""
+    per = spans.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set(F.struct("start", "stop", "similarity")).alias("_found"))
+    low = F.shiftright("at", _DISTANCE)
+    high = low + F.col("at").bitwiseAND((1 << _DISTANCE) - 1) + S.WIDTH
+    over = lambda p: (p["start"] <= low) & (p["stop"] >= high)
+    done = F.coalesce(F.exists("_found", over), F.lit(False))
+    same = F.coalesce(F.exists("_found", lambda p: over(p) & (p["similarity"] == 1)), F.lit(False))
+    return members.join(per, "doc", "left").withColumn("done", done).withColumn("same", same).drop("_found")
+
+
+def _unsettled(links: DataFrame, spans: DataFrame) -> DataFrame:
+    """(key, doc, at, rank) of keys that have a document with no passage found there and another before it, without those equal to an earlier one."""
+    first = links.select("key", F.col("first").alias("doc"), F.lit(None).cast("int").alias("at"))
+    each = links.select("key", "doc", "at").union(first).groupBy("key", "doc").agg(F.min("at").alias("at"))
+    some = _covered(each, spans).where("not same")
+    w = Window.partitionBy("key")
+    some = some.withColumn("rank", F.row_number().over(w.orderBy("doc")) - 1).withColumn("_open", F.max(F.when(~F.col("done"), F.col("rank")).otherwise(0)).over(w))
+    return table(some.where("_open > 0").select("key", "doc", "at", "rank"), "unsettled")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:

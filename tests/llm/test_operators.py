@@ -137,6 +137,19 @@ def test_passages_with_inserted_and_deleted_words(spark):
     assert all(r["first_doc_id"] == r["doc_id"] - 1 for r in spans)
 
 
+def test_passages_whose_first_document_has_only_a_part(spark):
+    rows, pairs = [], []
+    for i in range(20):
+        shared = words(52, 3000 + i, 10**6)
+        forms = [shared[:45], shared[7:], [*shared[:20], "one", "two", "three", *shared[23:]], shared, shared]
+        ids = range(10 * i, 10 * i + len(forms))
+        rows += [(d, " ".join([*words(40, 50000 + d, 10**6), *p, *words(40, 90000 + d, 10**6)])) for d, p in zip(ids, forms, strict=True)]
+        pairs.append(ids[-1])
+    spans = passages.repeated_passages(table(spark, rows)).collect()
+    assert set(pairs) <= {r["doc_id"] for r in spans if r["similarity"] == 1 and r["stop"] - r["start"] >= 50}
+    assert all(r["first_doc_id"] < r["doc_id"] for r in spans)
+
+
 def test_packing(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
