@@ -6,7 +6,7 @@ size, each packed by best-fit decreasing. Dual feasible functions give a lower b
 the bins of each partition; where it meets the count, the packing is certified optimal
 for that partition. The badly filled bins of partitions that leave a gap, and of those
 whose last bins waste room, are opened and exchanged over fewer partitions and packed
-again, until one partition is left or nothing more can be saved.
+again, until one partition is left or nothing more can be saved; then the bins stay as they are.
 """
 
 from __future__ import annotations
@@ -176,7 +176,7 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
 
 
 def _pack(capacity: int, base: int, last: bool) -> Callable:
-    """Packs a partition; rows of bins that stay get a sequence_id, those of opened bins none."""
+    """Packs a partition; rows of bins that stay get a sequence_id, those of opened bins -1 less what their bin's would be."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [r for r in rows if r.num_rows]
@@ -193,7 +193,8 @@ def _pack(capacity: int, base: int, last: bool) -> Callable:
             # Without a gap only the room of all bins together can be saved elsewhere; with one, more bins are opened.
             opened = waste > (capacity // 8 if certified else capacity // 64)
         part = int(t["dealt"][0].as_py())
-        ids = np.where(opened[bins], -1, (base << 48) + (part << 24) + bins)
+        ids = (base << 48) + (part << 24) + bins
+        ids = np.where(opened[bins], -1 - ids, ids)
         t = t.drop_columns(["dealt"]).append_column("sequence_id", pa.array(ids, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
         yield from t.combine_chunks().to_batches()
 
@@ -205,26 +206,32 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, dealt: int = DEALT) -> Data
 
     A task holds about ``dealt`` pieces at most, so sequences never depend on one task
     seeing everything. A piece longer than ``capacity`` is an error, one of length 0 too.
+    Opened bins stay where a turn saves none and leaves as many groups as before, and after the
+    last turn. It is an error if not every piece has a place.
     """
     kind = StructType([*parts.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     done: list[DataFrame] = []
-    rest, n = parts, parts.count()
+    total = parts.count()
+    rest, n, before = parts, total, math.inf
     for turn in range(1, 64):
         count = max(1, math.ceil(n / dealt))
         group = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit(turn)), F.lit(count)).cast("int")
         ready = rest.withColumn("dealt", group).repartition(count, "dealt") if count > 1 else rest.withColumn("dealt", F.lit(0)).coalesce(1)
         # two groups may share a partition, and another be empty: each partition is packed as a whole, named by its first group
         out = table(ready.mapInArrow(_pack(capacity, turn, count == 1), kind), "packed")
+        left, bins, opened = out.agg(F.count_if(F.expr("sequence_id < 0")), F.count_if(F.expr("offset = 0")), F.count_if(F.expr("sequence_id < 0 and offset = 0"))).first()
+        if turn == 63 or (bins >= before and math.ceil(left / dealt) >= count):
+            out, left = out.withColumn("sequence_id", F.when(F.col("sequence_id") < 0, -1 - F.col("sequence_id")).otherwise(F.col("sequence_id"))), 0
         done.append(out.where("sequence_id >= 0"))
-        if count == 1:
-            break
-        rest = out.where("sequence_id < 0").select(parts.columns)
-        n = rest.count()
-        if not n:
+        if not left:
             break
+        rest, n, before = out.where("sequence_id < 0").select(parts.columns), left, opened
     packed = done[0]
     for more in done[1:]:
         packed = packed.unionByName(more)
+    placed = packed.count()
+    if placed != total:
+        raise RuntimeError(f"{placed} of {total} pieces have a place")
     return packed
 
 

@@ -183,6 +183,13 @@ def test_exchange_reaches_the_bound(spark):
     assert len(got) == 600 and len({x["sequence_id"] for x in got}) <= packing.lower_bound(np.array([x["length"] for x in got])) + 1
 
 
+def test_bins_that_cannot_be_filled_stay(spark):
+    r = random.Random(5)
+    parts = spark.createDataFrame([(i, 0, 0, r.randrange(1100, 1701), i) for i in range(300)], packing.PIECES)
+    got = packing.pack(parts, dealt=60).collect()
+    assert len(got) == 300 and len({x["sequence_id"] for x in got}) == 300 and all(x["sequence_id"] >= 0 and x["offset"] == 0 for x in got)
+
+
 def test_lower_bound_holds():
     r = np.random.default_rng(1)
     for _ in range(50):
