@@ -8,9 +8,8 @@ whitens these values by the landmarks' own kernel matrix, and a linear machine t
 stochastic subgradient on the hinge loss separates them; a logistic fit turns margins into scores.
 
 Landmarks are words of the training texts that tell toxic from other texts, found by document
-counts in bounded samples. Only pairs whose letters can align are given to the kernel: a word
-that shares fewer letters with a landmark than ``SHARED`` of the landmark's, or fewer neighbouring
-ones than ``NEIGHBOURS``, or that is ``LONGER`` by far, has value 0 there. That is part of the definition, the same for fitting and scoring.
+counts in bounded samples. The kernel is computed for each pair that may reach ``LEAST``: what a
+landmark's subsequences without a letter weigh is a bound for words that lack this letter.
 """
 
 from __future__ import annotations
@@ -28,11 +27,9 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from tessera.llm.sampling import held_out, per_class
 from tessera.llm.shared import mapper
 
-ORDER, DECAY, SHARED = 4, 0.75, 0.8
+ORDER, DECAY = 4, 0.75
 #: Power of the normalised kernel, which is a kernel again: near matches stay, loose ones fade, those below ``LEAST`` to 0.
 POWER, LEAST = 4, 0.3
-#: Share of a landmark's pairs of neighbouring letters that a word must have, and how much longer it may be.
-NEIGHBOURS, LONGER = 0.5, 1.5
 LANDMARKS, RATIO = 160, 15
 #: Labelled documents of each class that fitting reads.
 SAMPLE = 3000
@@ -124,39 +121,34 @@ def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def _bags(words: list[str]) -> np.ndarray:
-    """Letter counts in 32 classes of code points."""
-    out = np.zeros((len(words), 32), np.int16)
+def _letters(words: list[str]) -> np.ndarray:
+    """The set of letters of each word as bits, in 32 classes of code points."""
+    out = np.zeros(len(words), np.uint32)
     for i, w in enumerate(words):
         x = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32) % 32
-        out[i] = np.bincount(x, minlength=32)
+        out[i] = np.bitwise_or.reduce(np.uint32(1) << x)
     return out
 
 
-def _pairs_of_letters(words: list[str]) -> np.ndarray:
-    """The set of two letters in a row, borders included, of each word as 64 hashed bits."""
-    joined = "^".join(words)
-    x = np.frombuffer(f"^{joined}^".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    h = (x[:-1] * np.uint64(0x9E3779B97F4A7C15) + x[1:]) * np.uint64(0xD6E8FEB86659FD93)
-    bits = np.uint64(1) << (h >> np.uint64(58))
-    lens = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    return np.bitwise_or.reduceat(bits, np.concatenate([[0], np.cumsum(lens)[:-1]]))
-
-
 @dataclass
 class Landmarks:
     words: list[str]
     codes: np.ndarray = field(init=False)
     own: np.ndarray = field(init=False)
-    bags: np.ndarray = field(init=False)
+    needed: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
         self.codes = _codes(self.words, LONGEST + 2)
         self.own = np.sqrt(kernel(self.codes[:, : max(map(len, self.words), default=0) + 2], self.codes[:, : max(map(len, self.words), default=0) + 2]))
-        self.bags = _bags(self.words)
         self.width = max(map(len, self.words), default=0) + 2
-        self.pairs = _pairs_of_letters(self.words) if self.words else np.zeros(0, np.uint64)
-        self.least = np.ceil(NEIGHBOURS * np.bitwise_count(self.pairs)).astype(np.uint8)
+        self.needed = np.zeros(len(self.words), np.uint32)
+        short = self.codes[:, : self.width]
+        inside = (short > 0) & (np.arange(self.width) > 0) & (short != ord("$"))
+        for c in range(32 if self.words else 0):
+            without = np.where(inside & (short % 32 == c), 0, short)
+            # by Cauchy-Schwarz no word without these letters has a larger normalised kernel than this
+            most = np.sqrt(kernel(without, without)) / np.maximum(self.own, 1e-12)
+            self.needed[most + 1e-9 < LEAST ** (1 / POWER)] |= np.uint32(1 << c)
 
     def similar(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each word the landmarks with a value above 0 and the values."""
@@ -164,17 +156,9 @@ class Landmarks:
         out = [empty] * len(words)
         if not self.words or not words:
             return out
-        size = self.bags.sum(axis=1)
         for at in range(0, len(words), 4096):
             some = words[at : at + 4096]
-            w, m = np.nonzero(np.bitwise_count(_pairs_of_letters(some)[:, None] & self.pairs) >= self.least)
-            if not len(w):
-                continue
-            who, back = np.unique(w, return_inverse=True)
-            bags = _bags([some[i] for i in who])
-            both = np.minimum(bags[back], self.bags[m]).sum(axis=1)
-            ok = (both >= SHARED * size[m]) & (bags.sum(axis=1)[back] <= LONGER * size[m] + 1)
-            w, m = w[ok], m[ok]
+            w, m = np.nonzero((~_letters(some)[:, None] & self.needed) == 0)
             if not len(w):
                 continue
             used = np.unique(w)

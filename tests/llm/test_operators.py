@@ -229,6 +229,18 @@ def test_kernel_tolerates_insertions():
     assert value("stupid") == pytest.approx(1) and value("stxupid") > 0.3 and value("stupidd") > value("stxupid") and value("tulips") == 0
 
 
+def test_no_pair_that_reaches_the_least_value_is_left_out():
+    marks = toxicity.Landmarks(["stupid", "worthless", "idiot", "moron"])
+    some = ["iidiioott", "ssttuuppiidd", "mmoorroonn", "stupid", "worthles", "wortless", "tulips", "stxuxpid", "idio", "xxidiotxx", "morons", "s", "stupidstupid", "wworthlesss"]
+    a, b = toxicity._codes(marks.words, 34), toxicity._codes(some, 34)
+    own = lambda x: np.sqrt(toxicity.kernel(x, x))
+    for i, (m, values) in enumerate(marks.similar(some)):
+        want = (toxicity.kernel(a, np.repeat(b[i : i + 1], len(a), axis=0)) / own(a) / own(b[i : i + 1])) ** toxicity.POWER
+        near = np.flatnonzero(want >= toxicity.LEAST)
+        assert m.tolist() == near.tolist() and values == pytest.approx(np.minimum(want[near], 1))
+    assert all(max([0.0, *v]) > 0.3 for _, v in marks.similar(some[:3]))
+
+
 def test_licences(spark):
     mit = dict(licences.LICENCES)["MIT"]
     rows = [(1, "Copyright (c) 2020 Someone\n" + mit.replace("MIT License", "MIT Licence").replace('"', "“")), (2, mit.upper()), (3, mit + " extra"), (4, None), (5, ""), (6, "(c) 2020"), (7, "released under the mit licence"), (7, mit), (None, mit), (8, "x " * 50000)]
