@@ -217,10 +217,10 @@ SQL_DETECT = f"""p(i, k, c, v, risk) AS (VALUES {_SQL_PATTERNS}), d AS (SELECT r
 
 
 def reports(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as reports: what opens the text is what these operators look for, the excerpt is a report's summary."""
+    """Documents as reports: what opens the text is what these operators look for, the whole text follows."""
     k = F.col("doc_id") % 5
     lead = F.when(k == 0, "boot failure after upgrade; ").when(k == 1, "policy drift is unknown; ").when(k == 2, "missing dependency, cve open; ").otherwise("")
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("report_id"), F.concat(lead, F.substring("text", 1, 300)).alias("text"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("report_id"), F.concat(lead, "text").alias("text"))
 
 
 @query("violation_detect", f"WITH {SQL_DETECT} SELECT report_id, c AS root_cause, v AS violation, risk, i AS pattern_no FROM d WHERE r = 1")
