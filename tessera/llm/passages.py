@@ -9,12 +9,15 @@ likeness is s is missed if less than two functions agree: never at 1, with 0.027
 at 0.75; longer passages have more runs. A key's documents are pre-aggregated where they are made:
 each batch keeps its first document and links the others to it; then first documents meet by key
 and link likewise, so a passage in a third of all documents costs a row for each, never a pair for
-each two. Where that comparison fails, as the first document has only a part of a passage or an
-edited form of it, the key's other documents lead in turn, twice as many in each round, until every
-one is verified there or has met all earlier ones. Those that repeat an earlier one exactly don't lead.
-
-Pairs are verified on whole texts: stretches in which the tokens are
-shared, grown over edits, whose exact Jaccard similarity is ``SIMILAR`` or more.
+each two. Pairs are verified on whole texts: stretches in which the tokens are shared, grown over
+edits, whose exact Jaccard similarity is ``SIMILAR`` or more.
+
+Where that comparison fails, as the first document has only a part of a passage or an edited form
+of it, the key's other documents lead in turn, twice as many in each round, until every one is
+verified there or has met all earlier ones. Those that repeat an earlier one exactly don't lead.
+Most documents are left unverified because they share a line too short for a passage, and these are
+settled without comparing them: the tokens near open keys are counted, and a document stays only if
+those that another document has too would make a stretch, were they all of one document.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,27 +38,33 @@ from tessera.plans.catalogue import small
 #: Shingles of a passage of fifty words.
 SPAN = 46
 FUNCTIONS, HASHES, SIMILAR = 4, 2, 0.75
+#: Share of a stretch that both texts have if they are as long and alike as ``SIMILAR``.
+SHARED = 2 * SIMILAR / (1 + SIMILAR)
+#: Any longer stretch has one within it that is no longer: halves of one this long have ``SPAN`` tokens without the
+#: widest gap, and one half has as large a share.
+REACH = int(SPAN / (0.5 - (1 - SHARED))) + 1
 #: Documents verified in one task against the text of their first document.
 MEMBERS = 256
 
-_POSITION = 24  # bits of a position beside its hash in a sliding minimum
 _DISTANCE = 6  # bits of the distance of two minima in one run
 
 #: Documents whose cuts are broadcast at most; beyond it texts are shuffled to meet them.
 CUTS = 200_000
 
-LINKS = "kind int, key long, first long, doc long, at int"
+MADE = "first long, first_at long, key long, doc long, at long"
+LINKS = "key long, first long, first_at long, doc long, at long"
 
 
-def _mixed(x: np.ndarray, fn: int) -> np.ndarray:
-    return S.mix(x * np.uint64(2 * fn + 1) + np.uint64(0xD1B54A32D192ED03 * (fn + 1) % (1 << 64)))
+def _hashed(x: np.ndarray, fn: int) -> np.ndarray:
+    """A universal hash of tokens, which are mixed already."""
+    return x * np.uint64(0x9E3779B97F4A7C15 * (2 * fn + 3) ** 5 % (1 << 64) | 1) + np.uint64(0xD1B54A32D192ED03 * (fn + 1) % (1 << 64))
 
 
 def _minima(x: np.ndarray, fn: int, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """The place of the minimum of each run of ``span`` tokens, ties to the left, and the hashes it is taken from."""
+    """The place of the minimum of each run of ``span`` tokens, ties to the left, and the hashes it is taken from, with places in their lowest bits."""
     n = len(x)
-    low = np.uint64((1 << _POSITION) - 1)
-    packed = (_mixed(x, fn) & ~low) | np.arange(n, dtype=np.uint64)
+    low = np.uint64((1 << max(24, n.bit_length())) - 1)
+    packed = (_hashed(x, fn) & ~low) | np.arange(n, dtype=np.uint64)
     blocks = -(-n // span)
     padded = np.full(blocks * span, ~np.uint64(0))
     padded[:n] = packed
@@ -86,42 +96,69 @@ def windows(x: np.ndarray, fn: int, span: int = SPAN) -> tuple[np.ndarray, np.nd
     return ends[before] + 1, c, ends[after] - 1
 
 
-def _keys(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of the runs of a sequence of ``SPAN`` tokens or more, and where each first is: its minima's first place and, in the lowest bits, their distance."""
+def _keys(x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of the runs of several sequences, one behind the other: key, the number of its sequence, and
+    where it is: its minima's first place there and, in the lowest bits, their distance. Repeats stay."""
+    none = np.zeros(0, np.int64)
+    if len(x) < SPAN:
+        return none.view(np.uint64), none, none
     at = [_minima(x, fn, SPAN)[0] for fn in range(FUNCTIONS)]
-    new = [np.concatenate([[True], c[1:] != c[:-1]]) for c in at]
-    keys, places = [], []
+    sizes = np.diff(starts)
+    last = np.repeat(starts[1:], sizes)[: len(at[0])] - SPAN  # where the last run of each token's sequence begins
+    inside = np.arange(len(at[0])) <= last
+    new = []
+    for c in at:
+        fresh = np.concatenate([[True], c[1:] != c[:-1]])
+        heads = starts[:-1][sizes >= SPAN]
+        fresh[heads] = True
+        new.append(fresh & inside)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    keys, places, owners = [], [], []
     for i in range(FUNCTIONS):
         for j in range(i + 1, FUNCTIONS):
             run = np.flatnonzero(new[i] | new[j])
             one, two = at[i][run], at[j][run]
             keys.append(S.mix(x[one] * np.uint64(2 * i + 3) + S.mix(x[two] + np.uint64(i * FUNCTIONS + j))))
-            places.append(np.minimum(one, two) << _DISTANCE | np.abs(one - two))
-    found, first = np.unique(np.concatenate(keys), return_index=True)
-    return found, np.concatenate(places)[first].astype(np.int32)
+            owner = of[run]
+            owners.append(owner)
+            places.append(np.minimum(one, two) - starts[owner] << _DISTANCE | np.abs(one - two))
+    return np.concatenate(keys), np.concatenate(owners), np.concatenate(places)
+
+
+def _linked(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows sorted by (key, doc): which begin a key, which are a further document of one, and each row's first."""
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+    again = ~new & (doc != doc[lead]) & np.concatenate([[True], doc[1:] != doc[:-1]])
+    return new, again, lead
 
 
 def _scan() -> Callable:
+    """Rows (key, doc, at) of each batch's first documents, and its other documents with their first."""
+
     def make() -> Callable:
         def step(rows: pa.Table) -> pa.Table | None:
             ids, texts = rows["doc_id"].to_numpy(), rows["text"].to_pylist()
             parts: list[tuple] = []
             for a, b in S.pieces(texts):
                 hashes, starts = S.sequence(*S.words(texts[a:b]))
-                for d in np.flatnonzero(np.diff(starts) >= SPAN):
-                    k, at = _keys(hashes[starts[d] : starts[d + 1]])
-                    parts.append((k, np.full(len(k), ids[a + d]), at))
-            if not parts:
-                return None
+                key, owner, at = _keys(hashes, starts)
+                parts.append((key, ids[a + owner], at))
             key, doc, at = (np.concatenate(c) for c in zip(*parts, strict=True))
-            order = np.lexsort((doc, key))
+            if not len(key):
+                return None
+            order = np.lexsort((at, doc, key))
             key, doc, at = (c[order] for c in (key, doc, at))
-            new = np.concatenate([[True], key[1:] != key[:-1]])
-            lead = doc[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-            keep = new | (doc != lead)
-            kind = np.where(new, 0, 1).astype(np.int32)
-            first = pa.array(lead[keep], mask=new[keep])
-            return pa.table({"kind": kind[keep], "key": key.view(np.int64)[keep], "first": first, "doc": doc[keep], "at": at[keep]})
+            new, again, lead = _linked(key, doc, at)
+            keep = new | again
+            alone = new[keep]
+            return pa.table({
+                "first": pa.array(doc[lead][keep], mask=alone),
+                "first_at": pa.array(at[lead][keep], mask=alone),
+                "key": key.view(np.int64)[keep],
+                "doc": doc[keep],
+                "at": at[keep],
+            })
 
         return step
 
@@ -129,35 +166,40 @@ def _scan() -> Callable:
 
 
 def _lead(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (key, doc) the links of each to the first document of its key."""
-    key_now, lead_now = None, None
+    """Links: those made before, and from the other rows, sorted by (key, doc), those of each to the first document of its key."""
+    now: tuple[int, int, int] | None = None
+    names = ["key", "first", "first_at", "doc", "at"]
     for b in rows:
-        key, doc = b.column("key").to_numpy(), b.column("doc").to_numpy()
-        if not len(key):
+        made = b.filter(pc.is_valid(b.column("first")))
+        if made.num_rows:
+            yield made.select(names)
+        b = b.filter(pc.is_null(b.column("first")))
+        if not b.num_rows:
             continue
-        new = np.concatenate([[key_now is None or key[0] != key_now], key[1:] != key[:-1]])
-        at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-        lead = np.where(at >= 0, doc[at], lead_now if lead_now is not None else 0)
-        key_now, lead_now = key[-1], lead[-1]
-        keep = lead != doc
-        if keep.any():
-            yield pa.record_batch({"key": key[keep], "first": lead[keep], "doc": doc[keep], "at": b.column("at").to_numpy()[keep]})
+        key, doc, at = (b.column(c).to_numpy() for c in ("key", "doc", "at"))
+        if now is not None:
+            key, doc, at = (np.concatenate([[x], c]) for x, c in zip(now, (key, doc, at), strict=True))
+        _, again, lead = _linked(key, doc, at)
+        now = key[lead[-1]], doc[lead[-1]], at[lead[-1]]
+        if again.any():
+            yield pa.record_batch([key[again], doc[lead][again], at[lead][again], doc[again], at[again]], names)
 
 
-def stretches(a: np.ndarray, b: np.ndarray, least: float = SIMILAR, span: int = SPAN) -> list[tuple[int, int, int, int, float]]:
+def stretches(a: np.ndarray, b: np.ndarray, least: float = SIMILAR, span: int = SPAN, order: np.ndarray | None = None) -> list[tuple[int, int, int, int, float]]:
     """(begin, end, begin in a, end in a, similarity) of the stretches of ``b`` that ``a`` has nearly too, in tokens.
 
     A stretch grows over unshared tokens as long as enough of it is shared; its counterpart spans
     the first places in ``a`` of its tokens, near their median shift. Stretches and counterparts have ``span`` tokens or more.
+    ``order`` sorts ``a``, where known.
     """
-    order = np.argsort(a, kind="stable")
+    order = np.argsort(a, kind="stable") if order is None else order
     sorted_a = a[order]
     at = np.searchsorted(sorted_a, b)
     at[at == len(a)] = 0
     shared = sorted_a[at] == b
     edge = np.flatnonzero(np.diff(np.concatenate([[0], shared.view(np.int8), [0]])))
     runs = list(zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True))
-    cost = 2 * least / (1 + least)  # share of shared tokens on both sides at the limit
+    cost = 2 * least / (1 + least)
     merged: list[list[int]] = []
     for x, y in runs:
         if merged:
@@ -204,7 +246,7 @@ SPANS = "doc_id long, start long, stop long, first_doc_id long, first_start long
 
 def _verify(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (first, block, side): the first document's text, then those linked with it."""
-    now, first = None, np.zeros(0, np.uint64)
+    now, first, order = None, np.zeros(0, np.uint64), None
     for t in whole_groups(rows, ["first", "block", "side", "doc"], 1 << 22):
         texts = t["text"].to_pylist()
         out: list[tuple] = []
@@ -216,8 +258,9 @@ def _verify(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x = hashes[starts[i - a] : starts[i - a + 1]]
                 if sides[i] == 0:
                     now, first = group[i], x.copy()
+                    order = np.argsort(first, kind="stable")
                 elif group[i] == now and len(first) >= SPAN and len(x) >= SPAN:
-                    out += [(docs[i], s, e + S.WIDTH - 1, now[0], u, v + S.WIDTH - 1, j) for s, e, u, v, j in stretches(first, x)]
+                    out += [(docs[i], s, e + S.WIDTH - 1, now[0], u, v + S.WIDTH - 1, j) for s, e, u, v, j in stretches(first, x, order=order)]
         if out:
             cols = list(zip(*out, strict=True))
             names = ["doc_id", "start", "stop", "first_doc_id", "first_start", "first_stop"]
@@ -237,15 +280,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     * Texts of any length are read whole; empty in, empty out; other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    made = table(docs.mapInArrow(_scan(), LINKS), "runs")
-    local = made.where("kind = 1").select("key", "first", "doc", "at")
-    leads = made.where("kind = 0").select("key", "doc", "at")
-    met = leads.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_lead, "key long, first long, doc long, at int")
-    links = table(local.union(met), "links")
-    drop(made)
+    dealt = docs.mapInArrow(_scan(), MADE).repartition(F.when(F.col("first").isNull(), F.col("key")).otherwise(F.xxhash64("doc")))
+    links = table(dealt.sortWithinPartitions("key", "doc").mapInArrow(_lead, LINKS), "links")
     tried = table(links.select("first", "doc").distinct(), "pairs")
     spans = _verified(docs, tried)
-    held = _unsettled(links, spans)
+    held = _unsettled(docs, links, spans)
     used = [links, tried, spans, held]
     begin, most = 0, held.agg(F.max("rank")).first()[0] or 0
     while begin < most:
@@ -276,14 +315,99 @@ def _covered(members: DataFrame, spans: DataFrame) -> DataFrame:
     return members.join(per, "doc", "left").withColumn("done", done).withColumn("same", same).drop("_found")
 
 
-def _unsettled(links: DataFrame, spans: DataFrame) -> DataFrame:
-    """(key, doc, at, rank) of keys that have a document with no passage found there and another before it, without those equal to an earlier one."""
-    first = links.select("key", F.col("first").alias("doc"), F.lit(None).cast("int").alias("at"))
+def _unsettled(docs: DataFrame, links: DataFrame, spans: DataFrame) -> DataFrame:
+    """(key, doc, at, rank) of keys that have a document with no passage found there and another before it,
+    without those equal to an earlier one and those that can have no partner."""
+    first = links.select("key", F.col("first").alias("doc"), F.col("first_at").alias("at"))
     each = links.select("key", "doc", "at").union(first).groupBy("key", "doc").agg(F.min("at").alias("at"))
-    some = _covered(each, spans).where("not same")
-    w = Window.partitionBy("key")
-    some = some.withColumn("rank", F.row_number().over(w.orderBy("doc")) - 1).withColumn("_open", F.max(F.when(~F.col("done"), F.col("rank")).otherwise(0)).over(w))
-    return table(some.where("_open > 0").select("key", "doc", "at", "rank"), "unsettled")
+    judged = table(_covered(each, spans).where("not same").select("key", "doc", "at", "done"), "judged")
+    some = table(_contested(judged), "open")
+    left = _contested(some.join(_supported(docs, some), ["doc", "at"]).select(judged.columns))
+    out = table(left.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("doc")) - 1).select("key", "doc", "at", "rank"), "unsettled")
+    drop(judged, some)
+    return out
+
+
+def _contested(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, doc, at, done) of keys with a document that isn't done behind another."""
+    keys = rows.groupBy("key").agg(F.min("doc").alias("lowest"), F.max(F.when(~F.col("done"), F.col("doc"))).alias("open")).where("open > lowest")
+    return rows.join(keys.select("key"), "key", "left_semi")
+
+
+def _supported(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The (doc, at) of ``rows`` in a stretch of tokens of which enough occur in another document near an ``at`` of its."""
+    places = table(rows.groupBy("doc").agg(F.sort_array(F.collect_set("at")).alias("at")), "places")
+    texts = passing(docs, "doc_id", places.select("doc")).select(F.col("doc_id").alias("doc"), "text")
+    tokens = places.join(texts, "doc").mapInArrow(mapper(_around), "token long, doc long, place long, size long")
+    only = tokens.groupBy("token").agg(F.min("doc").alias("doc"), F.max("doc").alias("other"), F.min("place").alias("place"), F.min("size").alias("size")).where("doc = other")
+    per = only.groupBy("doc").agg(F.sort_array(F.collect_list("place")).alias("places"), F.max("size").alias("size"))
+    out = table(places.join(per, "doc", "left").mapInArrow(mapper(_possible), "doc long, at long"), "supported")
+    drop(places)
+    return out
+
+
+def _near(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The places of the minima at ``at``, and the ends of what a stretch of ``REACH`` tokens with both may have."""
+    low = at >> _DISTANCE
+    high = low + (at & (1 << _DISTANCE) - 1)
+    return low, high, np.maximum(high - REACH + 1, 0), low + REACH
+
+
+def _around() -> Callable:
+    """The tokens near the places ``at`` of each text, each once, with the first place, and the number of the text's tokens."""
+
+    def step(rows: pa.Table) -> pa.Table | None:
+        texts, places, ids = rows["text"].to_pylist(), rows["at"].to_pylist(), rows["doc"].to_pylist()
+        parts: list[tuple] = []
+        for a, b in S.pieces(texts):
+            hashes, starts = S.sequence(*S.words(texts[a:b]))
+            for i in range(a, b):
+                x = hashes[starts[i - a] : starts[i - a + 1]]
+                _, _, begin, end = _near(np.array(places[i], np.int64))
+                steps = np.zeros(len(x) + 1, np.int64)
+                np.add.at(steps, np.minimum(begin, len(x)), 1)
+                np.add.at(steps, np.minimum(end, len(x)), -1)
+                near = np.flatnonzero(np.cumsum(steps)[:-1] > 0)
+                token, first = np.unique(x[near], return_index=True)
+                parts.append((token.view(np.int64), np.full(len(token), ids[i]), near[first], np.full(len(token), len(x))))
+        return pa.table(dict(zip(("token", "doc", "place", "size"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+
+    return step
+
+
+def possible(at: np.ndarray, alone: np.ndarray, size: int) -> np.ndarray:
+    """Which of ``at`` are in a stretch of ``SPAN`` to ``REACH`` of ``size`` tokens, its ends and a share of ``SHARED`` not in ``alone``."""
+    low, high, begin, end = _near(at)
+    end = np.minimum(end, size)
+    lost = np.zeros(int(end.max(initial=0)) + 1, bool)
+    lost[alone[alone < len(lost)]] = True
+    # a stretch [x, y) has a large enough share if its level doesn't rise
+    level = np.concatenate([[0], np.cumsum(lost)]) / (1 - SHARED) - np.arange(len(lost) + 1)
+    begins = np.where(lost, -np.inf, level[:-1])
+    ends = np.where(lost, np.inf, level[1:])  # of the stretch whose last token is here
+    good = np.zeros(len(at), bool)
+    for i in range(len(at)):
+        highest = np.maximum.accumulate(begins[begin[i] : low[i] + 1])
+        last = np.arange(high[i], end[i])
+        head = np.minimum(last - SPAN + 1, low[i]) - begin[i]
+        fit = head >= 0
+        good[i] = (highest[head[fit]] + 1e-6 >= ends[last[fit]]).any()
+    return good
+
+
+def _possible() -> Callable:
+    def step(rows: pa.Table) -> pa.Table | None:
+        docs, keep = [], []
+        columns = (rows[c].to_pylist() for c in ("doc", "at", "places", "size"))
+        for doc, at, alone, size in zip(*columns, strict=True):
+            at = np.array(at, np.int64)
+            # where every token is in another document too, the size is not known, nor needed
+            good = at[possible(at, np.array(alone or [], np.int64), 1 << 60 if size is None else size)]
+            docs.append(np.full(len(good), doc, np.int64))
+            keep.append(good)
+        return pa.table({"doc": np.concatenate(docs), "at": np.concatenate(keep)})
+
+    return step
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -291,7 +415,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     counts = pairs.groupBy("first").agg(F.count("*").alias("n"))
     blocks = pairs.join(counts, "first").withColumn("block", F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / MEMBERS).cast("long")))
     wanted = pairs.select(F.col("first").alias("id")).union(pairs.select("doc")).distinct()
-    texts = table(passing(docs, "doc_id", wanted), "texts")
+    texts = table(passing(docs, "doc_id", table(wanted, "wanted")), "texts")
     members = blocks.select("first", "block", F.lit(1).alias("side"), "doc").join(texts.withColumnRenamed("doc_id", "doc"), "doc").select("first", "block", "side", "doc", "text")
     heads = blocks.select("first", "block").distinct().join(texts.withColumnRenamed("doc_id", "first"), "first")
     heads = heads.select("first", "block", F.lit(0).alias("side"), F.col("first").alias("doc"), "text")

@@ -93,7 +93,7 @@ def test_contamination_equals_brute_force(spark):
 
 def test_windows_are_cartesian_tree_nodes():
     x = np.random.default_rng(0).integers(0, 1 << 63, 700).astype(np.uint64)
-    h = (passages._mixed(x, 2) & ~np.uint64((1 << 24) - 1)) | np.arange(len(x), dtype=np.uint64)
+    h = (passages._hashed(x, 2) & ~np.uint64((1 << 24) - 1)) | np.arange(len(x), dtype=np.uint64)
     want = set()
     for c in range(len(x)):
         left = right = c
