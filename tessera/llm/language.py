@@ -39,16 +39,18 @@ def _letter_table() -> np.ndarray:
 
 
 def subwords(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """For each subword length its buckets and the text of each, and the number of letters of each text."""
+    """For each subword length its buckets and their places, where the places of each text begin, and its number of letters.
+
+    Each text has a border of its own on both sides, so its subwords are the same in any company.
+    """
     low = [(t or "").lower() for t in texts]
-    joined = " " + " ".join(low) + " "
+    joined = " " + "  ".join(low) + " "
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letter_table()[points]
     sizes = np.fromiter(map(len, low), np.int64, len(low))
-    ends = 1 + np.cumsum(sizes + 1)
-    starts = ends - sizes - 1
+    starts = np.concatenate([[0], np.cumsum(sizes + 2)])[:-1]
     count = np.concatenate([[0], np.cumsum(letter)])
-    letters = count[np.minimum(ends - 1, len(points))] - count[starts]
+    letters = count[starts + 1 + sizes] - count[starts + 1]
     p = np.where(letter, points, 0).astype(np.uint32)
     found = []
     for n in (2, 3, 4):
@@ -88,13 +90,15 @@ class Model:
     seen: np.ndarray  # 1 for buckets that fitting met
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text; und and 0 for null or no letter.
+        """Language and score of each text; und and 0 for null or no letter, and for all where no language was learned.
 
         The score is the calibrated probability times the share of subwords that fitting met, so a text in
         a script or vocabulary of its own scores low however clear its softmax is.
         """
         names: list[str] = []
         best = np.zeros(len(texts))
+        if not self.languages:
+            return [UND] * len(texts), best
         for a, b in pieces(texts):
             found, starts, letters = subwords(texts[a:b])
             total, n, met = np.zeros((b - a, len(self.languages))), np.zeros(b - a), np.zeros(b - a)
@@ -177,13 +181,14 @@ def learnable(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fitted on at most ``sample`` documents of each non-null lang among those that aren't held out.
+    """Fitted on at most ``sample`` documents, and ``sampling.BYTES``, of each non-null lang among those that aren't held out.
 
-    Without any labelled document there is nothing to learn, which is an error.
+    Without any labelled document there is nothing to learn, and the model answers und to every text.
     """
-    rows = per_class(learnable(docs), "lang", "doc_id", sample).orderBy("doc_id", "lang", "text").collect()
+    some = learnable(docs)
+    rows = per_class(some, some, "lang", "doc_id", sample).orderBy("doc_id", "lang").collect()
     if not rows:
-        raise ValueError("no labelled documents to learn from")
+        return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros(0, np.float32), 1.0, 1.0, np.zeros(BUCKETS, np.float32))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 

@@ -11,15 +11,24 @@ def held_out(doc_id: str, parts: int, part: int) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(parts)) == part, F.lit(False))
 
 
-def per_class(rows: DataFrame, label: str, key: str, bound: int, salts: int = 64) -> DataFrame:
-    """At most about ``bound`` rows of each value of ``label``, those with the smallest hash of ``key``.
+#: Bytes of text of each class that a sample holds at most; it ends before the first row beyond.
+BYTES = 1 << 24
 
+
+def per_class(marked: DataFrame, texts: DataFrame, label: str, key: str, bound: int, salts: int = 64, most: int = BYTES) -> DataFrame:
+    """At most ``bound`` rows (key, text, label), and ``most`` bytes of text, of each value of ``label``: those with the smallest hash of ``key``.
+
+    ``marked`` has key and label, ``texts`` key and text, and label too where it depends on the row.
     Taken in two steps, ``salts`` groups in a class and then the class, so that no task sees a
-    whole class; a class of up to ``bound`` rows is taken whole. Only ``key`` and ``label`` are ranked.
+    whole class. Only key and label are ranked; of rows that have both in common the one with
+    the smallest text counts, so repeated ids don't enlarge the sample.
     """
-    at = rows.select(F.col(key), F.col(label), F.xxhash64(F.lit(7), key).alias("h")).withColumn("salt", F.pmod(F.xxhash64("h"), F.lit(salts)))
+    at = marked.select(F.col(key), F.col(label), F.xxhash64(F.lit(7), key).alias("h")).distinct().withColumn("salt", F.pmod(F.xxhash64("h"), F.lit(salts)))
     first = Window.partitionBy(label, "salt").orderBy("h", key)
     some = at.withColumn("r", F.row_number().over(first)).where(F.col("r") <= bound)
     last = Window.partitionBy(label).orderBy("h", key)
-    few = some.withColumn("r", F.row_number().over(last)).where(F.col("r") <= bound).select(key, label)
-    return rows.join(F.broadcast(few.select(key).distinct()), key, "left_semi")
+    few = some.withColumn("r", F.row_number().over(last)).where(F.col("r") <= bound).select(key, label, "h")
+    on = [key, label] if label in texts.columns else [key]
+    found = texts.join(F.broadcast(few), on).groupBy(key, label, "h").agg(F.min("text").alias("text"))  # ``bound`` rows a class
+    sizes = found.withColumn("size", F.sum(F.octet_length("text")).over(last))
+    return sizes.where(F.col("size") <= most).select(key, "text", label)

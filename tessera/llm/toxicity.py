@@ -277,12 +277,15 @@ def fit(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS, epochs: int
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fitted on at most ``sample`` labelled documents of each class among those that aren't held out."""
+    """Fitted on at most ``sample`` labelled documents, and ``sampling.BYTES``, of each class among those that aren't held out.
+
+    Without any the model has nothing to go by, and every text scores 0 to within 1e-17.
+    """
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", 5, 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = per_class(marked, "toxic", "doc_id", sample)
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").collect()
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
+    rows = per_class(marked, texts, "toxic", "doc_id", sample).orderBy("doc_id").collect()
     if not rows:
-        raise ValueError("no labelled documents to learn from")
+        return Model(Landmarks([]), np.zeros((0, 0)), np.zeros(0), 0.0, 0.0, -40.0)
     return fit([r["text"] for r in rows], np.array([r["toxic"] == 1 for r in rows]))
 
 
