@@ -16,7 +16,7 @@ import re
 import unicodedata
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,10 @@ from tessera.llm.shared import drop, mapper, table
 CAPACITY = 2048
 #: Pieces packed together in one task.
 DEALT = 60_000
-#: Words whose ids a worker keeps.
-KNOWN = 800_000
+#: Bytes of words and ids that a worker keeps, and characters of a word that is kept at most.
+KNOWN, LONGEST = 64 << 20, 48
+#: Bytes that a kept word takes beside its characters and ids.
+_ENTRY = 200
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -63,6 +65,7 @@ class Ids:
         probe = self._one("Ab, c.").startswith(self._one("ab") + self._one(",")) and self._one(" a b ") == self._one("a") + self._one("b")
         self.splits = bool(special) and probe and not self._one(" ") and all(self._word(w) == self._one(w) for w in ("a", "street", "größe", "ciónque"))
         self.known: dict[str, bytes] = {"": b""}
+        self.held = 0
 
     def _one(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -70,38 +73,52 @@ class Ids:
     def _word(self, word: str) -> bytes:
         return array("I", [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.bytes))]).tobytes()
 
-    def _learn(self, new: set[str]) -> None:
+    def _encoded(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
         rest = []
         for w in new:
             if w.isalpha():
-                self.known[w] = self._word(w)
+                yield w, self._word(w)
             else:
                 rest.append(w)
         if rest:
             ids = np.array(self.tokenizer.encode(self.between.join(rest), add_special_tokens=False).ids, "<u4")
             ends = np.flatnonzero(ids == self.mark)
             for w, a, b in zip(rest, [0, *(ends + 1)], [*ends, len(ids)], strict=True):
-                self.known[w] = ids[a:b].tobytes()
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        words = [_BEHIND.sub(r" \g<0>", t.lower()).replace("\n", " ").split(" ") if self.splits and _plain(t) else None for t in texts]
-        some = set().union(*(w for w in words if w))
-        new = some - self.known.keys()
-        if len(self.known) + len(new) > KNOWN:
-            self.known = {"": b""}
-            new = some - {""}
-        self._learn(new)
-        get = self.known.__getitem__
-        return [self._one(t) if w is None else b"".join(map(get, w)) for w, t in zip(words, texts, strict=True)]
+                yield w, ids[a:b].tobytes()
+
+    def of(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text, text by text, so that no more than one text's words are held beside those kept."""
+        for text in texts:
+            low = _plain(text) if self.splits else None
+            if low is None:
+                yield self._one(text)
+                continue
+            words = _BEHIND.sub(r" \g<0>", low).replace("\n", " ").split(" ")
+            try:
+                yield b"".join(map(self.known.__getitem__, words))
+            except KeyError:
+                found = dict(self._encoded([w for w in set(words) if w not in self.known]))
+                yield b"".join([found[w] if w in found else self.known[w] for w in words])
+                self._keep(found)
+
+    def _keep(self, found: dict[str, bytes]) -> None:
+        short = {w: ids for w, ids in found.items() if len(w) <= LONGEST}
+        self.known |= short
+        self.held += sum(_ENTRY + len(w) + len(ids) for w, ids in short.items())
+        if self.held > KNOWN:
+            self.known, self.held = {"": b""}, 0
 
 
 #: Punctuation right behind a letter.
 _BEHIND = re.compile(r"(?<=[^\W\d_])[.,;:!?#*%&$|()]")
 
 
-def _plain(text: str) -> bool:
-    """Whether lower-casing first changes nothing: no special token's beginning, no final sigma, NFC."""
-    return "<|" not in text and "\u03a3" not in text and unicodedata.is_normalized("NFC", text)
+def _plain(text: str) -> str | None:
+    """The text in lower case, if this is all that the tokenizer would change: no special token's beginning, no final sigma, NFC before and after."""
+    if "<|" in text or "\u03a3" in text or not unicodedata.is_normalized("NFC", text):
+        return None
+    low = text.lower()
+    return low if low.isascii() or unicodedata.is_normalized("NFC", low) else None
 
 
 #: Kept while a worker lives, so that its next task starts with what is known.
@@ -116,7 +133,7 @@ def _cut(path: str, capacity: int, end_id: int) -> Callable:
 
         def step(rows: pa.Table) -> pa.Table:
             out: list[tuple] = []
-            texts = [t or "" for t in rows["text"].to_pylist()]
+            texts = (t.as_py() or "" for chunk in rows["text"].chunks for t in chunk)
             for doc, raw in zip(rows["doc_id"].to_pylist(), ids.of(texts), strict=True):
                 raw += end
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):

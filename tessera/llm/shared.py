@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,9 +20,11 @@ _written: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; sets one only where it is unset."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; sets one only where it is unset, on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(LOCAL_SHARED)
     return named or LOCAL_SHARED
 
@@ -154,5 +157,13 @@ def mapper(make: Callable[[], Callable[[pa.Table], pa.Table | None]], limit: int
             out = step(part)
             if out is not None and out.num_rows:
                 yield from out.to_batches()
+        give_back()
 
     return run
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: a worker outlives its task, and waits beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
