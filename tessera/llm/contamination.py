@@ -10,7 +10,8 @@ with probability ``MISS`` at most. Where that number is no smaller than the set
 the smallest items, every shingle is its own band, which misses nothing. Candidates are
 verified on the exact sets.
 
-Items are held in memory in blocks of bounded size; each block is one pass over the documents.
+Items are held in memory in blocks of bounded size; each block is one pass over the documents, whose
+result is written before the next block is held.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles as S
-from tessera.llm.shared import mapper
+from tessera.llm.shared import drop, mapper, table
 
 MISS = 1e-6
 #: Shingles of items that are held in memory, and broadcast, at once.
@@ -129,13 +130,14 @@ def _item_blocks(items: DataFrame, width: int, block: int) -> Iterator[tuple[lis
         return pa.table({"item_id": rows["item_id"], "n": pa.array([len(s) for s in sets], pa.int64()), "s": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     named = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
-    made = named.mapInArrow(mapper(lambda: sets_of), "item_id long, n long, s binary").where("n > 0")
+    made = table(named.mapInArrow(mapper(lambda: sets_of), "item_id long, n long, s binary").where("n > 0"), "items")
     total = made.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, math.ceil(total / (block / 2)))
     for b in range(blocks):
         part = made.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
         rows = part.orderBy("item_id", "s").collect()  # bounded by ``block`` on average; hashing splits evenly
         yield [r["item_id"] for r in rows], [np.frombuffer(bytes(r["s"]), np.uint64) for r in rows]
+    drop(made)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.75, width: int = S.WIDTH, block: int = BLOCK) -> DataFrame:
@@ -171,7 +173,8 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.75, width:
 
             return step
 
-        part = texts.mapInArrow(mapper(make), kind)
+        part = table(texts.mapInArrow(mapper(make), kind), "found")
+        held.destroy()
         out = part if out is None else out.union(part)
     best = out.groupBy("doc_id", "item_id").agg(F.max("n_shared").alias("n_shared"), F.max("item_shingles").alias("item_shingles"))
     return best.withColumn("containment", F.col("n_shared") / F.col("item_shingles"))
