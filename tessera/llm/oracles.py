@@ -18,7 +18,10 @@ SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id OR
 
 #: Base32 from the digest's hex digits, five of them at a time.
 CAPTURES = """
-WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
-b AS (SELECT page_id, payload_bytes, h, array_to_string(list_transform(range(0, 32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substring(h, 1 + i // 4 * 5, 5) AS INTEGER) >> (5 * (3 - i % 4))) & 31 AS INTEGER), 1)), '') AS payload_digest FROM p),
-f AS (SELECT payload_digest, payload_bytes, min(page_id) AS first FROM b GROUP BY ALL)
-SELECT b.page_id, b.payload_bytes, b.payload_digest, CASE WHEN f.first = b.page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN f.first <> b.page_id THEN f.first END AS refers_to FROM b JOIN f USING (payload_digest, payload_bytes)"""
+WITH p AS (SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (SELECT page_id, url, payload_bytes, h, array_to_string(list_transform(range(0, 32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substring(h, 1 + i // 4 * 5, 5) AS INTEGER) >> (5 * (3 - i % 4))) & 31 AS INTEGER), 1)), '') AS payload_digest FROM p),
+f AS (SELECT payload_digest, payload_bytes, min(page_id) AS first FROM b GROUP BY ALL),
+u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+k AS (SELECT page_id, CASE WHEN rest = '' THEN '' ELSE array_to_string(list_reverse(string_split(regexp_replace(lower(regexp_extract(rest, '^[^/?#]*')), '^www[.]', ''), '.')), ',') || ')' || regexp_replace(rest, '^[^/?#]*', '') END AS url_key, TIMESTAMP '2024-01-01' + to_seconds(page_id % 2147483648) AS captured FROM u),
+o AS (SELECT page_id, row_number() OVER (ORDER BY url_key, captured, page_id) AS history_rank FROM k)
+SELECT b.page_id, b.payload_bytes, b.payload_digest, CASE WHEN f.first = b.page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN f.first <> b.page_id THEN f.first END AS refers_to, o.history_rank FROM b JOIN f USING (payload_digest, payload_bytes) JOIN o ON o.page_id = b.page_id"""

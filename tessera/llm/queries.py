@@ -44,7 +44,7 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archive(_read(spark, sf_dir, "pages"))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "history_rank")
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import components, contamination, language, licences, minhash, packing, passages, shingles, topk, toxicity, urls, warc
@@ -210,6 +211,40 @@ def test_language_held_out(spark):
     assert language.identify(table(spark, []), model).count() == 0
 
 
+def test_a_language_does_not_depend_on_neighbours_nor_repeats(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = [r["text"] for r in docs.orderBy("doc_id").collect()] + ["le", "haben werden nicht", "", None, "x", "a b", "\U00010400"]
+    model = language.fit([t for t in texts[:150] if t], [r["lang"] for r in docs.orderBy("doc_id").collect()[:150] if r["text"]], epochs=4)
+    names, scores = model.predict(texts)
+    alone = [model.predict([t]) for t in texts]
+    assert names == [a[0][0] for a in alone] and scores == pytest.approx([a[1][0] for a in alone], abs=1e-12)
+    hundred = docs.limit(1).withColumn("lang", F.lit("xx")).crossJoin(spark.range(100)).select(docs.columns)
+    only = language.per_class(hundred, hundred, "lang", "doc_id", 10).collect()
+    assert len(only) == 1
+    few = language.per_class(docs, docs, "lang", "doc_id", 10, most=20_000).collect()
+    assert few and sum(len(r["text"].encode()) for r in few) <= 20_000 * docs.select("lang").distinct().count()
+
+
+def test_nothing_to_learn_from(spark):
+    docs = spark.createDataFrame([(1, "the text", None), (3, None, "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    for some in (docs, docs.limit(0)):
+        got = language.identify(some, language.train(some)).collect()
+        assert [(r["lang_pred"], r["score"], r["accepted"]) for r in got] == [("und", 0.0, False)] * some.count()
+        assert all(r["toxicity"] < 1e-9 for r in toxicity.score(some, toxicity.train(some, labels)).collect())
+    ones = spark.createDataFrame([(1, 1), (3, 1)], "doc_id long, toxic int")
+    assert all(0 <= r["toxicity"] <= 1 for r in toxicity.score(docs, toxicity.train(docs, ones)).collect())
+
+
+def test_ids_equal_the_tokenizers_on_strange_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, r = Tokenizer.from_file(path), random.Random(1)
+    letters = list("abcABC İıßΣσςéÉàñ.,;:!?#*%&$|()'\"-_/\\0123456789\n\t \x1c\xa0\u0323\u0300\u0345中文😀ﬁǅ")
+    texts = ["".join(r.choices(letters, k=r.randrange(40))) for _ in range(5000)]
+    for t, raw in zip(texts, packing.Ids(path).of(texts), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     labels = labels.where("doc_id % 3 = 0")
@@ -266,8 +301,12 @@ def test_warc_round_trip(spark, tmp_path):
         assert (r["payload_bytes"], r["payload_digest"]) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode())
         if r["page_id"] is not None:
             assert (r["record_type"], r["refers_to"]) == (("response", None) if first[body] == r["page_id"] else ("revisit", first[body]))
-    key = [(r["url_key"], r["captured"]) for r in sorted(out, key=lambda r: (r["history_range"], r["history_place"]))]
-    assert key == sorted(key)
+    key = [(r["url_key"], r["captured"]) for r in sorted(out, key=lambda r: r["history_rank"])]
+    assert key == sorted(key) and sorted(r["history_rank"] for r in out) == list(range(1, len(out) + 1))
+    heads = [f.read_bytes().decode("utf-8", "replace") for f in (tmp_path / "w").rglob("part-*")]
+    named = [x for h in heads for x in re.findall(r"WARC-Record-ID: <([^>]*)>", h)]
+    assert len(set(named)) == len(named) == len(pages)
+    assert {x for h in heads for x in re.findall(r"WARC-Refers-To: <([^>]*)>", h)} <= set(named) | {"urn:tessera:page:9"}
     assert {r["record_type"] for r in warc.archive(spark.createDataFrame(pages, "page_id long, url string, html string"), smallest=10**6).collect()} == {"response"}
     assert warc.archive(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     for n in range(6):
@@ -312,3 +351,21 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
     few = topk.top_k(spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")).collect()
     assert [tuple(x) for x in few] == [(0, 1, 1, 8192)]
+
+
+def test_top_k_of_large_components(spark):
+    r = np.random.default_rng(3)
+    for scales in ((1, 5), (1e3, 1e6), (1, 3e7)):  # scores up to 2**53 and 2**62
+        rows = [(i, [float(x) for x in r.normal(0, scales[i % 2], 4)]) for i in range(120)]
+        if scales[1] == 5:  # a component of any size, where no other vector has one
+            rows = [(i, [0.0, *v[1:]]) for i, v in rows] + [(401, [1e300, 0.0, 0.0, 0.0])]
+        whole = {i: [topk._whole(x) for x in v] for i, v in rows}
+        want = {}
+        for q in whole:
+            if q % 20 == 0:
+                best = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:20]
+                want |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(best)}
+        got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=4).collect()
+        assert {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in got} == want
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.top_k(spark.createDataFrame([(0, [1e12]), (1, [1e12])], "vec_id long, embedding array<double>")).collect()
