@@ -8,16 +8,17 @@ the minima are: inserted and deleted words move them without changing the key. A
 likeness is s is missed if less than two functions agree: never at 1, with 0.027 at 0.8 and 0.051
 at 0.75; longer passages have more runs. A key's documents are pre-aggregated where they are made:
 each batch keeps its first document and links the others to it; then first documents meet by key
-and link likewise, so a passage in a third of all documents costs a row for each, never a pair for
-each two. Pairs are verified on whole texts: stretches in which the tokens are shared, grown over
+and link likewise, and the batch's others follow to the key's first document. So a passage in a third
+of all documents costs a row for each, never a pair for each two, and links don't depend on batches.
+Pairs are verified on whole texts: stretches in which the tokens are shared, grown over
 edits, whose exact Jaccard similarity is ``SIMILAR`` or more.
 
-Where that comparison fails, as the first document has only a part of a passage or an edited form
-of it, the key's other documents lead in turn, twice as many in each round, until every one is
-verified there or has met all earlier ones. Those that repeat an earlier one exactly don't lead.
-Most documents are left unverified because they share a line too short for a passage, and these are
-settled without comparing them: the tokens near open keys are counted, and a document stays only if
-those that another document has too would make a stretch, were they all of one document.
+A key's first document may have only a part of a passage, or an edited form of it, and so hide a
+better partner. Where tokens shared with it end, the next token of the document on either side is a
+border. Two documents that have more of the passage in common have the same border, as both were
+compared with the same first document: documents meet by borders as they met by keys, the first one
+leads, and where a pair had met before, the next one; each round's pairs are verified and leave new
+borders, until no new pair is found. Each round is linear in the borders.
 """
 
 from __future__ import annotations
@@ -28,31 +29,24 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles as S
-from tessera.llm.shared import drop, mapper, passing, table, whole_groups
+from tessera.llm.shared import drop, give_back, mapper, passing, table, whole_groups
 from tessera.plans.catalogue import small
 
 #: Shingles of a passage of fifty words.
 SPAN = 46
 FUNCTIONS, HASHES, SIMILAR = 4, 2, 0.75
-#: Share of a stretch that both texts have if they are as long and alike as ``SIMILAR``.
-SHARED = 2 * SIMILAR / (1 + SIMILAR)
-#: Any longer stretch has one within it that is no longer: halves of one this long have ``SPAN`` tokens without the
-#: widest gap, and one half has as large a share.
-REACH = int(SPAN / (0.5 - (1 - SHARED))) + 1
 #: Documents verified in one task against the text of their first document.
 MEMBERS = 256
 
-_DISTANCE = 6  # bits of the distance of two minima in one run
-
 #: Documents whose cuts are broadcast at most; beyond it texts are shuffled to meet them.
 CUTS = 200_000
 
-MADE = "first long, first_at long, key long, doc long, at long"
-LINKS = "key long, first long, first_at long, doc long, at long"
+MADE = "first long, key long, doc long"
+LINKS = "key long, first long, doc long, made boolean"
 
 
 def _hashed(x: np.ndarray, fn: int) -> np.ndarray:
@@ -96,12 +90,11 @@ def windows(x: np.ndarray, fn: int, span: int = SPAN) -> tuple[np.ndarray, np.nd
     return ends[before] + 1, c, ends[after] - 1
 
 
-def _keys(x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The keys of the runs of several sequences, one behind the other: key, the number of its sequence, and
-    where it is: its minima's first place there and, in the lowest bits, their distance. Repeats stay."""
+def _keys(x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the runs of several sequences, one behind the other: key, and the number of its sequence. Repeats stay."""
     none = np.zeros(0, np.int64)
     if len(x) < SPAN:
-        return none.view(np.uint64), none, none
+        return none.view(np.uint64), none
     at = [_minima(x, fn, SPAN)[0] for fn in range(FUNCTIONS)]
     sizes = np.diff(starts)
     last = np.repeat(starts[1:], sizes)[: len(at[0])] - SPAN  # where the last run of each token's sequence begins
@@ -109,23 +102,19 @@ def _keys(x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     new = []
     for c in at:
         fresh = np.concatenate([[True], c[1:] != c[:-1]])
-        heads = starts[:-1][sizes >= SPAN]
-        fresh[heads] = True
+        fresh[starts[:-1][sizes >= SPAN]] = True
         new.append(fresh & inside)
     of = np.repeat(np.arange(len(sizes)), sizes)
-    keys, places, owners = [], [], []
+    keys, owners = [], []
     for i in range(FUNCTIONS):
         for j in range(i + 1, FUNCTIONS):
             run = np.flatnonzero(new[i] | new[j])
-            one, two = at[i][run], at[j][run]
-            keys.append(S.mix(x[one] * np.uint64(2 * i + 3) + S.mix(x[two] + np.uint64(i * FUNCTIONS + j))))
-            owner = of[run]
-            owners.append(owner)
-            places.append(np.minimum(one, two) - starts[owner] << _DISTANCE | np.abs(one - two))
-    return np.concatenate(keys), np.concatenate(owners), np.concatenate(places)
+            keys.append(S.mix(x[at[i][run]] * np.uint64(2 * i + 3) + S.mix(x[at[j][run]] + np.uint64(i * FUNCTIONS + j))))
+            owners.append(of[run])
+    return np.concatenate(keys), np.concatenate(owners)
 
 
-def _linked(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _linked(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For rows sorted by (key, doc): which begin a key, which are a further document of one, and each row's first."""
     new = np.concatenate([[True], key[1:] != key[:-1]])
     lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
@@ -134,55 +123,63 @@ def _linked(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarra
 
 
 def _scan() -> Callable:
-    """Rows (key, doc, at) of each batch's first documents, and its other documents with their first."""
+    """Rows (key, doc) of each batch's first documents, and its other documents with their first."""
 
     def make() -> Callable:
         def step(rows: pa.Table) -> pa.Table | None:
             ids, texts = rows["doc_id"].to_numpy(), rows["text"].to_pylist()
             parts: list[tuple] = []
             for a, b in S.pieces(texts):
-                hashes, starts = S.sequence(*S.words(texts[a:b]))
-                key, owner, at = _keys(hashes, starts)
-                parts.append((key, ids[a + owner], at))
-            key, doc, at = (np.concatenate(c) for c in zip(*parts, strict=True))
+                key, owner = _keys(*S.sequence(*S.words(texts[a:b])))
+                parts.append((key, ids[a + owner]))
+            key, doc = (np.concatenate(c) for c in zip(*parts, strict=True))
             if not len(key):
                 return None
-            order = np.lexsort((at, doc, key))
-            key, doc, at = (c[order] for c in (key, doc, at))
-            new, again, lead = _linked(key, doc, at)
+            order = np.lexsort((doc, key))
+            key, doc = key[order], doc[order]
+            new, again, lead = _linked(key, doc)
             keep = new | again
-            alone = new[keep]
-            return pa.table({
-                "first": pa.array(doc[lead][keep], mask=alone),
-                "first_at": pa.array(at[lead][keep], mask=alone),
-                "key": key.view(np.int64)[keep],
-                "doc": doc[keep],
-                "at": at[keep],
-            })
+            return pa.table({"first": pa.array(doc[lead][keep], mask=new[keep]), "key": key.view(np.int64)[keep], "doc": doc[keep]})
 
         return step
 
-    return mapper(make, 1 << 24)
+    return mapper(make, 1 << 23)
 
 
 def _lead(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links: those made before, and from the other rows, sorted by (key, doc), those of each to the first document of its key."""
-    now: tuple[int, int, int] | None = None
-    names = ["key", "first", "first_at", "doc", "at"]
+    now: tuple[int, int] | None = None
+    names = ["key", "first", "doc", "made"]
     for b in rows:
         made = b.filter(pc.is_valid(b.column("first")))
         if made.num_rows:
-            yield made.select(names)
+            yield pa.record_batch([made.column("key"), made.column("first"), made.column("doc"), pa.repeat(True, made.num_rows)], names)
         b = b.filter(pc.is_null(b.column("first")))
         if not b.num_rows:
             continue
-        key, doc, at = (b.column(c).to_numpy() for c in ("key", "doc", "at"))
+        key, doc = (b.column(c).to_numpy() for c in ("key", "doc"))
         if now is not None:
-            key, doc, at = (np.concatenate([[x], c]) for x, c in zip(now, (key, doc, at), strict=True))
-        _, again, lead = _linked(key, doc, at)
-        now = key[lead[-1]], doc[lead[-1]], at[lead[-1]]
+            key, doc = (np.concatenate([[x], c]) for x, c in zip(now, (key, doc), strict=True))
+        _, again, lead = _linked(key, doc)
+        now = key[lead[-1]], doc[lead[-1]]
         if again.any():
-            yield pa.record_batch([key[again], doc[lead][again], at[lead][again], doc[again], at[again]], names)
+            yield pa.record_batch([key[again], doc[lead][again], doc[again], pa.repeat(False, int(again.sum()))], names)
+    give_back()
+
+
+def _shared(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each token of ``b`` is among the sorted ones of ``a``, whether it is there, and begins and ends of the runs that are."""
+    at = np.searchsorted(a[order], b)
+    at[at == len(a)] = 0
+    shared = a[order][at] == b
+    return at, shared, np.flatnonzero(np.diff(np.concatenate([[0], shared.view(np.int8), [0]])))
+
+
+def borders(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The tokens of ``b`` right before and behind its runs of tokens that ``a`` has."""
+    edge = _shared(a, b, order)[2]
+    before, behind = edge[0::2] - 1, edge[1::2]
+    return np.unique(b[np.concatenate([before[before >= 0], behind[behind < len(b)]])])
 
 
 def stretches(a: np.ndarray, b: np.ndarray, least: float = SIMILAR, span: int = SPAN, order: np.ndarray | None = None) -> list[tuple[int, int, int, int, float]]:
@@ -193,11 +190,7 @@ def stretches(a: np.ndarray, b: np.ndarray, least: float = SIMILAR, span: int =
     ``order`` sorts ``a``, where known.
     """
     order = np.argsort(a, kind="stable") if order is None else order
-    sorted_a = a[order]
-    at = np.searchsorted(sorted_a, b)
-    at[at == len(a)] = 0
-    shared = sorted_a[at] == b
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], shared.view(np.int8), [0]])))
+    at, shared, edge = _shared(a, b, order)
     runs = list(zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True))
     cost = 2 * least / (1 + least)
     merged: list[list[int]] = []
@@ -209,7 +202,7 @@ def stretches(a: np.ndarray, b: np.ndarray, least: float = SIMILAR, span: int =
                 continue
         merged.append([x, y, y - x])
     found = []
-    last = np.searchsorted(sorted_a, b, "right") - 1
+    last = np.searchsorted(a[order], b, "right") - 1
 
     def match(x: int, y: int) -> bool:
         if y - x < span:
@@ -244,12 +237,18 @@ def stretches(a: np.ndarray, b: np.ndarray, least: float = SIMILAR, span: int =
 SPANS = "doc_id long, start long, stop long, first_doc_id long, first_start long, first_stop long, similarity double"
 
 
+#: A passage, or a border: a token and the document that has it.
+FOUND = f"{SPANS}, token long"
+
+
 def _verify(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (first, block, side): the first document's text, then those linked with it."""
     now, first, order = None, np.zeros(0, np.uint64), None
+    names = ["doc_id", "start", "stop", "first_doc_id", "first_start", "first_stop"]
     for t in whole_groups(rows, ["first", "block", "side", "doc"], 1 << 22):
         texts = t["text"].to_pylist()
         out: list[tuple] = []
+        ends: list[tuple[int, np.ndarray]] = []
         group = list(zip(t["first"].to_pylist(), t["block"].to_pylist(), strict=True))
         sides, docs = t["side"].to_pylist(), t["doc"].to_pylist()
         for a, b in S.pieces(texts):
@@ -261,10 +260,16 @@ def _verify(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     order = np.argsort(first, kind="stable")
                 elif group[i] == now and len(first) >= SPAN and len(x) >= SPAN:
                     out += [(docs[i], s, e + S.WIDTH - 1, now[0], u, v + S.WIDTH - 1, j) for s, e, u, v, j in stretches(first, x, order=order)]
+                    ends.append((docs[i], borders(first, x, order)))
         if out:
             cols = list(zip(*out, strict=True))
-            names = ["doc_id", "start", "stop", "first_doc_id", "first_start", "first_stop"]
-            yield pa.record_batch({**{n: pa.array(c, pa.int64()) for n, c in zip(names, cols[:6], strict=True)}, "similarity": pa.array(cols[6], pa.float64())})
+            yield pa.record_batch({**{n: pa.array(c, pa.int64()) for n, c in zip(names, cols[:6], strict=True)}, "similarity": pa.array(cols[6], pa.float64()), "token": pa.nulls(len(out), pa.int64())})
+        sizes = [len(e) for _, e in ends]
+        if sum(sizes):
+            owner = np.repeat(np.array([d for d, _ in ends], np.int64), sizes)
+            none = pa.nulls(len(owner), pa.int64())
+            yield pa.record_batch({**dict.fromkeys(names, none), "doc_id": pa.array(owner), "similarity": pa.nulls(len(owner), pa.float64()), "token": pa.array(np.concatenate([e for _, e in ends]).view(np.int64))})
+    give_back()
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -282,147 +287,49 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     dealt = docs.mapInArrow(_scan(), MADE).repartition(F.when(F.col("first").isNull(), F.col("key")).otherwise(F.xxhash64("doc")))
     links = table(dealt.sortWithinPartitions("key", "doc").mapInArrow(_lead, LINKS), "links")
-    tried = table(links.select("first", "doc").distinct(), "pairs")
-    spans = _verified(docs, tried)
-    held = _unsettled(docs, links, spans)
-    used = [links, tried, spans, held]
-    begin, most = 0, held.agg(F.max("rank")).first()[0] or 0
-    while begin < most:
-        end = 2 * begin + 1  # leads of this round by rank: 0, 1 to 2, 3 to 6 and so on
-        now = _covered(held, spans)
-        first = now.where(f"not same and rank between {begin} and {end - 1}").select("key", F.col("doc").alias("first"), F.col("rank").alias("before"))
-        still = now.where(f"not done and rank > {begin}").select("key", "doc", "rank")
-        pairs = still.join(first, "key").where("before < rank").select("first", "doc").distinct()
-        pairs = table(pairs.join(tried, ["first", "doc"], "left_anti"), "pairs")
-        used.append(pairs)
-        if pairs.take(1):
-            used.append(_verified(docs, pairs))
-            tried, spans = tried.union(pairs), spans.union(used[-1])
-        begin = end
-    out = table(spans.distinct(), "spans")
-    drop(*used)
-    return out
-
-
-def _covered(members: DataFrame, spans: DataFrame) -> DataFrame:
-    """``members`` (key, doc, at and others) with done, whether a passage found covers the key's minima there, and same, whether an equal one does."""
-    per = spans.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set(F.struct("start", "stop", "similarity")).alias("_found"))
-    low = F.shiftright("at", _DISTANCE)
-    high = low + F.col("at").bitwiseAND((1 << _DISTANCE) - 1) + S.WIDTH
-    over = lambda p: (p["start"] <= low) & (p["stop"] >= high)
-    done = F.coalesce(F.exists("_found", over), F.lit(False))
-    same = F.coalesce(F.exists("_found", lambda p: over(p) & (p["similarity"] == 1)), F.lit(False))
-    return members.join(per, "doc", "left").withColumn("done", done).withColumn("same", same).drop("_found")
-
-
-def _unsettled(docs: DataFrame, links: DataFrame, spans: DataFrame) -> DataFrame:
-    """(key, doc, at, rank) of keys that have a document with no passage found there and another before it,
-    without those equal to an earlier one and those that can have no partner."""
-    first = links.select("key", F.col("first").alias("doc"), F.col("first_at").alias("at"))
-    each = links.select("key", "doc", "at").union(first).groupBy("key", "doc").agg(F.min("at").alias("at"))
-    judged = table(_covered(each, spans).where("not same").select("key", "doc", "at", "done"), "judged")
-    some = table(_contested(judged), "open")
-    left = _contested(some.join(_supported(docs, some), ["doc", "at"]).select(judged.columns))
-    out = table(left.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("doc")) - 1).select("key", "doc", "at", "rank"), "unsettled")
-    drop(judged, some)
-    return out
-
-
-def _contested(rows: DataFrame) -> DataFrame:
-    """``rows`` (key, doc, at, done) of keys with a document that isn't done behind another."""
-    keys = rows.groupBy("key").agg(F.min("doc").alias("lowest"), F.max(F.when(~F.col("done"), F.col("doc"))).alias("open")).where("open > lowest")
-    return rows.join(keys.select("key"), "key", "left_semi")
-
-
-def _supported(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The (doc, at) of ``rows`` in a stretch of tokens of which enough occur in another document near an ``at`` of its."""
-    places = table(rows.groupBy("doc").agg(F.sort_array(F.collect_set("at")).alias("at")), "places")
-    texts = passing(docs, "doc_id", places.select("doc")).select(F.col("doc_id").alias("doc"), "text")
-    tokens = places.join(texts, "doc").mapInArrow(mapper(_around), "token long, doc long, place long, size long")
-    only = tokens.groupBy("token").agg(F.min("doc").alias("doc"), F.max("doc").alias("other"), F.min("place").alias("place"), F.min("size").alias("size")).where("doc = other")
-    per = only.groupBy("doc").agg(F.sort_array(F.collect_list("place")).alias("places"), F.max("size").alias("size"))
-    out = table(places.join(per, "doc", "left").mapInArrow(mapper(_possible), "doc long, at long"), "supported")
-    drop(places)
+    led = links.where("not made").select("key", "first", "doc")
+    follow = links.where("made").select("key", F.col("first").alias("batch"), "doc").join(led.withColumnsRenamed({"first": "top", "doc": "batch"}), ["key", "batch"], "left")
+    pairs = led.select("first", "doc").union(follow.select(F.coalesce("top", "batch"), "doc"))
+    tried = table(pairs.where("first < doc").distinct(), "pairs")
+    drop(links)
+    # only documents with a link have borders, so later rounds need no others
+    texts = table(passing(docs, "doc_id", table(tried.select(F.col("first").alias("id")).union(tried.select("doc")).distinct(), "wanted")), "texts")
+    rounds, now, used = [], tried, [tried, texts]
+    while True:
+        rounds.append(_verified(texts, now))
+        found = rounds[0]
+        for more in rounds[1:]:
+            found = found.union(more)
+        now = table(_meeting(found.where("token is not null").select("token", F.col("doc_id").alias("doc")).distinct(), tried), "pairs")
+        used.append(now)
+        if not now.take(1):
+            break
+        tried = tried.union(now)
+    out = table(found.where("token is null").drop("token").distinct(), "spans")
+    drop(*used, *rounds)
     return out
 
 
-def _near(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The places of the minima at ``at``, and the ends of what a stretch of ``REACH`` tokens with both may have."""
-    low = at >> _DISTANCE
-    high = low + (at & (1 << _DISTANCE) - 1)
-    return low, high, np.maximum(high - REACH + 1, 0), low + REACH
+def _meeting(marks: DataFrame, tried: DataFrame) -> DataFrame:
+    """New pairs (first, doc) of documents with a border in common: with its first document, or with the next one where these two were tried."""
+    lead = marks.groupBy("token").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("token", "first")
+    rows = marks.join(lead, "token").where("doc > first").join(tried.withColumn("met", F.lit(True)), ["first", "doc"], "left")
+    rows = table(rows, "meeting")
+    new = rows.where("met is null").select("first", "doc")
+    second = rows.groupBy("token").agg(F.min("doc").alias("next"))
+    again = rows.where("met").join(second, "token").where("next < doc").select(F.col("next").alias("first"), "doc")
+    return new.union(again.join(tried, ["first", "doc"], "left_anti")).distinct()
 
 
-def _around() -> Callable:
-    """The tokens near the places ``at`` of each text, each once, with the first place, and the number of the text's tokens."""
-
-    def step(rows: pa.Table) -> pa.Table | None:
-        texts, places, ids = rows["text"].to_pylist(), rows["at"].to_pylist(), rows["doc"].to_pylist()
-        parts: list[tuple] = []
-        for a, b in S.pieces(texts):
-            hashes, starts = S.sequence(*S.words(texts[a:b]))
-            for i in range(a, b):
-                x = hashes[starts[i - a] : starts[i - a + 1]]
-                _, _, begin, end = _near(np.array(places[i], np.int64))
-                steps = np.zeros(len(x) + 1, np.int64)
-                np.add.at(steps, np.minimum(begin, len(x)), 1)
-                np.add.at(steps, np.minimum(end, len(x)), -1)
-                near = np.flatnonzero(np.cumsum(steps)[:-1] > 0)
-                token, first = np.unique(x[near], return_index=True)
-                parts.append((token.view(np.int64), np.full(len(token), ids[i]), near[first], np.full(len(token), len(x))))
-        return pa.table(dict(zip(("token", "doc", "place", "size"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
-
-    return step
-
-
-def possible(at: np.ndarray, alone: np.ndarray, size: int) -> np.ndarray:
-    """Which of ``at`` are in a stretch of ``SPAN`` to ``REACH`` of ``size`` tokens, its ends and a share of ``SHARED`` not in ``alone``."""
-    low, high, begin, end = _near(at)
-    end = np.minimum(end, size)
-    lost = np.zeros(int(end.max(initial=0)) + 1, bool)
-    lost[alone[alone < len(lost)]] = True
-    # a stretch [x, y) has a large enough share if its level doesn't rise
-    level = np.concatenate([[0], np.cumsum(lost)]) / (1 - SHARED) - np.arange(len(lost) + 1)
-    begins = np.where(lost, -np.inf, level[:-1])
-    ends = np.where(lost, np.inf, level[1:])  # of the stretch whose last token is here
-    good = np.zeros(len(at), bool)
-    for i in range(len(at)):
-        highest = np.maximum.accumulate(begins[begin[i] : low[i] + 1])
-        last = np.arange(high[i], end[i])
-        head = np.minimum(last - SPAN + 1, low[i]) - begin[i]
-        fit = head >= 0
-        good[i] = (highest[head[fit]] + 1e-6 >= ends[last[fit]]).any()
-    return good
-
-
-def _possible() -> Callable:
-    def step(rows: pa.Table) -> pa.Table | None:
-        docs, keep = [], []
-        columns = (rows[c].to_pylist() for c in ("doc", "at", "places", "size"))
-        for doc, at, alone, size in zip(*columns, strict=True):
-            at = np.array(at, np.int64)
-            # where every token is in another document too, the size is not known, nor needed
-            good = at[possible(at, np.array(alone or [], np.int64), 1 << 60 if size is None else size)]
-            docs.append(np.full(len(good), doc, np.int64))
-            keep.append(good)
-        return pa.table({"doc": np.concatenate(docs), "at": np.concatenate(keep)})
-
-    return step
-
-
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The passages of each of ``pairs`` (first, doc), compared on whole texts."""
+def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The passages of each of ``pairs`` (first, doc), compared on whole ``texts``, and the borders of what they share."""
     counts = pairs.groupBy("first").agg(F.count("*").alias("n"))
     blocks = pairs.join(counts, "first").withColumn("block", F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / MEMBERS).cast("long")))
-    wanted = pairs.select(F.col("first").alias("id")).union(pairs.select("doc")).distinct()
-    texts = table(passing(docs, "doc_id", table(wanted, "wanted")), "texts")
     members = blocks.select("first", "block", F.lit(1).alias("side"), "doc").join(texts.withColumnRenamed("doc_id", "doc"), "doc").select("first", "block", "side", "doc", "text")
     heads = blocks.select("first", "block").distinct().join(texts.withColumnRenamed("doc_id", "first"), "first")
     heads = heads.select("first", "block", F.lit(0).alias("side"), F.col("first").alias("doc"), "text")
     dealt = heads.union(members).repartition("first", "block").sortWithinPartitions("first", "block", "side", "doc")
-    spans = table(dealt.mapInArrow(_verify, SPANS).distinct(), "spans")
-    drop(texts)
-    return spans
+    return table(dealt.mapInArrow(_verify, FOUND), "found")
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
