@@ -16,9 +16,11 @@ edits, whose exact Jaccard similarity is ``SIMILAR`` or more.
 A key's first document may have only a part of a passage, or an edited form of it, and so hide a
 better partner. Where tokens shared with it end, the next token of the document on either side is a
 border. Two documents that have more of the passage in common have the same border, as both were
-compared with the same first document: documents meet by borders as they met by keys, the first one
+compared with the same first document, and as much as half of a run of ``SPAN`` tokens in common on
+one side of it: with these tokens it is a key again, by which documents meet. The first one
 leads, and where a pair had met before, the next one; each round's pairs are verified and leave new
-borders, until no new pair is found. Each round is linear in the borders.
+borders, until no new pair is found. Each round is linear in the borders. Hidden equal passages are
+found so, and edited ones if the border has no edit near on one side.
 """
 
 from __future__ import annotations
@@ -175,11 +177,21 @@ def _shared(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> tuple[np.ndarray
     return at, shared, np.flatnonzero(np.diff(np.concatenate([[0], shared.view(np.int8), [0]])))
 
 
-def borders(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """The tokens of ``b`` right before and behind its runs of tokens that ``a`` has."""
+def borders(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and places of the borders of ``b``: the tokens right before and behind its runs of tokens that ``a`` has, each
+    with the tokens on its left, and with those on its right. A run of ``SPAN`` tokens with the border has half of it on one side."""
     edge = _shared(a, b, order)[2]
-    before, behind = edge[0::2] - 1, edge[1::2]
-    return np.unique(b[np.concatenate([before[before >= 0], behind[behind < len(b)]])])
+    half = SPAN // 2
+    at = np.unique(np.concatenate([edge[0::2] - 1, edge[1::2]]))
+    weights = _hashed(np.arange(half, dtype=np.uint64), 1) | np.uint64(1)
+    keys, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for side, begin in enumerate((at - half + 1, at)):
+        ok = (begin >= 0) & (begin + half <= len(b)) & (at >= 0)
+        begin = begin[ok]
+        if len(begin):
+            places.append(at[ok])
+            keys.append(S.mix((np.lib.stride_tricks.sliding_window_view(b, half)[begin] * weights).sum(axis=1, dtype=np.uint64) + np.uint64(side)))
+    return np.concatenate(keys), np.concatenate(places)
 
 
 def stretches(a: np.ndarray, b: np.ndarray, least: float = SIMILAR, span: int = SPAN, order: np.ndarray | None = None) -> list[tuple[int, int, int, int, float]]:
@@ -237,7 +249,7 @@ def stretches(a: np.ndarray, b: np.ndarray, least: float = SIMILAR, span: int =
 SPANS = "doc_id long, start long, stop long, first_doc_id long, first_start long, first_stop long, similarity double"
 
 
-#: A passage, or a border: a token and the document that has it.
+#: A passage, or a border: its key, the document that has it, and as start its place.
 FOUND = f"{SPANS}, token long"
 
 
@@ -248,7 +260,7 @@ def _verify(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in whole_groups(rows, ["first", "block", "side", "doc"], 1 << 22):
         texts = t["text"].to_pylist()
         out: list[tuple] = []
-        ends: list[tuple[int, np.ndarray]] = []
+        ends: list[tuple[int, np.ndarray, np.ndarray]] = []
         group = list(zip(t["first"].to_pylist(), t["block"].to_pylist(), strict=True))
         sides, docs = t["side"].to_pylist(), t["doc"].to_pylist()
         for a, b in S.pieces(texts):
@@ -260,15 +272,16 @@ def _verify(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     order = np.argsort(first, kind="stable")
                 elif group[i] == now and len(first) >= SPAN and len(x) >= SPAN:
                     out += [(docs[i], s, e + S.WIDTH - 1, now[0], u, v + S.WIDTH - 1, j) for s, e, u, v, j in stretches(first, x, order=order)]
-                    ends.append((docs[i], borders(first, x, order)))
+                    ends.append((docs[i], *borders(first, x, order)))
         if out:
             cols = list(zip(*out, strict=True))
             yield pa.record_batch({**{n: pa.array(c, pa.int64()) for n, c in zip(names, cols[:6], strict=True)}, "similarity": pa.array(cols[6], pa.float64()), "token": pa.nulls(len(out), pa.int64())})
-        sizes = [len(e) for _, e in ends]
+        sizes = [len(e) for _, e, _ in ends]
         if sum(sizes):
-            owner = np.repeat(np.array([d for d, _ in ends], np.int64), sizes)
+            owner = np.repeat(np.array([d for d, *_ in ends], np.int64), sizes)
+            keys, places = np.concatenate([e for _, e, _ in ends]), np.concatenate([e for *_, e in ends])
             none = pa.nulls(len(owner), pa.int64())
-            yield pa.record_batch({**dict.fromkeys(names, none), "doc_id": pa.array(owner), "similarity": pa.nulls(len(owner), pa.float64()), "token": pa.array(np.concatenate([e for _, e in ends]).view(np.int64))})
+            yield pa.record_batch({**dict.fromkeys(names, none), "doc_id": pa.array(owner), "start": pa.array(places), "similarity": pa.nulls(len(owner), pa.float64()), "token": pa.array(keys.view(np.int64))})
     give_back()
 
 
@@ -300,7 +313,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         found = rounds[0]
         for more in rounds[1:]:
             found = found.union(more)
-        now = table(_meeting(found.where("token is not null").select("token", F.col("doc_id").alias("doc")).distinct(), tried), "pairs")
+        now = table(_meeting(_open(found), tried), "pairs")
         used.append(now)
         if not now.take(1):
             break
@@ -310,6 +323,14 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     return out
 
 
+def _open(found: DataFrame) -> DataFrame:
+    """(token, doc) of the borders that no passage of their document covers: what is covered needs no other partner."""
+    spans = found.where("token is null").groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    marks = found.where("token is not null").select("doc_id", "token", F.col("start").alias("place")).distinct()
+    covered = F.exists("spans", lambda p: (p["start"] <= F.col("place")) & (p["stop"] >= F.col("place") + S.WIDTH))
+    return marks.join(spans, "doc_id", "left").where(~F.coalesce(covered, F.lit(False))).select("token", F.col("doc_id").alias("doc")).distinct()
+
+
 def _meeting(marks: DataFrame, tried: DataFrame) -> DataFrame:
     """New pairs (first, doc) of documents with a border in common: with its first document, or with the next one where these two were tried."""
     lead = marks.groupBy("token").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("token", "first")
