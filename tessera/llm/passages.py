@@ -15,12 +15,12 @@ edits, whose exact Jaccard similarity is ``SIMILAR`` or more.
 
 A key's first document may have only a part of a passage, or an edited form of it, and so hide a
 better partner. Where tokens shared with it end, the next token of the document on either side is a
-border. Two documents that have more of the passage in common have the same border, as both were
-compared with the same first document, and as much as half of a run of ``SPAN`` tokens in common on
-one side of it: with these tokens it is a key again, by which documents meet. The first one
-leads, and where a pair had met before, the next one; each round's pairs are verified and leave new
-borders, until no new pair is found. Each round is linear in the borders. Hidden equal passages are
-found so, and edited ones if the border has no edit near on one side.
+border, if no passage found covers it. Two documents that have more of the passage in common have the
+same border, as both were compared with the same first document, and half of a run of ``SPAN`` tokens
+on one side of it: these are its keys. For borders whose key several documents have, the whole runs of ``SPAN``
+tokens with the border are compared by their hashes, and each document meets the first one that has
+the run: so equal passages are found however many documents hide them. Documents also meet the first
+one with the border's key, which finds edited passages unless that one hides them again.
 """
 
 from __future__ import annotations
@@ -307,39 +307,65 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     drop(links)
     # only documents with a link have borders, so later rounds need no others
     texts = table(passing(docs, "doc_id", table(tried.select(F.col("first").alias("id")).union(tried.select("doc")).distinct(), "wanted")), "texts")
-    rounds, now, used = [], tried, [tried, texts]
-    while True:
-        rounds.append(_verified(texts, now))
-        found = rounds[0]
-        for more in rounds[1:]:
-            found = found.union(more)
-        now = table(_meeting(_open(found), tried), "pairs")
-        used.append(now)
-        if not now.take(1):
-            break
-        tried = tried.union(now)
-    out = table(found.where("token is null").drop("token").distinct(), "spans")
-    drop(*used, *rounds)
+    found = _verified(texts, tried)
+    marks = table(_open(found), "marks")
+    met = table(_meeting(texts, marks).join(tried, ["first", "doc"], "left_anti"), "met")
+    hidden = _verified(texts, met)
+    out = table(found.union(hidden).where("token is null").drop("token").distinct(), "spans")
+    drop(tried, texts, found, marks, met, hidden)
     return out
 
 
 def _open(found: DataFrame) -> DataFrame:
-    """(token, doc) of the borders that no passage of their document covers: what is covered needs no other partner."""
+    """(token, doc, place) of the borders that no passage of their document covers, and another document has."""
     spans = found.where("token is null").groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     marks = found.where("token is not null").select("doc_id", "token", F.col("start").alias("place")).distinct()
     covered = F.exists("spans", lambda p: (p["start"] <= F.col("place")) & (p["stop"] >= F.col("place") + S.WIDTH))
-    return marks.join(spans, "doc_id", "left").where(~F.coalesce(covered, F.lit(False))).select("token", F.col("doc_id").alias("doc")).distinct()
-
-
-def _meeting(marks: DataFrame, tried: DataFrame) -> DataFrame:
-    """New pairs (first, doc) of documents with a border in common: with its first document, or with the next one where these two were tried."""
-    lead = marks.groupBy("token").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("token", "first")
-    rows = marks.join(lead, "token").where("doc > first").join(tried.withColumn("met", F.lit(True)), ["first", "doc"], "left")
-    rows = table(rows, "meeting")
-    new = rows.where("met is null").select("first", "doc")
-    second = rows.groupBy("token").agg(F.min("doc").alias("next"))
-    again = rows.where("met").join(second, "token").where("next < doc").select(F.col("next").alias("first"), "doc")
-    return new.union(again.join(tried, ["first", "doc"], "left_anti")).distinct()
+    left = marks.join(spans, "doc_id", "left").where(~F.coalesce(covered, F.lit(False))).select("token", F.col("doc_id").alias("doc"), "place")
+    left = table(left, "open")
+    several = left.groupBy("token").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
+    return left.join(several.select("token"), "token")
+
+
+def _firsts(rows: DataFrame, key: str) -> DataFrame:
+    """(first, doc): each document of ``rows`` (key, doc) with the first one of its key."""
+    first = rows.groupBy(key).agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select(key, "first")
+    return rows.join(first, key).where("doc > first").select("first", "doc")
+
+
+def _meeting(texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """Pairs (first, doc) that have a run of ``SPAN`` tokens with a border in common, or a border's key."""
+    places = marks.groupBy("doc").agg(F.collect_set("place").alias("places"))
+    with_text = texts.select(F.col("doc_id").alias("doc"), "text").join(places, "doc")
+    runs = table(with_text.mapInArrow(mapper(_runs), "run long, doc long").distinct(), "runs")
+    return _firsts(runs, "run").union(_firsts(marks.select("token", "doc"), "token")).distinct()
+
+
+def _runs() -> Callable:
+    """Hashes of the runs of ``SPAN`` tokens with one of ``places``."""
+
+    def step(rows: pa.Table) -> pa.Table:
+        texts, ids, places = rows["text"].to_pylist(), rows["doc"].to_pylist(), rows["places"].to_pylist()
+        hashed, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        weights = _hashed(np.arange(SPAN, dtype=np.uint64), 2) | np.uint64(1)
+        for a, b in S.pieces(texts):
+            tokens, starts = S.sequence(*S.words(texts[a:b]))
+            for i in range(a, b):
+                x = tokens[starts[i - a] : starts[i - a + 1]]
+                if len(x) < SPAN:
+                    continue
+                step_ = np.zeros(len(x) + 1, np.int64)
+                at = np.array(places[i], np.int64)
+                np.add.at(step_, np.maximum(at - SPAN + 1, 0), 1)
+                np.add.at(step_, np.minimum(at + 1, len(x)), -1)
+                begin = np.flatnonzero(np.cumsum(step_)[: len(x) - SPAN + 1] > 0)
+                for k in range(0, len(begin), 4096):
+                    run = np.lib.stride_tricks.sliding_window_view(x, SPAN)[begin[k : k + 4096]]
+                    hashed.append(S.mix((run * weights).sum(axis=1, dtype=np.uint64)))
+                    owner.append(np.full(len(run), ids[i], np.int64))
+        return pa.table({"run": np.concatenate(hashed).view(np.int64), "doc": np.concatenate(owner)})
+
+    return step
 
 
 def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:

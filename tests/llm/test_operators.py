@@ -146,9 +146,18 @@ def test_passages_whose_first_document_has_only_a_part(spark):
         ids = range(10 * i, 10 * i + len(forms))
         rows += [(d, " ".join([*words(40, 50000 + d, 10**6), *p, *words(40, 90000 + d, 10**6)])) for d, p in zip(ids, forms, strict=True)]
         pairs.append(ids[-1])
-    spans = passages.repeated_passages(table(spark, rows)).collect()
+    # documents that share 55 words, of which five earlier ones have 45, and others 15 and 40
+    for i in range(20):
+        shared = words(55, 7000 + i, 10**6)
+        forms = [*([shared[:45]] * 5), shared[:15], shared[15:], shared, shared]
+        ids = range(1000 + 10 * i, 1000 + 10 * i + len(forms))
+        rows += [(d, " ".join([*words(40, 50000 + d, 10**6), *p, *words(40, 90000 + d, 10**6)])) for d, p in zip(ids, forms, strict=True)]
+        pairs.append(ids[-1])
+    docs = table(spark, rows)
+    spans = passages.repeated_passages(docs.coalesce(1)).collect()
     assert set(pairs) <= {r["doc_id"] for r in spans if r["similarity"] == 1 and r["stop"] - r["start"] >= 50}
     assert all(r["first_doc_id"] < r["doc_id"] for r in spans)
+    assert set(spans) == set(passages.repeated_passages(docs.repartition(7)).collect())
 
 
 def test_packing(spark):
