@@ -2,21 +2,22 @@
 
 The kernel of two words counts their common subsequences of up to ``ORDER`` characters, each
 gap weighted by ``DECAY`` and normalised, so an insult with gaps or inserted characters stays
-close to itself; border marks make prefixes and endings count. A text's value at a landmark is
-the kernel's maximum over its words, which does not thin out in long texts. The Nystroem map
-whitens these values by the landmarks' own kernel matrix, and a linear machine trained by
-stochastic subgradient on the hinge loss separates them; a logistic fit turns margins into scores.
+close to itself; border marks make prefixes and endings count. The Nystroem map whitens a word's
+kernel values at the landmarks by the landmarks' own kernel matrix. A text's features are the
+largest of its words' in each dimension, which does not thin out in long texts; a linear machine
+trained by stochastic subgradient on the hinge loss separates them, and a logistic fit turns
+margins into scores.
 
 Landmarks are words of the training texts that tell toxic from other texts, found by document
 counts in bounded samples. The kernel is computed for each pair that may reach ``LEAST``: what a
-landmark's subsequences without a letter weigh is a bound for words that lack this letter.
+landmark's subsequences of some of its letters weigh is a bound for words that lack the others.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +29,17 @@ from tessera.llm.sampling import held_out, per_class
 from tessera.llm.shared import mapper
 
 ORDER, DECAY = 4, 0.75
-#: Power of the normalised kernel, which is a kernel again: near matches stay, loose ones fade, those below ``LEAST`` to 0.
-POWER, LEAST = 4, 0.3
+#: Power of the normalised kernel, which is a kernel again: near matches stay, loose ones fade. Values below ``LEAST``, of a
+#: normalised kernel below 0.5, count as 0: an insult with two inserted characters, or with each one doubled, has a value.
+POWER, LEAST = 2, 0.25
 LANDMARKS, RATIO = 160, 15
 #: Labelled documents of each class that fitting reads.
 SAMPLE = 3000
 #: A token is cut into overlapping windows of this many characters, half of it apart.
 LONGEST = 32
-KNOWN = 1_000_000
+#: Bytes of chunks and features that a worker keeps, and characters of a chunk that is kept at most.
+KNOWN, KEPT = 48 << 20, 64
+_ENTRY = 250
 
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _ASCII = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -95,29 +99,28 @@ def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Gap-weighted subsequence kernel of each row of ``a`` with the same row of ``b`` (codes, 0 behind
     the end), summed over lengths 2 to ``ORDER``, not normalised.
 
-    The recursion of the classical dynamic programme, with all rows at once.
+    For each two places ``match`` is what common subsequences ending there weigh. The sum over all
+    places before both, faded by distance, is taken along one word and then along the other. All
+    steps are by element, so a pair's value does not depend on the rows beside it.
     """
     n, la = a.shape
     lb = b.shape[1]
-    total = np.zeros(n)
-    same = (a[:, :, None] == b[:, None, :]) & (a[:, :, None] > 0)
-    inner = np.ones((n, la + 1, lb + 1))
-    for order in range(1, ORDER + 1):
-        match = same * inner[:, :-1, :-1] * DECAY**2
-        if order > 1:
-            total += match.sum(axis=(1, 2))
-        if order == ORDER:
-            break
-        inner = np.zeros((n, la + 1, lb + 1))
-        row = np.zeros((n, lb + 1))
-        for i in range(la):
-            run = np.zeros(n)
-            new = np.zeros((n, lb + 1))
-            for j in range(lb):
-                run = DECAY * run + match[:, i, j]
-                new[:, j + 1] = run
-            row = DECAY * row + new
-            inner[:, i + 1, :] = row
+    fade, square = np.float32(DECAY), np.float32(DECAY**2)
+    same = ((a.T[None, :, :] == b.T[:, None, :]) & (a.T[None, :, :] > 0)).astype(np.float32)
+    match, total = same * square, np.zeros(n, np.float32)
+    along, before = np.empty_like(same), np.empty_like(same)
+    for _ in range(ORDER - 1):
+        along[0] = 0
+        for j in range(1, lb):
+            np.multiply(along[j - 1], fade, out=along[j])
+            along[j] += match[j - 1]
+        before[:, 0] = 0
+        for i in range(1, la):
+            np.multiply(before[:, i - 1], fade, out=before[:, i])
+            before[:, i] += along[:, i - 1]
+        np.multiply(same, before, out=match)
+        match *= square
+        total += match.reshape(la * lb, n).sum(axis=0)
     return total
 
 
@@ -133,60 +136,67 @@ def _letters(words: list[str]) -> np.ndarray:
 @dataclass
 class Landmarks:
     words: list[str]
-    codes: np.ndarray = field(init=False)
-    own: np.ndarray = field(init=False)
-    needed: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
-        self.codes = _codes(self.words, LONGEST + 2)
-        self.own = np.sqrt(kernel(self.codes[:, : max(map(len, self.words), default=0) + 2], self.codes[:, : max(map(len, self.words), default=0) + 2]))
         self.width = max(map(len, self.words), default=0) + 2
-        self.needed = np.zeros(len(self.words), np.uint32)
-        short = self.codes[:, : self.width]
-        inside = (short > 0) & (np.arange(self.width) > 0) & (short != ord("$"))
-        for c in range(32 if self.words else 0):
-            without = np.where(inside & (short % 32 == c), 0, short)
-            # by Cauchy-Schwarz no word without these letters has a larger normalised kernel than this
-            most = np.sqrt(kernel(without, without)) / np.maximum(self.own, 1e-12)
-            self.needed[most + 1e-9 < LEAST ** (1 / POWER)] |= np.uint32(1 << c)
-
-    def similar(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each word the landmarks with a value above 0 and the values."""
-        empty = (np.zeros(0, np.int64), np.zeros(0))
-        out = [empty] * len(words)
-        if not self.words or not words:
-            return out
-        for at in range(0, len(words), 4096):
+        self.lengths = np.array([len(w) + 2 for w in self.words], np.int64)
+        self.codes = _codes(self.words, self.width)
+        self.own = np.sqrt(kernel(self.codes, self.codes))
+        self.bounds = [self._bound(i) for i in range(len(self.words))]
+
+    def _bound(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """The landmark's classes of letters, and for each set of them, as bits, whether a word without the others
+        may reach ``LEAST``: by Cauchy-Schwarz its normalised kernel is at most what the landmark's own letters of the set weigh."""
+        x = self.codes[i, : len(self.words[i]) + 2]
+        inside = (np.arange(len(x)) > 0) & (np.arange(len(x)) < len(x) - 1)
+        classes, times = np.unique(x[inside] % 32, return_counts=True)
+        classes = classes[np.argsort(-times, kind="stable")][:10]  # the bound holds for any choice of classes
+        sets = (np.arange(1 << len(classes))[:, None] >> np.arange(len(classes))) & 1
+        gone = (inside & (x % 32 == classes[:, None]))[None, :, :] & (sets == 0)[:, :, None]
+        codes = np.where(gone.any(axis=1), 0, x[None, :]).astype(np.uint32)
+        most = np.sqrt(np.concatenate([kernel(codes[k : k + 256], codes[k : k + 256]) for k in range(0, len(codes), 256)])) / max(self.own[i], 1e-12)
+        return classes, most + 1e-9 >= LEAST ** (1 / POWER)
+
+    def candidates(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs (word, landmark) that may reach ``LEAST``."""
+        letters, parts = _letters(words), []
+        for i, (classes, may) in enumerate(self.bounds):
+            have = np.zeros(len(words), np.int64)
+            for bit, c in enumerate(classes.tolist()):
+                have |= ((letters >> np.uint32(c)) & 1).astype(np.int64) << bit
+            w = np.flatnonzero(may[have])
+            parts.append((w, np.full(len(w), i)))
+        return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+    def similar(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs (word, landmark) with a value of ``LEAST`` or more, and the values, sorted by word."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for at in range(0, len(words) if self.words else 0, 4096):
             some = words[at : at + 4096]
-            w, m = np.nonzero((~_letters(some)[:, None] & self.needed) == 0)
-            if not len(w):
-                continue
-            used = np.unique(w)
-            codes = _codes([words[at + i] for i in used], LONGEST + 2)
-            lens = np.array([len(words[at + i]) for i in used]) + 2
-            values = np.zeros(len(w))
-            own = np.zeros(len(used))
-            place = np.searchsorted(used, w)
-            for lo, hi in ((0, 10), (10, 16), (16, LONGEST + 2)):
-                mine = np.flatnonzero((lens > lo) & (lens <= hi))
-                for k in range(0, len(mine), 2048):
-                    part = mine[k : k + 2048]
+            w, m = self.candidates(some)
+            codes, lens = _codes(some, LONGEST + 2), np.fromiter(map(len, some), np.int64, len(some)) + 2
+            values, own, used = np.zeros(len(w)), np.ones(len(some)), np.zeros(len(some), bool)
+            used[w] = True
+            for lo, hi in ((0, 8), (8, 10), (10, 12), (12, 16), (16, LONGEST + 2)):
+                mine = np.flatnonzero(used & (lens > lo) & (lens <= hi))
+                for k in range(0, len(mine), 256):
+                    part = mine[k : k + 256]
                     own[part] = np.sqrt(kernel(codes[part, :hi], codes[part, :hi]))
-                pairs = np.flatnonzero((lens[place] > lo) & (lens[place] <= hi))
-                for k in range(0, len(pairs), 2048):
-                    part = pairs[k : k + 2048]
-                    values[part] = kernel(self.codes[m[part], : self.width], codes[place[part], :hi])
-            values = np.minimum(values / np.maximum(own[place] * self.own[m], 1e-12), 1) ** POWER
-            near = values >= LEAST
-            w, m, values = w[near], m[near], values[near]
-            cut = np.searchsorted(w, np.arange(len(some) + 1))
-            for i in used.tolist():
-                out[at + i] = (m[cut[i] : cut[i + 1]], values[cut[i] : cut[i + 1]])
-        return out
+                pairs = np.flatnonzero((lens[w] > lo) & (lens[w] <= hi))
+                pairs = pairs[np.argsort(self.lengths[m[pairs]], kind="stable")]
+                for k in range(0, len(pairs), 256):
+                    part = pairs[k : k + 256]
+                    values[part] = kernel(self.codes[m[part], : self.lengths[m[part]].max()], codes[w[part], :hi])
+            values = np.minimum(values / np.maximum(own[w] * self.own[m], 1e-12), 1) ** POWER
+            near = np.flatnonzero(values >= LEAST)
+            near = near[np.argsort(w[near], kind="stable")]
+            found.append((at + w[near], m[near], values[near]))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-#: Values of chunks a worker has seen, by the model's stamp.
-_seen: dict[bytes, dict[str, tuple]] = {}
+#: Features of chunks a worker has seen, by the model's stamp, and their size.
+_seen: dict[bytes, dict[str, np.ndarray | None]] = {}
+_held: dict[bytes, int] = {}
 
 
 @dataclass
@@ -198,32 +208,43 @@ class Model:
     slope: float
     shift: float
 
+    def _features(self, new: list[str]) -> dict[str, np.ndarray | None]:
+        """The Nystroem features of chunks: the largest of their words' in each dimension, None where all words have value 0."""
+        parts = [words_of(c) for c in new]
+        flat = sorted({w for p in parts for w in p})
+        w, m, values = self.marks.similar(flat)
+        which, row = np.unique(w, return_inverse=True)
+        near = np.zeros((len(which), len(self.marks.words)))
+        near[row, m] = values
+        mapped = dict(zip([flat[i] for i in which.tolist()], (near @ self.map).astype(np.float32), strict=True))
+        out: dict[str, np.ndarray | None] = {}
+        for c, p in zip(new, parts, strict=True):
+            some = [mapped[x] for x in p if x in mapped]
+            out[c] = np.maximum.reduce(some) if some else None
+        return out
+
     def values(self, texts: list[str | None]) -> np.ndarray:
-        """Largest kernel value of each text's words at each landmark; zeros for a text without words."""
-        stamp = self.weights.tobytes()[:64] + "".join(self.marks.words).encode()[:256]
-        if stamp not in _seen:
+        """Largest feature of each text's words in each dimension, 0 at least; zeros for a text without words."""
+        stamp = self.weights.tobytes()[:64] + self.map.tobytes()[:64] + "".join(self.marks.words).encode()[:256]
+        if stamp not in _seen or _held[stamp] > KNOWN:
             _seen.clear()
-            _seen[stamp] = {}
+            _held.clear()
+            _seen[stamp], _held[stamp] = {}, 0
         known = _seen[stamp]
         found = [chunks(t) for t in texts]
-        new = set().union(*found).difference(known)
-        if len(known) + len(new) > KNOWN:
-            known.clear()
-            new = set().union(*found)
-        parts = [words_of(c) for c in new]
-        flat = sorted({w for p in parts for w in p})
-        near = {w: x for w, x in zip(flat, self.marks.similar(flat), strict=True) if len(x[0])}
-        for c, p in zip(new, parts, strict=True):
-            known[c] = tuple(near[w] for w in p if w in near)
+        made = self._features(sorted(set().union(*found).difference(known)))
         out = np.zeros((len(texts), len(self.marks.words)))
         for i, cs in enumerate(found):
-            for got in filter(None, map(known.__getitem__, cs)):
-                for m, v in got:
-                    out[i, m] = np.maximum(out[i, m], v)
+            some = [x for c in cs if (x := made[c] if c in made else known[c]) is not None]
+            if some:
+                out[i] = np.maximum(np.maximum.reduce(some), 0)
+        short = {c: x for c, x in made.items() if len(c) <= KEPT}
+        known |= short
+        _held[stamp] += sum(_ENTRY + (0 if x is None else x.nbytes) for x in short.values())
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        margin = self.values(texts) @ self.map @ self.weights + self.bias
+        margin = self.values(texts) @ self.weights + self.bias
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
 
 
@@ -242,12 +263,14 @@ def fit(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS, epochs: int
     marks = Landmarks(landmarks(texts, toxic, most))
     if not marks.words:
         return Model(marks, np.zeros((0, 0)), np.zeros(0), 0.0, 0.0, float(np.log((toxic.sum() + 1) / ((~toxic).sum() + 1))))
-    own = Model(marks, np.eye(len(marks.words)), np.zeros(len(marks.words)), 0.0, 1.0, 0.0)
-    gram = own.values(marks.words)
+    gram = np.zeros((len(marks.words), len(marks.words)))
+    w, m, values = marks.similar(marks.words)
+    gram[w, m] = values
     gram = (gram + gram.T) / 2
     vals, vecs = np.linalg.eigh(gram)
     nystroem = vecs @ np.diag(1 / np.sqrt(np.maximum(vals, 0) + ridge)) @ vecs.T
-    x = np.concatenate([own.values(texts[i : i + 500]) for i in range(0, len(texts), 500)]) @ nystroem
+    own = Model(marks, nystroem, np.zeros(len(marks.words)), 0.0, 1.0, 0.0)
+    x = np.concatenate([own.values(texts[i : i + 500]) for i in range(0, len(texts), 500)])
     y = np.where(toxic, 1.0, -1.0)
     rng = np.random.default_rng(seed)
     cost = np.where(toxic, len(y) / (2 * max(1, toxic.sum())), len(y) / (2 * max(1, (~toxic).sum())))

@@ -267,22 +267,41 @@ def test_toxicity_held_out(spark):
     assert toxicity.score(table(spark, []), model).count() == 0
 
 
+def naive_kernel(a, b):
+    """Sums over all common subsequences of two to ``ORDER`` characters, by their spans."""
+    total = 0.0
+    for n in range(2, toxicity.ORDER + 1):
+        for i in combinations(range(len(a)), n):
+            for j in combinations(range(len(b)), n):
+                if all(a[x] == b[y] for x, y in zip(i, j, strict=True)):
+                    total += toxicity.DECAY ** (i[-1] - i[0] + j[-1] - j[0] + 2)
+    return total
+
+
+def test_kernel_equals_the_sum_over_subsequences():
+    pairs = [("idiot", "ixdiot"), ("moron", "morning"), ("aaa", "aa"), ("scum", "xyz"), ("", "a"), ("clown", "clowns")]
+    a, b = toxicity._codes([x for x, _ in pairs], 10), toxicity._codes([y for _, y in pairs], 10)
+    assert toxicity.kernel(a, b) == pytest.approx([naive_kernel(f"^{x}$", f"^{y}$") for x, y in pairs], rel=1e-5)
+
+
 def test_kernel_tolerates_insertions():
-    marks = toxicity.Landmarks(["stupid", "worthless"])
-    value = lambda w: max([0.0, *marks.similar([w])[0][1]])
-    assert value("stupid") == pytest.approx(1) and value("stxupid") > 0.3 and value("stupidd") > value("stxupid") and value("tulips") == 0
+    marks = toxicity.Landmarks(["stupid", "worthless", "idiot", "moron"])
+    value = lambda w: max([0.0, *marks.similar([w])[2]])
+    assert value("stupid") == pytest.approx(1) and value("stupidd") > value("stxupid") > 0.3 and value("tulips") == 0
+    assert all(value(w) >= 0.25 for w in ("ixdxiot", "idxixot", "stxuxpid", "stuxpxid", "mxoxron", "idiooot", "stuuuupid", "worxthlxess", "iidiioott", "ssttuuppiidd", "mmoorroonn", "id1iot"))
 
 
 def test_no_pair_that_reaches_the_least_value_is_left_out():
     marks = toxicity.Landmarks(["stupid", "worthless", "idiot", "moron"])
-    some = ["iidiioott", "ssttuuppiidd", "mmoorroonn", "stupid", "worthles", "wortless", "tulips", "stxuxpid", "idio", "xxidiotxx", "morons", "s", "stupidstupid", "wworthlesss"]
+    some = ["iidiioott", "ssttuuppiidd", "mmoorroonn", "stupid", "worthles", "wortless", "tulips", "stxuxpid", "idio", "xxidiotxx", "morons", "s", "stupidstupid", "wworthlesss", "m" * 32]
+    some += ["".join(random.Random(k).choices("idotmrnsupwhle", k=3 + k % 9)) for k in range(400)]
     a, b = toxicity._codes(marks.words, 34), toxicity._codes(some, 34)
     own = lambda x: np.sqrt(toxicity.kernel(x, x))
-    for i, (m, values) in enumerate(marks.similar(some)):
-        want = (toxicity.kernel(a, np.repeat(b[i : i + 1], len(a), axis=0)) / own(a) / own(b[i : i + 1])) ** toxicity.POWER
-        near = np.flatnonzero(want >= toxicity.LEAST)
-        assert m.tolist() == near.tolist() and values == pytest.approx(np.minimum(want[near], 1))
-    assert all(max([0.0, *v]) > 0.3 for _, v in marks.similar(some[:3]))
+    want = np.stack([(toxicity.kernel(a, np.repeat(b[i : i + 1], len(a), axis=0)) / own(a) / own(b[i : i + 1])) ** toxicity.POWER for i in range(len(some))])
+    got = np.zeros_like(want)
+    w, m, values = marks.similar(some)
+    got[w, m] = values
+    assert ((got > 0) == (want >= toxicity.LEAST)).all() and got[got > 0] == pytest.approx(np.minimum(want[want >= toxicity.LEAST], 1), rel=1e-4)
 
 
 def test_licences(spark):
