@@ -28,22 +28,43 @@ def resolve(references: DataFrame, entities: DataFrame, aliases: DataFrame) -> D
     ]
     hits = None
     for i, (index, key) in enumerate(ways):
-        part = references.select("ref_id", key.alias("key")).join(index.distinct(), "key").select("ref_id", F.lit(i).alias("way"), "entity_id")
+        # a row for each key, so a name that many entities have meets its references once
+        keys = index.groupBy("key").agg(F.countDistinct("entity_id").alias("n"), F.min("entity_id").alias("e"))
+        part = references.select("ref_id", key.alias("key")).join(keys, "key").select("ref_id", F.lit(i).alias("way"), "n", "e")
         hits = part if hits is None else hits.union(part)
-    first = hits.groupBy("ref_id", "way").agg(F.countDistinct("entity_id").alias("n"), F.min("entity_id").alias("e")).groupBy("ref_id").agg(F.min(F.struct("way", "n", "e")).alias("h"))
+    first = hits.groupBy("ref_id").agg(F.min(F.struct("way", "n", "e")).alias("h"))
     status = F.when(F.col("h").isNull(), "unresolved").when(F.col("h.n") > 1, "ambiguous").when(F.col("h.e") == F.col("source"), "rejected_self").otherwise("resolved")
     return references.join(first, "ref_id", "left").select("ref_id", status.alias("status"), F.when(status == "resolved", F.col("h.e")).alias("target"), F.col("h.way").alias("way"))
 
 
-def closure(edges: DataFrame, most: int = 4) -> DataFrame:
-    """(src, dst, hops) of all simple paths of up to ``most`` edges (src, dst), by repeated joins; a path array guards against cycles."""
+def reach(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(src, dst, hops): what each node reaches over edges (src, dst) within ``most`` edges, or any number, and the least number it takes.
+
+    Each round follows the pairs that the last one found first; a pair is kept once, so cycles end.
+    Every round's pairs are written where ``spark.checkpoint.dir`` is set, so plans stay short.
+    """
     step = edges.select(F.col("src").alias("at"), F.col("dst").alias("next")).distinct()
-    paths = step.select(F.col("at").alias("src"), F.col("next").alias("dst"), F.array("at", "next").alias("path"))
-    found = paths
-    for _ in range(most - 1):
-        paths = paths.join(step, paths["dst"] == step["at"]).where(~F.array_contains("path", F.col("next"))).select("src", F.col("next").alias("dst"), F.concat("path", F.array("next")).alias("path"))
-        found = found.union(paths)
-    return found.groupBy("src", "dst").agg(F.min(F.size("path") - 1).alias("hops"), F.count("*").alias("paths"))
+    new = edges.select("src", "dst", F.lit(1).alias("hops")).distinct()
+    found, hops = _cut(new), 1
+    new = found
+    while most is None or hops < most:
+        hops += 1
+        ways = new.join(step, new["dst"] == step["at"]).select("src", F.col("next").alias("dst")).distinct()
+        new = _cut(ways.join(found, ["src", "dst"], "left_anti").withColumn("hops", F.lit(hops)))
+        if not new.take(1):
+            break
+        found = found.union(new)
+    return found
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a checkpoint, in the folder the session names or, on one machine without one, a local one."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+    return df.checkpoint()
 
 
 def reciprocal(edges: DataFrame) -> DataFrame:
@@ -89,15 +110,15 @@ def _parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFram
     entities = part.select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"))
     aliases = part.where("p_size > 25").select(F.concat("p_brand", F.lit("-"), F.col("p_size").cast("string")).alias("alias"), F.col("p_partkey").alias("entity_id"))
     value = F.when(F.pmod("l_orderkey", F.lit(4)) == 0, F.upper("p_name")).when(F.pmod("l_orderkey", F.lit(4)) == 1, F.concat("p_brand", F.lit("-"), F.col("p_size").cast("string"))).when(F.pmod("l_orderkey", F.lit(4)) == 2, F.lit("unknown thing")).otherwise(F.col("p_name"))
-    line = table(spark, sf, "lineitem").where("l_linenumber = 1").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    line = table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
     source = F.when(F.pmod("l_orderkey", F.lit(8)) == 3, F.col("p_partkey")).otherwise(F.lit(-1).cast("long"))
-    return line.select(F.col("l_orderkey").alias("ref_id"), value.alias("value"), source.alias("source")), entities, aliases
+    return line.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("ref_id"), value.alias("value"), source.alias("source")).distinct(), entities, aliases
 
 
 _SQL_FORM = "trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(trim({0})), '_', ' '), '(\\w)-(\\w)', '\\1 \\2', 'g'), '(\\w)-(\\w)', '\\1 \\2', 'g'), '\\s+', ' ', 'g'))"
 _SQL_REFS = f"""
 ent AS (SELECT p_partkey AS e, p_name AS name FROM part), al AS (SELECT p_brand || '-' || p_size AS alias, p_partkey AS e FROM part WHERE p_size > 25),
-refs AS (SELECT l_orderkey AS ref_id, CASE l_orderkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_brand || '-' || p_size WHEN 2 THEN 'unknown thing' ELSE p_name END AS value, CASE WHEN l_orderkey % 8 = 3 THEN p_partkey ELSE -1 END AS source FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1),
+refs AS (SELECT DISTINCT concat_ws('-', l_orderkey, l_linenumber, l_partkey) AS ref_id, CASE l_orderkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_brand || '-' || p_size WHEN 2 THEN 'unknown thing' ELSE p_name END AS value, CASE WHEN l_orderkey % 8 = 3 THEN p_partkey ELSE -1 END AS source FROM lineitem JOIN part ON l_partkey = p_partkey),
 hits AS (SELECT ref_id, 0 AS way, e FROM refs JOIN ent ON value = name UNION ALL SELECT ref_id, 1, e FROM refs JOIN ent ON {_SQL_FORM.format('value')} = {_SQL_FORM.format('name')}
  UNION ALL SELECT ref_id, 2, e FROM refs JOIN al ON value = alias UNION ALL SELECT ref_id, 3, e FROM refs JOIN al ON {_SQL_FORM.format('value')} = {_SQL_FORM.format('alias')}),
 h AS (SELECT ref_id, way, count(DISTINCT e) AS n, min(e) AS e FROM hits GROUP BY ALL), best AS (SELECT ref_id, min(way) AS way FROM h GROUP BY ref_id),
@@ -115,9 +136,9 @@ def resolution_rates(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 6))  # a row for each status
 
 
-@query("unresolved_groups", "SELECT lower(value) AS reference, count(*) AS occurrences, min(ref_id) AS first_ref FROM (SELECT l_orderkey AS ref_id, CASE WHEN l_orderkey % 3 = 0 THEN 'Unknown' ELSE 'OTHER' END AS value FROM lineitem WHERE l_linenumber = 1) GROUP BY 1")
+@query("unresolved_groups", "SELECT lower(value) AS reference, count(*) AS occurrences, min(ref_id) AS first_ref FROM (SELECT l_orderkey AS ref_id, CASE WHEN l_orderkey % 3 = 0 THEN 'Unknown' ELSE 'OTHER' END AS value FROM lineitem) GROUP BY 1")
 def unresolved_groups(spark: SparkSession, sf: str) -> DataFrame:
-    refs = table(spark, sf, "lineitem").where("l_linenumber = 1").select("l_orderkey", F.when(F.col("l_orderkey") % 3 == 0, "Unknown").otherwise("OTHER").alias("value"))
+    refs = table(spark, sf, "lineitem").select("l_orderkey", F.when(F.col("l_orderkey") % 3 == 0, "Unknown").otherwise("OTHER").alias("value"))
     return refs.groupBy(lookup_form(F.col("value")).alias("reference")).agg(F.count("*").alias("occurrences"), F.min("l_orderkey").alias("first_ref"))
 
 
@@ -185,47 +206,53 @@ def edge_endpoint_check(spark: SparkSession, sf: str) -> DataFrame:
 _SQL_HIER = "e AS (SELECT 's' || s_suppkey AS src, 'n' || s_nationkey AS dst FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION SELECT 'r' || r_regionkey, 'world' FROM region)"
 
 
-@query("is_a_closure", f"WITH RECURSIVE {_SQL_HIER}, w AS (SELECT src, dst, 1 AS hops FROM e UNION ALL SELECT w.src, e.dst, w.hops + 1 FROM w JOIN e ON w.dst = e.src WHERE w.hops < 4) SELECT src, dst, min(hops) AS hops, count(*) AS paths FROM w GROUP BY ALL")
+@query("is_a_closure", f"WITH RECURSIVE {_SQL_HIER}, w AS (SELECT src, dst, 1 AS hops FROM e UNION SELECT w.src, e.dst, w.hops + 1 FROM w JOIN e ON w.dst = e.src) SELECT src, dst, min(hops) AS hops FROM w GROUP BY ALL")
 def is_a_closure(spark: SparkSession, sf: str) -> DataFrame:
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     edges = table(spark, sf, "supplier").select(name("s", "s_suppkey").alias("src"), name("n", "s_nationkey").alias("dst"))
     edges = edges.union(table(spark, sf, "nation").select(name("n", "n_nationkey"), name("r", "n_regionkey"))).union(table(spark, sf, "region").select(name("r", "r_regionkey"), F.lit("world")))
-    return closure(edges)
+    return reach(edges)
+
 
+_SQL_DEP = "e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"
 
-_SQL_DEP = "e AS (SELECT DISTINCT l_partkey % 40 AS src, l_suppkey % 40 AS dst FROM lineitem WHERE l_linenumber = 6 AND l_quantity > 45 AND l_partkey % 40 <> l_suppkey % 40 AND l_orderkey % 3 = 0)"
+
+def _dependencies(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts depend on their suppliers, these on their nation, and nations on their region."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    edges = table(spark, sf, "lineitem").select(name("p", "l_partkey").alias("src"), name("s", "l_suppkey").alias("dst"))
+    edges = edges.union(table(spark, sf, "supplier").select(name("s", "s_suppkey"), name("n", "s_nationkey")))
+    return edges.union(table(spark, sf, "nation").select(name("n", "n_nationkey"), name("r", "n_regionkey"))).distinct()
 
 
-@query("dependency_paths", f"WITH RECURSIVE {_SQL_DEP}, w AS (SELECT src, dst, [src, dst] AS p FROM e UNION ALL SELECT w.src, e.dst, list_append(w.p, e.dst) FROM w JOIN e ON w.dst = e.src WHERE len(w.p) < 5 AND NOT list_contains(w.p, e.dst)) SELECT src, dst, min(len(p)) - 1 AS hops, count(*) AS paths FROM w GROUP BY ALL")
+@query("dependency_paths", f"WITH RECURSIVE {_SQL_DEP}, w AS (SELECT src, dst, 1 AS hops FROM e UNION SELECT w.src, e.dst, w.hops + 1 FROM w JOIN e ON w.dst = e.src WHERE w.hops < 4) SELECT src, dst, min(hops) AS hops FROM w GROUP BY ALL")
 def dependency_paths(spark: SparkSession, sf: str) -> DataFrame:
-    line = table(spark, sf, "lineitem").where("l_linenumber = 6 AND l_quantity > 45 AND l_orderkey % 3 = 0")
-    edges = line.select((F.col("l_partkey") % 40).alias("src"), (F.col("l_suppkey") % 40).alias("dst")).where("src <> dst").distinct()
-    return closure(edges)
+    """All dependencies over one to four edges, as the path query is bounded by four."""
+    return reach(_dependencies(spark, sf), 4)
 
 
-@query("risk_inheritance", f"WITH RECURSIVE {_SQL_DEP}, w AS (SELECT src, dst, [src, dst] AS p FROM e UNION ALL SELECT w.src, e.dst, list_append(w.p, e.dst) FROM w JOIN e ON w.dst = e.src WHERE len(w.p) < 5 AND NOT list_contains(w.p, e.dst)) SELECT src, greatest(src % 5, max(dst % 5)) AS inherited FROM w GROUP BY src")
+@query("risk_inheritance", f"WITH RECURSIVE {_SQL_DEP}, w AS (SELECT src, dst FROM e UNION SELECT w.src, e.dst FROM w JOIN e ON w.dst = e.src) SELECT src, greatest(length(src) % 5, max(ascii(dst) % 5 + length(dst))) AS inherited FROM w GROUP BY src")
 def risk_inheritance(spark: SparkSession, sf: str) -> DataFrame:
-    line = table(spark, sf, "lineitem").where("l_linenumber = 6 AND l_quantity > 45 AND l_orderkey % 3 = 0")
-    edges = line.select((F.col("l_partkey") % 40).alias("src"), (F.col("l_suppkey") % 40).alias("dst")).where("src <> dst").distinct()
-    return closure(edges).groupBy("src").agg(F.greatest(F.col("src") % 5, F.max(F.col("dst") % 5)).alias("inherited"))
+    """The largest risk of a component and of all it depends on, over any number of edges."""
+    own = F.ascii("dst") % 5 + F.length("dst")
+    return reach(_dependencies(spark, sf)).groupBy("src").agg(F.greatest(F.length("src") % 5, F.max(own)).alias("inherited"))
 
 
-@query("cycle_members", f"WITH RECURSIVE {_SQL_DEP}, w AS (SELECT src, dst, 1 AS n FROM e UNION SELECT w.src, e.dst, w.n + 1 FROM w JOIN e ON w.dst = e.src WHERE w.n < 4) SELECT src AS node, min(n) AS cycle_length FROM w WHERE src = dst GROUP BY src")
+_SQL_RING = "e AS (SELECT n_nationkey AS src, (n_nationkey + 7) % 25 AS dst FROM nation UNION SELECT n_nationkey, 25 + n_regionkey FROM nation UNION SELECT 25 + r_regionkey, 25 + r_regionkey FROM region WHERE r_regionkey = 2 UNION SELECT DISTINCT 100 + l_suppkey, l_suppkey % 25 FROM lineitem)"
+
+
+@query("cycle_members", f"WITH RECURSIVE {_SQL_RING}, w AS (SELECT src, dst, 1 AS n FROM e UNION SELECT w.src, e.dst, w.n + 1 FROM w JOIN e ON w.dst = e.src WHERE w.n < 30) SELECT src AS node, min(n) AS cycle_length FROM w WHERE src = dst GROUP BY src")
 def cycle_members(spark: SparkSession, sf: str) -> DataFrame:
-    line = table(spark, sf, "lineitem").where("l_linenumber = 6 AND l_quantity > 45 AND l_orderkey % 3 = 0")
-    edges = line.select((F.col("l_partkey") % 40).alias("src"), (F.col("l_suppkey") % 40).alias("dst")).where("src <> dst").distinct()
-    return cycles(edges, 4)
-
-
-def cycles(edges: DataFrame, most: int) -> DataFrame:
-    """(node, cycle_length): nodes that reach themselves within ``most`` edges, with the shortest way; walks are kept distinct by their ends."""
-    step = edges.select(F.col("src").alias("at"), F.col("dst").alias("next"))
-    walks = edges.select("src", "dst")
-    found = walks.where("src = dst").select(F.col("src").alias("node"), F.lit(1).alias("cycle_length"))
-    for n in range(2, most + 1):
-        walks = walks.join(step, walks["dst"] == step["at"]).select("src", F.col("next").alias("dst")).distinct()
-        found = found.union(walks.where("src = dst").select("src", F.lit(n)))
-    return found.groupBy("node").agg(F.min("cycle_length").alias("cycle_length"))
+    """Members of cycles of any length: nations in a ring of 25, a region that depends on itself, and others that only lead there."""
+    nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
+    edges = nation.select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") + 7) % 25).alias("dst")).union(nation.select("n_nationkey", F.col("n_regionkey") + 25))
+    edges = edges.union(region.where("r_regionkey = 2").select(F.col("r_regionkey") + 25, F.col("r_regionkey") + 25))
+    return cycles(edges.union(table(spark, sf, "lineitem").select(F.col("l_suppkey") + 100, F.col("l_suppkey") % 25).distinct()))
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(node, cycle_length): nodes that reach themselves, with the shortest way, over cycles of any length."""
+    return reach(edges).where("src = dst").select(F.col("src").alias("node"), F.col("hops").alias("cycle_length"))
 
 
 @query("orphan_rules", "SELECT o_orderkey AS rule_id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")

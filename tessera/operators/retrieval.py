@@ -25,7 +25,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = None, block: int = BROADCAST_QUERIES) -> DataFrame:
     """(query_id, vec_id, label, score, rank): the ``k`` nearest vectors of each query other than itself, by cosine, ties to the smaller id.
 
-    Queries (query_id, embedding) meet the vectors in blocks of ``block``, so what is broadcast has a bound; each
+    A vector of length 0 has score 0 with every other. Queries (query_id, embedding) meet the vectors in blocks of ``block``, so what is broadcast has a bound; each
     partition of the result first ranks what it has, as a rank limit is pushed below the exchange.
     """
     base = usable(vectors).select("vec_id", "label", F.col("embedding").alias("v"), F.col("norm").alias("nv"))
@@ -34,7 +34,7 @@ def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float |
     found = None
     for b in range(n):
         some = F.broadcast(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b))
-        part = base.join(some, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", "label", (dot(F.col("q"), F.col("v")) / (F.col("nq") * F.col("nv"))).alias("score"))
+        part = base.join(some, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", "label", F.coalesce(F.try_divide(dot(F.col("q"), F.col("v")), F.col("nq") * F.col("nv")), F.lit(0.0)).alias("score"))
         found = part if found is None else found.union(part)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
     top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
