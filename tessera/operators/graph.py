@@ -37,6 +37,11 @@ def resolve(references: DataFrame, entities: DataFrame, aliases: DataFrame) -> D
     return references.join(first, "ref_id", "left").select("ref_id", status.alias("status"), F.when(status == "resolved", F.col("h.e")).alias("target"), F.col("h.way").alias("way"))
 
 
+def closure(edges: DataFrame, most: int = 4) -> DataFrame:
+    """(src, dst, hops) of the ends of simple paths of up to ``most`` edges (src, dst): no path comes back to its beginning."""
+    return reach(edges.where("src <> dst"), most).where("src <> dst")
+
+
 def reach(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(src, dst, hops): what each node reaches over edges (src, dst) within ``most`` edges, or any number, and the least number it takes.
 
@@ -250,9 +255,9 @@ def cycle_members(spark: SparkSession, sf: str) -> DataFrame:
     return cycles(edges.union(table(spark, sf, "lineitem").select(F.col("l_suppkey") + 100, F.col("l_suppkey") % 25).distinct()))
 
 
-def cycles(edges: DataFrame) -> DataFrame:
-    """(node, cycle_length): nodes that reach themselves, with the shortest way, over cycles of any length."""
-    return reach(edges).where("src = dst").select(F.col("src").alias("node"), F.col("hops").alias("cycle_length"))
+def cycles(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, cycle_length): nodes that reach themselves, with the shortest way, over cycles of up to ``most`` edges, or any length."""
+    return reach(edges, most).where("src = dst").select(F.col("src").alias("node"), F.col("hops").alias("cycle_length"))
 
 
 @query("orphan_rules", "SELECT o_orderkey AS rule_id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
