@@ -249,13 +249,22 @@ class Model:
 
 
 def landmarks(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS) -> list[str]:
-    """Words in three toxic texts and one in a hundred at least, and ``RATIO`` times as often there as in others, by log ratio weighted with their count."""
+    """Words in three toxic texts and one in a hundred at least, and ``RATIO`` times as often there as in others, by log ratio weighted
+    with their count. A word to which one chosen before has a kernel value is left out, as that one stands for it in the map."""
     hot, cold = Counter(), Counter()
     for t, y in zip(texts, toxic, strict=True):
         (hot if y else cold).update(tokens(t))
     nh, nc = max(1, toxic.sum()), max(1, (~toxic).sum())
     ratio = {w: ((n + 0.1) / nh) / ((cold[w] + 0.5) / nc) for w, n in hot.items() if n >= max(3, nh / 100) and len(w) >= 3}
-    return sorted(sorted((w for w in ratio if ratio[w] >= RATIO), key=lambda w: (-hot[w] * np.log(ratio[w]), w))[:most])
+    found = sorted((w for w in ratio if ratio[w] >= RATIO), key=lambda w: (-hot[w] * np.log(ratio[w]), w))[: 4 * most]
+    near: dict[int, set[int]] = {}
+    for w, m in zip(*(x.tolist() for x in Landmarks(found).similar(found)[:2]), strict=True):
+        near.setdefault(w, set()).add(m)
+    chosen: list[int] = []
+    for k in range(len(found)):
+        if len(chosen) < most and not near.get(k, set()) & set(chosen):
+            chosen.append(k)
+    return sorted(found[k] for k in chosen)
 
 
 def fit(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS, epochs: int = 40, rate: float = 2.0, slow: float = 0.002, ridge: float = 0.1, balance: float = 0.5, reg: float = 1e-4, seed: int = 3) -> Model:
