@@ -248,14 +248,39 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
 
 
+def contexts(texts: list[str], words: set[str]) -> Counter:
+    """In how many different contexts, the chunks before and behind, the texts have each of the words.
+
+    Copies of a text, near ones too, repeat a word's context, while what is said anew stands in a new one.
+    """
+    found: dict[str, set[int]] = {}
+    parts: dict[str, list[str]] = {}
+    for t in texts:
+        s = ["", *t.lower().split(), ""]
+        rest = tokens(t) & words
+        for i in range(1, len(s) - 1):
+            if s[i] not in parts:
+                parts[s[i]] = [w for w in words_of(s[i]) if w in words]
+            for w in parts[s[i]]:
+                found.setdefault(w, set()).add(hash((s[i - 1], s[i + 1])))
+                rest.discard(w)
+        for w in rest:  # spelled in single letters
+            found.setdefault(w, set()).add(hash(t))
+    return Counter({w: len(c) for w, c in found.items()})
+
+
 def landmarks(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS) -> list[str]:
     """Words in three toxic texts and one in a hundred at least, and ``RATIO`` times as often there as in others, by log ratio weighted
-    with their count. A word to which one chosen before has a kernel value is left out, as that one stands for it in the map."""
+    with their count. A word counts once for each context in toxic texts, so that one text's copies don't make its words telling.
+    A word to which one chosen before has a kernel value is left out, as that one stands for it in the map."""
     hot, cold = Counter(), Counter()
     for t, y in zip(texts, toxic, strict=True):
         (hot if y else cold).update(tokens(t))
     nh, nc = max(1, toxic.sum()), max(1, (~toxic).sum())
-    ratio = {w: ((n + 0.1) / nh) / ((cold[w] + 0.5) / nc) for w, n in hot.items() if n >= max(3, nh / 100) and len(w) >= 3}
+    often = {w for w, n in hot.items() if n >= max(3, nh / 100) and len(w) >= 3 and (n + 0.1) / nh >= RATIO * (cold[w] + 0.5) / nc}
+    anew = contexts([t for t, y in zip(texts, toxic, strict=True) if y], often)
+    hot = {w: min(hot[w], anew[w]) for w in often}
+    ratio = {w: ((n + 0.1) / nh) / ((cold[w] + 0.5) / nc) for w, n in hot.items() if n >= max(3, nh / 100)}
     found = sorted((w for w in ratio if ratio[w] >= RATIO), key=lambda w: (-hot[w] * np.log(ratio[w]), w))[: 4 * most]
     near: dict[int, set[int]] = {}
     for w, m in zip(*(x.tolist() for x in Landmarks(found).similar(found)[:2]), strict=True):
