@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ SAMPLE = 3000
 #: A token is cut into overlapping windows of this many characters, half of it apart.
 LONGEST = 32
 #: Bytes of chunks and features that a worker keeps, and characters of a chunk that is kept at most.
-KNOWN, KEPT = 48 << 20, 64
+KNOWN, KEPT = 96 << 20, 64
 _ENTRY = 250
 
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -86,67 +87,114 @@ def tokens(text: str | None) -> set[str]:
     return {w for c in chunks(text) for w in words_of(c)}
 
 
+def _points(words: list[str], width: int) -> np.ndarray:
+    """Words as rows of code points, 0 behind the end."""
+    return np.array(words, dtype=f"U{width}").view(np.uint32).reshape(len(words), width)
+
+
 def _codes(words: list[str], width: int) -> np.ndarray:
     """Marked words as rows of code points, 0 behind the end."""
-    out = np.zeros((len(words), width), np.uint32)
-    for i, w in enumerate(words):
-        x = np.frombuffer(f"^{w}$".encode("utf-32-le", "surrogatepass"), np.uint32)
-        out[i, : len(x)] = x
-    return out
+    return _points([f"^{w}$" for w in words], width)
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row of ``a`` the codes of the classes, 32 in all, that the same row of ``b`` has too, the powers of
+    ``DECAY`` for the steps from the code before, and their number. Codes of other classes match nothing in ``b``."""
+    keep = (a > 0) & ((_classes(b)[:, None] >> (a % 32)) & 1).astype(bool)
+    row, place = np.nonzero(keep)
+    at = (np.cumsum(keep, axis=1) - 1)[row, place]
+    codes, places = np.zeros_like(a), np.zeros(a.shape, np.int64)
+    codes[row, at], places[row, at] = a[row, place], place
+    steps = np.maximum(np.diff(places, axis=1, prepend=0), 0)
+    return codes, (DECAY ** np.arange(a.shape[1] + 1)).astype(np.float32)[steps], keep.sum(axis=1)
 
 
-def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def kernel(a: np.ndarray, b: np.ndarray, block: int = 512) -> np.ndarray:
     """Gap-weighted subsequence kernel of each row of ``a`` with the same row of ``b`` (codes, 0 behind
     the end), summed over lengths 2 to ``ORDER``, not normalised.
 
-    For each two places ``match`` is what common subsequences ending there weigh. The sum over all
-    places before both, faded by distance, is taken along one word and then along the other. All
-    steps are by element, so a pair's value does not depend on the rows beside it.
+    Codes that one word alone has are left out, with their places kept in the steps, and pairs
+    with as many left are computed together. For each two places ``match`` is what common
+    subsequences ending there weigh. The sum over all places before both, faded by distance, is
+    taken along one word and then along the other. All steps are by element, so a pair's value
+    does not depend on the rows beside it.
     """
-    n, la = a.shape
-    lb = b.shape[1]
-    fade, square = np.float32(DECAY), np.float32(DECAY**2)
-    same = ((a.T[None, :, :] == b.T[:, None, :]) & (a.T[None, :, :] > 0)).astype(np.float32)
-    match, total = same * square, np.zeros(n, np.float32)
-    along, before = np.empty_like(same), np.empty_like(same)
-    for _ in range(ORDER - 1):
-        along[0] = 0
-        for j in range(1, lb):
-            np.multiply(along[j - 1], fade, out=along[j])
-            along[j] += match[j - 1]
-        before[:, 0] = 0
-        for i in range(1, la):
-            np.multiply(before[:, i - 1], fade, out=before[:, i])
-            before[:, i] += along[:, i - 1]
-        np.multiply(same, before, out=match)
-        match *= square
-        total += match.reshape(la * lb, n).sum(axis=0)
-    return total
-
-
-def _letters(words: list[str]) -> np.ndarray:
-    """The set of letters of each word as bits, in 32 classes of code points."""
-    out = np.zeros(len(words), np.uint32)
-    for i, w in enumerate(words):
-        x = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32) % 32
-        out[i] = np.bitwise_or.reduce(np.uint32(1) << x)
+    out = np.zeros(len(a), np.float32)
+    (x, step_x, nx), (y, step_y, ny) = _common(a, b), _common(b, a)
+    order = np.lexsort((nx, ny))
+    order = order[(nx[order] > 1) & (ny[order] > 1)]
+    for k in range(0, len(order), block):
+        rows = order[k : k + block]
+        la, lb = nx[rows].max(), ny[rows].max()
+        some, other = x[rows, :la].T, y[rows, :lb].T
+        along_x, along_y = step_x[rows, :la].T.copy(), step_y[rows, :lb].T.copy()
+        same = ((some[None] == other[:, None]) & (some[None] > 0)).astype(np.float32)
+        match, total = same * np.float32(DECAY**2), np.zeros(len(rows), np.float32)
+        along, before = np.empty_like(same), np.empty_like(same)
+        for _ in range(ORDER - 1):
+            along[0] = 0
+            for j in range(1, lb):
+                np.add(along[j - 1], match[j - 1], out=along[j])
+                along[j] *= along_y[j]
+            before[:, 0] = 0
+            for i in range(1, la):
+                np.add(before[:, i - 1], along[:, i - 1], out=before[:, i])
+                before[:, i] *= along_x[i]
+            np.multiply(same, before, out=match)
+            total += match.reshape(la * lb, len(rows)).sum(axis=0)
+        out[rows] = total
     return out
 
 
+#: For a code that a word has so often, the logarithm of the most ways to choose some of its places, divided among them.
+_WAYS = np.array([0.0] + [np.log(comb(n, n // 2)) / n for n in range(1, LONGEST + 3)])
+
+
+def norm_bound(keep: np.ndarray, ways: np.ndarray) -> np.ndarray:
+    """For words, as columns, a bound B: their subsequences s over the places in ``keep`` have weights f(s) with
+    sum of f(s) g(s) at most B times the norm of g, for any g. ``keep`` has all or no places of a code.
+
+    By Cauchy-Schwarz over occurrences instead of subsequences: their squared weights need one pass
+    along the word, and no subsequence occurs more often than its codes' places can be chosen, ``ways`` in logarithms.
+    """
+    here = keep.astype(np.float64)
+    ends, total = here * DECAY**2, np.zeros(keep.shape[1])
+    for _ in range(ORDER - 1):
+        run, longer = np.zeros(keep.shape[1]), np.zeros_like(ends)
+        for j in range(1, len(here)):
+            run += ends[j - 1]
+            run *= DECAY**2
+            np.multiply(run, here[j], out=longer[j])
+        ends = longer
+        total += ends.sum(axis=0)
+    return np.sqrt(total * np.exp((ways * here).sum(axis=0)))
+
+
+def _least_own(length: int) -> float:
+    """Least norm of a marked word of this length, which it has if no letter recurs: what recurs only adds."""
+    return float(np.sqrt(kernel(*[np.arange(1, length + 1, dtype=np.uint32)[None]] * 2)[0]))
+
+
+def _classes(codes: np.ndarray) -> np.ndarray:
+    """The set of classes of code points of each row as bits, 32 classes in all."""
+    return np.bitwise_or.reduce(np.where(codes > 0, np.uint32(1) << (codes % 32), np.uint32(0)), axis=1)
+
+
 @dataclass
 class Landmarks:
     words: list[str]
 
     def __post_init__(self) -> None:
         self.width = max(map(len, self.words), default=0) + 2
-        self.lengths = np.array([len(w) + 2 for w in self.words], np.int64)
         self.codes = _codes(self.words, self.width)
         self.own = np.sqrt(kernel(self.codes, self.codes))
+        self.least = np.array([0.0] * 2 + [_least_own(n) for n in range(2, LONGEST + 3)])
+        self.classes = _classes(self.codes)
         self.bounds = [self._bound(i) for i in range(len(self.words))]
 
     def _bound(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """The landmark's classes of letters, and for each set of them, as bits, whether a word without the others
-        may reach ``LEAST``: by Cauchy-Schwarz its normalised kernel is at most what the landmark's own letters of the set weigh."""
+        """The landmark's classes of letters, and for each set of them, as bits, what the landmark's own letters of the set weigh:
+        by Cauchy-Schwarz the normalised kernel of a word without the others is at most this."""
         x = self.codes[i, : len(self.words[i]) + 2]
         inside = (np.arange(len(x)) > 0) & (np.arange(len(x)) < len(x) - 1)
         classes, times = np.unique(x[inside] % 32, return_counts=True)
@@ -155,17 +203,25 @@ class Landmarks:
         gone = (inside & (x % 32 == classes[:, None]))[None, :, :] & (sets == 0)[:, :, None]
         codes = np.where(gone.any(axis=1), 0, x[None, :]).astype(np.uint32)
         most = np.sqrt(np.concatenate([kernel(codes[k : k + 256], codes[k : k + 256]) for k in range(0, len(codes), 256)])) / max(self.own[i], 1e-12)
-        return classes, most + 1e-9 >= LEAST ** (1 / POWER)
+        return classes, most + 1e-9
 
     def candidates(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs (word, landmark) that may reach ``LEAST``."""
-        letters, parts = _letters(words), []
-        for i, (classes, may) in enumerate(self.bounds):
+        """The pairs (word, landmark) that may reach ``LEAST`` by the letters they share and where the word has them."""
+        least = LEAST ** (1 / POWER) * (1 - 1e-3)
+        letters, parts = _classes(_points(words, LONGEST)), []
+        codes = np.ascontiguousarray(_codes(words, LONGEST + 2).T)
+        lens, bits = (codes > 0).sum(axis=0), np.where(codes > 0, np.uint32(1) << (codes % 32), np.uint32(0))
+        ways = _WAYS[sum((codes == codes[j]).astype(np.int8) for j in range(len(codes)))]
+        for i, (classes, most) in enumerate(self.bounds):
             have = np.zeros(len(words), np.int64)
             for bit, c in enumerate(classes.tolist()):
                 have |= ((letters >> np.uint32(c)) & 1).astype(np.int64) << bit
-            w = np.flatnonzero(may[have])
-            parts.append((w, np.full(len(w), i)))
+            near = np.flatnonzero(most[have] >= least)
+            for w in (near[lens[near] <= 13], near[lens[near] > 13]):
+                wide = int(lens[w].max(initial=0))
+                share = norm_bound((bits[:wide, w] & self.classes[i]) > 0, ways[:wide, w]) / self.least[lens[w]]
+                w = w[most[have[w]] * share >= least]
+                parts.append((w, np.full(len(w), i)))
         return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
     def similar(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,19 +231,14 @@ class Landmarks:
             some = words[at : at + 4096]
             w, m = self.candidates(some)
             codes, lens = _codes(some, LONGEST + 2), np.fromiter(map(len, some), np.int64, len(some)) + 2
-            values, own, used = np.zeros(len(w)), np.ones(len(some)), np.zeros(len(some), bool)
-            used[w] = True
-            for lo, hi in ((0, 8), (8, 10), (10, 12), (12, 16), (16, LONGEST + 2)):
-                mine = np.flatnonzero(used & (lens > lo) & (lens <= hi))
-                for k in range(0, len(mine), 256):
-                    part = mine[k : k + 256]
-                    own[part] = np.sqrt(kernel(codes[part, :hi], codes[part, :hi]))
-                pairs = np.flatnonzero((lens[w] > lo) & (lens[w] <= hi))
-                pairs = pairs[np.argsort(self.lengths[m[pairs]], kind="stable")]
-                for k in range(0, len(pairs), 256):
-                    part = pairs[k : k + 256]
-                    values[part] = kernel(self.codes[m[part], : self.lengths[m[part]].max()], codes[w[part], :hi])
-            values = np.minimum(values / np.maximum(own[w] * self.own[m], 1e-12), 1) ** POWER
+            values = np.zeros(len(w))
+            for k in range(0, len(w), 8192):
+                values[k : k + 8192] = kernel(self.codes[m[k : k + 8192]], codes[w[k : k + 8192]])
+            may = values >= LEAST ** (1 / POWER) * (1 - 1e-3) * self.own[m] * self.least[lens[w]]
+            w, m, values = w[may], m[may], values[may]
+            mine, at_mine = np.unique(w, return_inverse=True)
+            own = np.sqrt(kernel(codes[mine], codes[mine]))
+            values = np.minimum(values / np.maximum(own[at_mine] * self.own[m], 1e-12), 1) ** POWER
             near = np.flatnonzero(values >= LEAST)
             near = near[np.argsort(w[near], kind="stable")]
             found.append((at + w[near], m[near], values[near]))
@@ -232,7 +283,7 @@ class Model:
             _seen[stamp], _held[stamp] = {}, 0
         known = _seen[stamp]
         found = [chunks(t) for t in texts]
-        made = self._features(sorted(set().union(*found).difference(known)))
+        made = self._features(list(set().union(*found).difference(known)))
         out = np.zeros((len(texts), len(self.marks.words)))
         for i, cs in enumerate(found):
             some = [x for c in cs if (x := made[c] if c in made else known[c]) is not None]
