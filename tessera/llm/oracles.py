@@ -25,3 +25,24 @@ u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substring(url, strpo
 k AS (SELECT page_id, CASE WHEN rest = '' THEN '' ELSE array_to_string(list_reverse(string_split(regexp_replace(lower(regexp_extract(rest, '^[^/?#]*')), '^www[.]', ''), '.')), ',') || ')' || regexp_replace(rest, '^[^/?#]*', '') END AS url_key, TIMESTAMP '2024-01-01' + to_seconds(page_id % 2147483648) AS captured FROM u),
 o AS (SELECT page_id, row_number() OVER (ORDER BY url_key, captured, page_id) AS history_rank FROM k)
 SELECT b.page_id, b.payload_bytes, b.payload_digest, CASE WHEN f.first = b.page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN f.first <> b.page_id THEN f.first END AS refers_to, o.history_rank FROM b JOIN f USING (payload_digest, payload_bytes) JOIN o ON o.page_id = b.page_id"""
+
+
+#: Documents are counted by part and failures first; each order's step then sums what fails its filter and none before.
+FILTER_AUDIT = r"""
+WITH l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+f AS (SELECT part, doc_id, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN first < doc_id THEN 'E' ELSE '' END AS fails FROM w),
+c AS (SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, filter_order[step] AS filter, '[' || filter_order[1:step] || ']' AS upto, CASE WHEN step > 1 THEN '[' || filter_order[1:step - 1] || ']' ELSE '[.]{9}' END AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, filter,
+  CAST(sum(CASE WHEN NOT regexp_matches(fails, upto) THEN n ELSE 0 END) AS BIGINT) AS kept,
+  CAST(sum(CASE WHEN contains(fails, filter) AND NOT regexp_matches(fails, before) THEN n ELSE 0 END) AS BIGINT) AS removed,
+  CAST(sum(CASE WHEN contains(fails, filter) AND regexp_matches(fails, before) THEN n ELSE 0 END) AS BIGINT) AS redundant,
+  CAST(sum(CASE WHEN fails = filter THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+  CAST(sum(CASE WHEN contains(fails, filter) AND NOT regexp_matches(fails, before) THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+  CAST(sum(CASE WHEN contains(fails, filter) AND NOT regexp_matches(fails, before) THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM c, s GROUP BY ALL)
+SELECT * EXCLUDE (filter), CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM r"""

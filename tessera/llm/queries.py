@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language, licences, oracles, toxicity, urls, warc
+from tessera.llm import audit, language, licences, oracles, toxicity, urls, warc
 from tessera.llm.contamination import contaminated
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.packing import pack_documents
@@ -71,9 +71,19 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(audit.failures(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scans": licences.scan_sql(), "op5_warc": oracles.CAPTURES, "op8_minhash_near_dedup": oracles.NEAR_DUPLICATES, "op9_exact_top_k": oracles.TOP_K}
+    return {
+        "op4_license_scans": licences.scan_sql(),
+        "op5_warc": oracles.CAPTURES,
+        "op8_minhash_near_dedup": oracles.NEAR_DUPLICATES,
+        "op9_exact_top_k": oracles.TOP_K,
+        "op12_filter_interaction_audit": oracles.FILTER_AUDIT,
+    }
