@@ -46,3 +46,44 @@ r AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, filter,
   CAST(sum(CASE WHEN contains(fails, filter) AND NOT regexp_matches(fails, before) THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
   FROM c, s GROUP BY ALL)
 SELECT * EXCLUDE (filter), CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM r"""
+
+
+#: Levels that the SQL has for a source's tree and for the tree of sources: 16**6 leaves and 16**3 sources.
+HEIGHTS = (6, 3)
+
+
+def _tree(name: str, leaves: str, height: int) -> str:
+    """Tables name_0, ... of (key, index, h, n), a level each; a level of one node stays as it is."""
+    up = "SELECT key, index // 16 AS index, sha256(string_agg(h, '' ORDER BY index)) AS h, (n + 15) // 16 AS n FROM {0} WHERE n > 1 GROUP BY key, index // 16, n UNION ALL SELECT key, index, h, n FROM {0} WHERE n = 1"
+    return ",\n".join([f"{name}_0 AS ({leaves})", *(f"{name}_{k} AS ({up.format(f'{name}_{k - 1}')})" for k in range(1, height + 1))])
+
+
+def manifest() -> str:
+    """Every level of both trees as a table of its own; a row meets its run in each by its index."""
+    field = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {1} END"
+    fields = [field.format(c, c) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaf = f"sha256({' || '.join([*fields, field.format('text', 'text')])})"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    altered = f"sha256({' || '.join([*fields, field.format('text', low)])})"
+    rows, over = HEIGHTS
+    key = "CASE WHEN source IS NULL THEN '' ELSE '=' || source END"
+    steps, proof, last = [], [], "d"
+    for tree, height, at in (("t", rows, "index"), ("u", over, "source_index")):
+        for k in range(height):
+            run = f"(SELECT list(h ORDER BY index) FROM {tree}_{k} x WHERE x.key = {'p.key' if tree == 't' else chr(39) * 2} AND x.n > 1 AND x.index // 16 = p.{at} // {16 ** (k + 1)})"
+            place = f"{at} // {16**k} % 16"
+            steps.append(f"{tree}{k} AS (SELECT * EXCLUDE (run), CASE WHEN run IS NULL THEN folded ELSE sha256(array_to_string(run[:{place}] || [folded] || run[{place} + 2:], '')) END AS folded_, CASE WHEN run IS NULL THEN '' ELSE array_to_string(run[:{place}] || run[{place} + 2:], '') END AS proof_{tree}{k} FROM (SELECT p.*, {run} AS run FROM {last} p))")
+            steps.append(f"{tree}{k}b AS (SELECT * EXCLUDE (folded, folded_), folded_ AS folded FROM {tree}{k})")
+            proof.append(f"proof_{tree}{k}")
+            last = f"{tree}{k}b"
+    return f"""
+WITH l AS (SELECT doc_id, {key} AS key, {leaf} AS leaf, {altered} AS altered FROM documents),
+c(crc) AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda a, _: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, CAST(i AS BIGINT)))),
+h AS (SELECT *, CASE WHEN doc_id IS NULL THEN 1 ELSE xor(4294967295, list_reduce(list_transform(range(1, 1 + length(CAST(doc_id AS VARCHAR))), lambda i: CAST(ascii(CAST(doc_id AS VARCHAR)[i]) AS BIGINT)), lambda a, b: xor(a >> 8, crc[1 + (xor(a, b) & 255)]), CAST(4294967295 AS BIGINT))) % 5 END AS crc5 FROM l, c),
+o AS (SELECT doc_id, key, leaf, CASE WHEN crc5 = 0 THEN altered ELSE leaf END AS shown, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS index FROM h),
+{_tree("t", "SELECT key, index, leaf AS h, count(*) OVER (PARTITION BY key) AS n FROM o", rows)},
+s AS (SELECT key, h AS subroot, row_number() OVER (ORDER BY key) - 1 AS index FROM t_{rows}),
+{_tree("u", "SELECT '' AS key, index, subroot AS h, count(*) OVER () AS n FROM s", over)},
+d AS (SELECT o.doc_id, o.key, o.leaf, o.index, o.shown AS folded, s.subroot, s.index AS source_index, u_{over}.h AS root FROM o JOIN s USING (key), u_{over}),
+{("," + chr(10)).join(steps)}
+SELECT doc_id, leaf, subroot, root, sha256({" || ".join(proof)}) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM {last}"""

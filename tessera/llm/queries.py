@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import audit, language, licences, oracles, toxicity, urls, warc
+from tessera.llm import audit, language, licences, manifest, oracles, toxicity, urls, warc
 from tessera.llm.contamination import contaminated
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.packing import pack_documents
@@ -75,6 +75,10 @@ def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame
     return audit.audit(audit.failures(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.proofs(manifest.manifest(_read(spark, sf_dir, "documents"), manifest.tampered()))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -86,4 +90,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_minhash_near_dedup": oracles.NEAR_DUPLICATES,
         "op9_exact_top_k": oracles.TOP_K,
         "op12_filter_interaction_audit": oracles.FILTER_AUDIT,
+        "op13_merkle_manifest": oracles.manifest(),
     }
