@@ -14,6 +14,7 @@ from tessera.llm.minhash import near_duplicates
 from tessera.llm.packing import pack_documents
 from tessera.llm.passages import repeated_passages
 from tessera.llm.sampling import held_out
+from tessera.llm.tokenfiles import token_files
 from tessera.llm.topk import top_k
 
 #: Host and path of each rule, and whether it allows.
@@ -71,6 +72,10 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(audit.failures(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")))
 
