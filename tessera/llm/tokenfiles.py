@@ -21,11 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.packing import KNOWN, LONGEST, _byte_characters
+from tessera.llm.packing import LONGEST, _byte_characters
 from tessera.llm.shared import drop, give_back, in_batches, mapper, partitions, scratch, table
 from tessera.plans.catalogue import small
 
@@ -36,24 +37,28 @@ BATCH, FILE = 256, 4096
 FILES = 200_000
 #: What ends, as it begins, a file of the format.
 MAGIC = b"ARROW1"
-#: Bytes that a kept word takes beside its characters and ids.
-_ENTRY = 200
+#: Bytes of words and ids that a worker keeps, twice, and what each takes beside its characters and ids.
+KNOWN, _ENTRY = 96 << 20, 200
 
 #: Fixed value: how the vocabulary's tokenizer parts a text.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A space that white space, or what some call so, or the text's end follows: only there a space may not begin a piece.
-_ODD = re.compile(r" (?=[\s\x1c-\x1f᠎​]|\Z)")
+#: White space but spaces and line ends, and what some call so: a text with it isn't parted by splitting.
+_ODD = re.compile("[\\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
+#: A Latin letter and punctuation behind it, where a piece begins.
+_TAIL = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])([,.;:!?])"
 #: Texts in which all agree on what is a letter, a digit or white space.
-_PLAIN = re.compile("[\t\n\r -~¡-ɏ]*")
+_PLAIN = re.compile("[\t\n\r -~\u00a1-\u024f]*")
+_LETTERS = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
 
 class ByteIds:
-    """Ids of texts by a byte-level vocabulary, as bytes of little-endian numbers of ``width`` bytes, piece by piece as most recur.
+    """Ids of texts by a byte-level vocabulary, as bytes of little-endian numbers of ``width`` bytes, word by word as most recur.
 
-    A piece's ids don't depend on its neighbours, and a space before anything but white space begins a
-    piece. So words are looked up with the space before them, and new ones parted into pieces for the
-    tokenizer's model. Texts and words with special tokens or characters on whose kind tools may
-    disagree go to the tokenizer as a whole, as do all with another kind of tokenizer.
+    A piece's ids don't depend on its neighbours. A space before anything but white space begins a piece,
+    and so do punctuation behind a letter, a line end and what follows it, unless white space stands beside it. So texts are split there, known words
+    are looked up, and new ones parted into pieces for the tokenizer's model. Texts and words with special
+    tokens or characters on whose kind tools may disagree go to the tokenizer as a whole, as do all
+    with another kind of tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -62,57 +67,83 @@ class ByteIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.code = "H" if self.width == 2 else "I"
+        self.code, self.kind = ("H", np.dtype("<u2")) if self.width == 2 else ("I", np.dtype("<u4"))
         self.bytes = str.maketrans(_byte_characters())
+        self.space = _byte_characters()[" "]
+        self.model = self.tokenizer.model
         self.parts = regex.compile(PIECES)
-        self.pieces: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
+        self.former: dict[str, bytes] = {}
         self.held = 0
-        probes = ["It's 12,5 %", " don't...\n\nthey've  gone\t \n", "Größe ½ niño's #1", "x" * 40, "\r\n a", "'S 'll9z"]
+        probes = ["It's 12,5 %", " don't...\n\nthey've  gone\t \n", "Größe ½ niño's #1", "x" * 40, "\r\n a", "'S 'll9z", "a\nb, c"]
         self.fast = all(self._parted(p) == self._whole(p) for p in probes)
 
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            found = array(self.code, [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.bytes))]).tobytes()
-            self._keep(self.pieces, piece, found)
-        return found
+        # letters of ASCII stand for themselves, and a space before them for one sign
+        shown = piece.replace(" ", self.space) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.bytes)
+        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _parted(self, text: str) -> bytes:
         return b"".join(map(self._piece, self.parts.findall(text)))
 
     def _new(self, text: str) -> bytes:
+        if _LETTERS.fullmatch(text):
+            return self._piece(text)
         return self._parted(text) if _PLAIN.fullmatch(text) else self._whole(text)
 
-    def _keep(self, where: dict[str, bytes], key: str, ids: bytes) -> None:
-        if len(key) <= LONGEST:
-            where[key] = ids
-            self.held += _ENTRY + len(key) + len(ids)
-
-    def of(self, text: str) -> bytes:
-        if not self.fast or any(s in text for s in self.special):
-            return self._whole(text)
-        if self.held > KNOWN:
-            self.pieces, self.known, self.held = {}, {}, 0
-        if _ODD.search(text):
-            return self._new(text)
-        first, *words = text.split(" ")  # none but the first can be empty
-        if not first:
-            first, words = " " + words[0] if words else "", words[1:]
-        try:
-            return self._new(first) + b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            new = {}
-            for w in words:
-                if w not in self.known and w not in new:
-                    new[w] = self._new(" " + w)
-            out = b"".join([self._new(first), *(new[w] if w in new else self.known[w] for w in words)])
-            for w, ids in new.items():
-                self._keep(self.known, w, ids)
-            return out
+    def _missing(self, word: str) -> bytes | None:
+        """The ids of a word that isn't among those used of late; None if it has white space that may belong to a longer run."""
+        ids = self.former.get(word)
+        if ids is None:
+            if _LETTERS.fullmatch(word):
+                ids = self._piece(word)
+            elif _ODD.search(word):
+                return None
+            else:
+                ids = self._new(word) if word else b""
+        if len(word) <= LONGEST:
+            self.known[word] = ids
+            self.held += _ENTRY + len(word) + len(ids)
+        return ids
+
+    def _special(self, text: str) -> bool:
+        return any(s in text for s in self.special)
+
+    def of(self, text: str) -> np.ndarray:
+        """The ids of one text, not word by word."""
+        return np.frombuffer(self._whole(text) if not self.fast or self._special(text) else self._new(text), self.kind)
+
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each of ``texts``; words are split and told apart by Arrow, so that Python sees each word of the batch once."""
+        odd = pc.match_substring_regex(texts, r"[ \t\n\r\v\f]\z")
+        for part in ("  ", "\n\n", " \n", "\n ", "\0", *self.special):
+            odd = pc.or_(odd, pc.match_substring(texts, part))
+        odd = odd.to_numpy(zero_copy_only=False) if self.fast else np.ones(len(texts), bool)
+        out: list[np.ndarray | None] = [None] * len(texts)
+        if not odd.all():
+            marked = pc.replace_substring_regex(texts.filter(pa.array(~odd)), _TAIL, "\\1\0\\2")
+            marked = pc.replace_substring(pc.replace_substring(marked, " ", "\0 "), "\n", "\0\n\0")
+            split = pc.split_pattern(marked, "\0")
+            words = split.flatten().dictionary_encode()
+            all_words = words.dictionary.to_pylist()
+            ids = [self._missing(w) if found is None else found for w, found in zip(all_words, map(self.known.get, all_words), strict=True)]
+            codes, bounds = words.indices.to_numpy(), split.offsets.to_numpy()
+            bad = np.array([x is None for x in ids])
+            blob = np.frombuffer(b"".join(x or b"" for x in ids), self.kind)
+            sizes = np.fromiter((len(x or b"") // self.width for x in ids), np.int64, len(ids))
+            firsts = np.cumsum(sizes) - sizes
+            for i, a, b in zip(np.flatnonzero(~odd).tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                own = codes[a:b]
+                if not bad[own].any():
+                    n = sizes[own]
+                    ends = np.cumsum(n)
+                    out[i] = blob[np.repeat(firsts[own] - ends + n, n) + np.arange(ends[-1])]
+            if self.held > KNOWN:  # what is used again comes back from the former ones
+                self.known, self.former, self.held = {}, self.known, 0
+        return [self.of(texts[i].as_py()) if x is None else x for i, x in enumerate(out)]
 
 
 #: Kept while a worker lives, so that its next task starts with what is known.
@@ -206,7 +237,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, sequence:
         if tokenizer not in _ids:
             _ids[tokenizer] = ByteIds(tokenizer)
         ids = _ids[tokenizer]
-        kept, end = np.dtype(f"<u{ids.width}"), array(ids.code, [end_id]).tobytes()
+        end = np.array([end_id], ids.kind)
         held: list[tuple[int | None, np.ndarray]] = []
         size = 0
 
@@ -216,11 +247,10 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, sequence:
             held, size, number = [], 0, number + 1
             return made
 
-        for t in in_batches(batches, 1 << 22):
-            for doc, text in zip(t["doc_id"].to_pylist(), (x.as_py() for c in t["text"].chunks for x in c), strict=True):
-                own = np.frombuffer(ids.of(text) + end, kept)
-                held.append((doc, own))
-                size += len(own)
+        for t in in_batches(batches, 1 << 24):
+            for doc, own in zip(t["doc_id"].to_pylist(), ids.batch(t["text"].combine_chunks()), strict=True):
+                held.append((doc, np.concatenate([own, end])))
+                size += len(own) + 1
                 if size >= most * sequence:
                     yield ready_file()
         if held:

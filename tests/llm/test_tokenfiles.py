@@ -34,15 +34,16 @@ TEXTS = st.text(st.sampled_from(list(" \t\n\r.,'sdtlvermn09½²ªAéß \u0085\x
 @given(TEXTS)
 def test_ids_equal_the_tokenizer(text):
     want = IDS.tokenizer.encode(text, add_special_tokens=False).ids
-    assert IDS.fast and np.frombuffer(IDS.of(text), "<u2").tolist() == want
-    assert np.frombuffer(IDS.of(text), "<u2").tolist() == want  # with what is now known
+    assert IDS.fast and IDS.of(text).tolist() == want
+    found = IDS.batch(pa.array(["a b", text, f"{text} b", text, f"a\n{text}"]))
+    assert [x.tolist() for x in found] == [IDS.tokenizer.encode(t, add_special_tokens=False).ids for t in ("a b", text, f"{text} b", text, f"a\n{text}")]
 
 
 def test_ids_of_special_tokens_and_documents(spark, tokenizer):
     texts = ["a <|endoftext|> b", "<|endoftext", " <|endoftext|>", "It's <|x", "", " ", "  ", " a", "a ", "a  b", "a \nb", "\n a", "é" * 3000]
     texts += [r[0] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
-    for t in texts:
-        assert np.frombuffer(IDS.of(t), "<u2").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t[:80]
+    for t, found in zip(texts, IDS.batch(pa.array(texts)), strict=True):
+        assert found.tolist() == IDS.of(t).tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t[:80]
 
 
 def test_round_trip(spark, tokenizer, tmp_path, monkeypatch):
