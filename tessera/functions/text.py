@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
+from html import unescape as unescape_html
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,10 +43,69 @@ def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(word_count(text) * 4 / 3).cast("int"))
 
 
+#: Characters that count as white space, for trimming; and as a class of regular expressions.
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANK = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+#: References that most texts have, looked for before the table of all.
+_COMMON = ("&lt;", "&gt;", "&quot;", "&#39;", "&nbsp;")
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that stands in the plan, and is worked out, once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def strip(text: Column) -> Column:
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def _referred(code: Column) -> Column:
+    """The character of a numeric reference, by the rules of HTML: Windows-1252 from 128 to 159, nothing for what is no character."""
+    latin = [bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)]
+    plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    dropped = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(0xFFFE) == 0xFFFE)
+    return (
+        F.when((code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), "\ufffd")
+        .when(code.between(128, 159), F.element_at(F.array(*map(F.lit, latin)), (code - 127).cast("int")))
+        .when(dropped, "")
+        .otherwise(plain)
+    )
+
+
+def _resolved(piece: Column, names: Column) -> Column:
+    """A piece that begins with ``&``, its reference replaced by what it stands for; ``names`` is a text of all names and values."""
+    ref = F.regexp_extract(piece, r"^&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)", 1)
+    rest = F.substring(piece, F.length(ref) + 2, F.lit(2**31 - 1))
+    digits = F.regexp_extract(ref, r"^#[xX]?0*([0-9a-fA-F]*)", 1)
+    is_hex = ref.rlike("^#[xX]")
+    code = F.when(F.length(digits) > 8, F.lit(0x110000)).when(digits == "", F.lit(0)).when(is_hex, F.conv(digits, 16, 10).cast("long")).otherwise(F.conv(digits, 10, 10).cast("long"))
+
+    def valued(name: Column) -> Column:
+        key = F.concat(F.lit("\x01"), name, F.lit("\x02"))
+        at = F.instr(names, key)
+        return F.when(at > 0, F.substring_index(F.substring(names, at + F.length(key), F.lit(8)), "\x01", 1))
+
+    # names without a semicolon count as the beginning of longer words, the longest first
+    longest = max(len(n) for n in html5 if not n.endswith(";"))
+    sizes = F.filter(F.sequence(F.lit(longest), F.lit(2), F.lit(-1)), lambda n: (n < F.length(ref)) & valued(F.left(ref, n)).isNotNull())
+    begun = let(F.get(sizes, F.lit(0)), lambda n: F.concat(valued(F.left(ref, n)), F.substring(ref, n + 1, F.lit(32))))
+    named = F.coalesce(valued(ref), begun, F.concat(F.lit("&"), ref))
+    common = F.when(F.startswith(piece, F.lit("&amp;")), F.concat(F.lit("&"), F.substring(piece, 6, 2**31 - 1)))
+    for name in _COMMON:
+        common = common.when(F.startswith(piece, F.lit(name)), F.concat(F.lit(unescape_html(name)), F.substring(piece, len(name) + 1, 2**31 - 1)))
+    return common.when(~F.startswith(piece, F.lit("&")) | (ref == ""), piece).when(F.startswith(ref, F.lit("#")), F.concat(_referred(code), rest)).otherwise(F.concat(named, rest))
+
+
 def unescape(text: Column) -> Column:
-    """The five predefined entities, the no-break space and the numeric apostrophe; a single pass, so ``&amp;lt;`` gives ``&lt;``."""
-    named = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
-    return reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), named, text)
+    """Character references of HTML 5 as what they stand for, in a single pass, so ``&amp;lt;`` gives ``&lt;``."""
+    names = F.lit("".join(f"\x01{n}\x02{v}" for n, v in html5.items()) + "\x01")
+
+    def resolved(t: Column) -> Column:
+        whole = let(names, lambda n: F.array_join(F.transform(F.split(t, "(?=&)"), lambda p: _resolved(p, n)), ""))
+        return F.when(F.contains(t, F.lit("&")), whole).otherwise(t)
+
+    return let(text, resolved)
 
 
 def dedupe_key(text: Column) -> Column:

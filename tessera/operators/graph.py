@@ -72,6 +72,36 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def rings(edges: DataFrame) -> DataFrame:
+    """(node, ring, place, length) of the nodes that lie on a ring of ``edges`` (src, dst), of which each src has one; ring is the ring's smallest node, which has place 0.
+
+    Each round doubles the steps that a node looks ahead, so there are as many rounds as the number of nodes has
+    binary digits, however long chains and rings are. A node whose chain ends drops out; what others look at after as many steps as
+    there are nodes lies on a ring. Places are told by the steps that are left to the ring's smallest node, doubled likewise.
+    """
+    ahead = _cut(edges.where("src is not null and dst is not null").select("src", "dst", F.least("src", "dst").alias("least")))
+    left, steps = ahead.count(), 1
+    while left and steps < left:
+        further = ahead.select(F.col("src").alias("dst"), F.col("dst").alias("to"), F.col("least").alias("more"))
+        ahead = _cut(ahead.join(further, "dst").select("src", F.col("to").alias("dst"), F.least("least", "more").alias("least")))
+        left, steps = ahead.count(), steps * 2
+    on_ring = ahead.select(F.col("dst").alias("src")).distinct()
+    members = _cut(ahead.join(on_ring, "src").select("src", F.col("least").alias("ring")).join(edges.select("src", "dst"), "src"))
+    root = F.col("src") == F.col("ring")
+    way = members.select("src", "ring", F.when(root, F.col("ring")).otherwise(F.col("dst")).alias("dst"), F.when(root, 0).otherwise(1).alias("left"))
+    while way.where("dst <> ring").take(1):
+        further = way.select(F.col("src").alias("dst"), F.col("dst").alias("to"), F.col("left").alias("more"))
+        way = _cut(way.join(further, "dst").select("src", "ring", F.col("to").alias("dst"), (F.col("left") + F.col("more")).alias("left")))
+    lengths = way.groupBy("ring").agg(F.count("*").alias("length"))
+    return way.join(lengths, "ring").select(F.col("src").alias("node"), "ring", ((F.col("length") - F.col("left")) % F.col("length")).cast("int").alias("place"), "length")
+
+
+def ring_chains(found: DataFrame) -> DataFrame:
+    """(ring, length, chain) of ``rings``: its nodes from the smallest back to it, ``a > b > a``."""
+    nodes = F.transform(F.array_sort(F.collect_list(F.struct("place", F.col("node").cast("string").alias("node")))), lambda x: x["node"])
+    return found.groupBy("ring", "length").agg(F.concat_ws(" > ", nodes, F.first("ring").cast("string")).alias("chain"))
+
+
 def reciprocal(edges: DataFrame) -> DataFrame:
     """(predicate, a, b, policy) for each pair of opposite edges (src, dst, predicate), a < b."""
     policy = F.coalesce(*[F.when(F.col("predicate") == p, F.lit(v)) for p, v in CYCLES.items()], F.lit("not_applicable"))

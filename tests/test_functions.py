@@ -111,10 +111,6 @@ def test_audit_stream_equals_batch(spark, tmp_path):
 def test_tables_labels_and_envelopes(spark):
     from tessera.operators import rules as R
 
-    text = "intro\n| A | B |\n|---|:-:|\n| 1 | 2 | 3 |\n| x |\n\nVersion:\n  2.1  \n| no | head |"
-    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
-    assert [r["row"] for r in R.markdown_rows(docs).orderBy("line_no").collect()] == ["A: 1 | B: 2", "A: x | B: "]
-    assert [tuple(r) for r in R.metadata_pairs(docs).collect()] == [(1, "version", "2.1")]
     for raw, want in [('{"a": 1}', '{"a": 1}'), ('```json\n{"a": 2}\n```', '{"a": 2}'), ('so: {"a": {"b": 3}} ok', '{"a": {"b": 3}}'), ("none", None), ("{broken", None)]:
         assert one(spark, R.parse_envelope(F.lit(raw))) == want, raw
 
