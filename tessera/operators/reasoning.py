@@ -323,8 +323,3 @@ def coverage_share(spark: SparkSession, sf: str) -> DataFrame:
 def keyword_query_clean(spark: SparkSession, sf: str) -> DataFrame:
     words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9][a-z0-9.-]+)"), 1), lambda x: ~x.isin("the", "and", "of", "is"))
     return questions(spark, sf).select("question_id", F.array_join(F.slice(words, 1, 10), " ").alias("keywords"))
-
-
-@query("json_envelope", """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
-def json_envelope(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))

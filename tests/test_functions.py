@@ -108,13 +108,6 @@ def test_audit_stream_equals_batch(spark, tmp_path):
     assert norm(spark.table("audit_counts")) == norm(batch)
 
 
-def test_tables_labels_and_envelopes(spark):
-    from tessera.operators import rules as R
-
-    for raw, want in [('{"a": 1}', '{"a": 1}'), ('```json\n{"a": 2}\n```', '{"a": 2}'), ('so: {"a": {"b": 3}} ok', '{"a": {"b": 3}}'), ("none", None), ("{broken", None)]:
-        assert one(spark, R.parse_envelope(F.lit(raw))) == want, raw
-
-
 def test_version_keys_sort_as_compare(spark):
     vs = ["17.3", "17.3.0", "17.3.1a", "17.3.1", "9.10", "9.9", "009.9", "x", None, "1.2.3.4.5"]
     rows = spark.createDataFrame([(a, b) for a in vs for b in vs], "a string, b string")
