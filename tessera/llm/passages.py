@@ -198,7 +198,8 @@ def stretches(a: np.ndarray, b: np.ndarray, least: float = SIMILAR, span: int =
     """(begin, end, begin in a, end in a, similarity) of the stretches of ``b`` that ``a`` has nearly too, in tokens.
 
     A stretch grows over unshared tokens as long as enough of it is shared; its counterpart spans
-    the first places in ``a`` of its tokens, near their median shift. Stretches and counterparts have ``span`` tokens or more.
+    the first places in ``a`` of its tokens, near their median shift. Where that fails, as with two passages that stand side by side
+    in ``b`` only, its runs are chained by their shifts and each chain is a stretch. Stretches and counterparts have ``span`` tokens or more.
     ``order`` sorts ``a``, where known.
     """
     order = np.argsort(a, kind="stable") if order is None else order
@@ -238,11 +239,30 @@ def stretches(a: np.ndarray, b: np.ndarray, least: float = SIMILAR, span: int =
             return True
         return False
 
+    def chains(x: int, y: int) -> list[list[int]]:
+        """A stretch's runs, chained while their places in ``a`` follow each other as they do in ``b`` but for edits."""
+        parts: list[list[int]] = []
+        before = 0
+        for u, v in runs:
+            if x <= u and v <= y:
+                shift = int(np.median(order[at[u:v]] - np.arange(u, v)))
+                if parts and abs(shift - before) <= span // 2 and parts[-1][2] + v - u >= cost * (v - parts[-1][0]):
+                    parts[-1][1:] = [v, parts[-1][2] + v - u]
+                else:
+                    parts.append([u, v, v - u])
+                before = shift
+        return parts
+
     for x, y, _ in merged:
-        if not match(x, y):
-            for u, v in runs:
-                if x <= u and v <= y and (u, v) != (x, y):
-                    match(u, v)
+        if match(x, y):
+            continue
+        # passages that stand side by side here may be far apart there, or in another order
+        for u, v, _ in chains(x, y):
+            if (u, v) != (x, y) and match(u, v):
+                continue
+            for w, z in runs:
+                if u <= w and z <= v and (w, z) not in ((u, v), (x, y)):
+                    match(w, z)
     return found
 
 
