@@ -12,9 +12,8 @@ _DOTTED = r"^[0-9]+(\.[0-9]+){1,3}$"
 
 
 def _plain_parts(v: Column) -> Column:
-    """Dotted numbers without leading zeros; null if a part is no number of 18 digits at most."""
-    parts = F.transform(F.split(v, r"\."), lambda p: p.try_cast("bigint").cast("string"))
-    return F.when(F.forall(parts, lambda p: p.isNotNull()), F.array_join(parts, "."))
+    """Dotted numbers without leading zeros; null if a part is no number."""
+    return F.when(v.rlike(r"^[0-9]+(\.[0-9]+)*$"), F.regexp_replace(v, r"(^|(?<=\.))0+(?=[0-9])", ""))
 
 
 def normalise(raw: Column, context: Column | None = None) -> Column:
@@ -33,31 +32,31 @@ def normalise(raw: Column, context: Column | None = None) -> Column:
     return F.struct(F.when(~empty, norm).alias("norm"), F.when(~empty, scheme).alias("scheme"))
 
 
-def parts(version: Column) -> Column:
-    """Numbers of a dotted version with an optional letter; an empty array for anything else."""
-    v = F.trim(version)
-    numbers = F.transform(F.split(F.regexp_extract(v, r"(?i)^([0-9]+(?:\.[0-9]+)*)[a-z]?$", 1), r"\."), lambda p: p.try_cast("bigint"))
-    return F.filter(F.coalesce(numbers, F.array().cast("array<bigint>")), lambda p: p.isNotNull())
-
+def key(version: Column) -> Column:
+    """A string that sorts as versions do, of any count of numbers with any count of digits (up to 9999), then the letter; null for anything that isn't a version.
 
-def suffix(version: Column) -> Column:
-    return F.lower(F.regexp_extract(F.trim(version), r"(?i)^[0-9]+(?:\.[0-9]+)*([a-z]?)$", 1))
+    Each number stands behind its length, numbers of zero at the end are left out as shorter versions are padded with them, and a
+    blank, which sorts before digits, ends the numbers.
+    """
+    body = F.regexp_extract(F.trim(version), r"(?i)^([0-9]+(?:\.[0-9]+)*)[a-z]?$", 1)
+    letter = F.lower(F.regexp_extract(F.trim(version), r"(?i)^[0-9]+(?:\.[0-9]+)*([a-z]?)$", 1))
+    short = F.regexp_replace(body, r"(^|\.)0*(\.0+)*$", "")
+    numbers = F.transform(F.split(short, r"\."), lambda p: F.regexp_replace(p, "^0+", ""))
+    told = F.array_join(F.transform(numbers, lambda p: F.concat(F.lpad(F.length(p).cast("string"), 4, "0"), p)), "")
+    return F.when(body != "", F.concat(F.when(short == "", "").otherwise(told), F.lit(" "), letter))
 
 
 def compare(a: Column, b: Column) -> Column:
-    """-1, 0 or 1; shorter versions are padded with zeros, then the letter decides. Null if one is null."""
-    pa, pb = parts(a), parts(b)
-    n = F.greatest(F.size(pa), F.size(pb))
-    pad = lambda p: F.concat(p, F.array_repeat(F.lit(0).cast("bigint"), n - F.size(p)))
-    x, y, s, t = pad(pa), pad(pb), suffix(a), suffix(b)
-    return F.when(a.isNull() | b.isNull(), F.lit(None)).when(x < y, -1).when(x > y, 1).when(s < t, -1).when(s > t, 1).otherwise(0).cast("int")
+    """-1, 0 or 1; shorter versions are padded with zeros, then the letter decides; what is no version counts as 0. Null if one is null."""
+    x, y = (F.coalesce(key(v), F.lit(" ")) for v in (a, b))
+    return F.when(a.isNull() | b.isNull(), F.lit(None)).when(x < y, -1).when(x > y, 1).otherwise(0).cast("int")
 
 
 def satisfies(installed: Column, operator: Column, required: Column) -> Column:
     """Three-valued: null where the installed version is missing or the two can't be compared."""
     wild = F.endswith(F.lower(required), F.lit(".x"))
     prefix = F.substring(required, F.lit(1), F.length(required) - 1)
-    comparable = (F.size(parts(installed)) > 0) & (F.size(parts(required)) > 0)
+    comparable = key(installed).isNotNull() & key(required).isNotNull()
     c = compare(installed, required)
     by = F.when(operator == ">=", c >= 0).when(operator == ">", c > 0).when(operator == "<=", c <= 0).when(operator == "<", c < 0).when(operator == "==", c == 0).when(operator == "!=", c != 0)
     equal = F.lower(installed) == F.lower(required)
@@ -89,18 +88,6 @@ def ios_xe_release(text: Column) -> Column:
     return F.struct(family.alias("family"), F.coalesce(version, loose).alias("version"), F.when(version.isNotNull(), "cisco_ios_xe").otherwise("cisco_ios_xe_unknown").alias("scheme"))
 
 
-#: Numbers of a version that a sort key holds; longer versions compare by their first ones.
-KEY = 12
-
-
-def key(version: Column) -> Column:
-    """A string that sorts as ``compare``, for versions met in many pairs: numbers to eighteen digits, then the letter; null for anything that isn't a version."""
-    v = F.trim(version)
-    body = F.regexp_extract(v, r"(?i)^([0-9]{1,18}(?:\.[0-9]{1,18})*)[a-z]?$", 1)
-    wide = F.transform(F.split(body, r"\."), lambda p: F.lpad(p, 18, "0"))
-    return F.when(body != "", F.concat(F.rpad(F.array_join(F.slice(wide, 1, KEY), ""), 18 * KEY, "0"), suffix(version)))
-
-
 def satisfies_keyed(installed: Column, key_installed: Column, operator: Column, required: Column, key_required: Column) -> Column:
     """``satisfies`` with both keys at hand."""
     wild = F.endswith(F.lower(required), F.lit(".x"))

@@ -78,6 +78,14 @@ VIOLATION_PATTERNS = (
     ("instability", "RC-CONFLICT-VIOLATION", "VIOL-CONFLICT", "High"), ("network adapter", "RC-CONFLICT-VIOLATION", "VIOL-CONFLICT", "High"),
     ("telemetry", "RC-CONFIGURATION-DRIFT", "VIOL-COMPLIANCE", "Medium"), ("authentication", "RC-SECURITY-VIOLATION", "VIOL-SECURITY", "Critical"),
 )
+#: Labels of the violations that the patterns tell, in the same order; severity words and their levels, the first that is found counts; rows of evidence.
+VIOLATION_LABELS = (
+    "VersionMismatch", "UnsupportedConfig", "Conflict", "Conflict", "MissingDependency", "Dependency", "UpgradePath", "EndOfSupport", "EndOfSupport", "Deprecated", "SecurityViolation", "SecurityViolation",
+    "SecurityViolation", "SecurityViolation", "SecurityViolation", "PolicyViolation", "ConfigDrift", "Compliance", "NonCompliant", "NonCompliant", "Readiness", "Sequence", "UpdateOrder", "UnknownState",
+    "VersionMismatch", "VersionMismatch", "LifecycleMismatch", "Outdated", "BootDelay", "BootFailure", "Instability", "NetworkAdapter", "Telemetry", "Authentication",
+)
+SEVERITY_WORDS = (("critical", "Critical"), ("warning", "High"), ("info", "Medium"), ("informational", "Informational"))
+EVIDENCE_ROWS = "array<struct<evidence_type: string, entity: string, target: string, confidence: double, source_excerpt: string, description: string, rule_type: string, relationship: string>>"
 #: Component types in questions and their names.
 QUESTION_COMPONENTS = (
     ("bios", ("bios", "uefi", "system bios")), ("firmware", ("firmware", "system firmware", "device firmware")), ("operating_system", ("operating system", "windows", "linux", "ubuntu", "os")),

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.functions import vocabulary as V
+from tessera.plans.catalogue import small
 from tessera.plans.registry import query, table
+from tessera.plans.stages import once
 
 
 def sql_any(text: str, words) -> str:
@@ -227,17 +229,27 @@ def exact_duplicate_texts(spark: SparkSession, sf: str) -> DataFrame:
 SELECT b.item_id, count(d.doc_id) AS documents, min(d.doc_id) AS first_doc FROM (SELECT item_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM benchmark) b
 LEFT JOIN (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM documents) d ON contains(d.t, b.t) GROUP BY b.item_id""")
 def grounding_contains(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that quote each passage. Both sides meet on eight words; containment is then exact.
+    """Documents that quote each passage, as a part of their text.
 
-    The passage's first eight words are a key, each document gives all its runs of eight words, so no pair
-    is formed without a shared run.
+    A passage's first and last word may be parts of a document's words, those between are words. So both sides
+    meet on up to eight words from the second one on, and containment is then exact. Only runs that some passage begins with leave a document's row. Passages of one or two
+    words have none between; each of them is looked for in each text.
     """
     form = lambda t: F.lower(X.compact(F.col(t)))
-    items = table(spark, sf, "benchmark").select("item_id", form("text").alias("t")).withColumn("w", F.split("t", " "))
-    docs = table(spark, sf, "documents").select("doc_id", form("text").alias("dt")).withColumn("w", F.split("dt", " "))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 7, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(8)), " ")))
-    key_of_item = F.xxhash64(F.array_join(F.slice("w", 2, 8), " "))  # the first word may be joined to what stands before it
-    hits = docs.select("doc_id", F.explode(F.array_distinct(runs)).alias("k")).join(items.select("item_id", key_of_item.alias("k")), "k").select("doc_id", "item_id").distinct()
-    found = hits.join(docs.select("doc_id", "dt"), "doc_id").join(items.select("item_id", "t"), "item_id").where(F.contains("dt", F.col("t")))
+    items = once(table(spark, sf, "benchmark"), t=form("text")).select("item_id", "t", F.split("t", " ").alias("w")).withColumn("inner", F.least(F.size("w") - 2, F.lit(8)))
+    docs = once(table(spark, sf, "documents"), dt=form("text")).select("doc_id", "dt")
+    keyed = items.where("inner > 0").select("item_id", F.col("inner"), F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.col("inner")), " ")).alias("k"))
+    sizes = [r[0] for r in keyed.select("inner").distinct().collect()]  # eight at most
+    found = items.where("inner <= 0 and t <> ''").join(docs, F.contains("dt", F.col("t"))).select("item_id", "doc_id")
+    if sizes:
+        worded = once(docs, w=F.split("dt", " "))
+
+        def runs(n: int) -> Column:
+            return F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(n)), " ")))
+
+        each = worded.select("doc_id", F.explode(F.array_distinct(F.concat(*map(runs, sizes)))).alias("k"))
+        hits = each.join(small(keyed.select("item_id", "k")), "k").select("doc_id", "item_id").distinct()
+        exact = hits.join(docs, "doc_id").join(small(items.select("item_id", "t")), "item_id").where(F.contains("dt", F.col("t")))
+        found = found.unionByName(exact.select("item_id", "doc_id"))
     counts = found.groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
     return items.select("item_id").join(counts, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"), "first_doc")

@@ -11,6 +11,7 @@ from tessera.functions import vocabulary as V
 from tessera.functions.text import contains_any, hits
 from tessera.operators.chunks import sql_any, sql_hits
 from tessera.plans.registry import query, table
+from tessera.plans.stages import once
 
 _first = lambda pattern, text: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
 
@@ -79,17 +80,61 @@ def evidence_graph(evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = F.row_number().over(Window.partitionBy("report_id", F.lower("label")).orderBy("ord", "kind"))
     nodes = labels.withColumn("r", first).where("r = 1").select("report_id", "label", node_id(F.col("label")).alias("node_id"), "kind")
     ends = evidence.where("target IS NOT NULL").select("report_id", "ord", node_id(F.col("entity")).alias("source"), node_id(F.col("target")).alias("target"), "relationship", F.col("confidence").alias("weight"))
-    once = F.row_number().over(Window.partitionBy("report_id", "source", "target", "relationship").orderBy("ord"))
-    return nodes, ends.withColumn("r", once).where("r = 1").drop("r", "ord")
+    earliest = F.row_number().over(Window.partitionBy("report_id", "source", "target", "relationship").orderBy("ord"))
+    return nodes, ends.withColumn("r", earliest).where("r = 1").drop("r", "ord")
+
+
+def pick_severity(text: Column, default: Column) -> Column:
+    """The level of the first severity word that a text has as a word, in the order of the table; else the default."""
+    return F.coalesce(*(F.when(text.rlike(rf"(?i)\b{word}\b"), F.lit(level)) for word, level in V.SEVERITY_WORDS), default)
 
 
 def detect_violations(reports: DataFrame, patterns=V.VIOLATION_PATTERNS) -> DataFrame:
-    """(report_id, root_cause, violation, risk, pattern_no) of reports (report_id, text): keywords as substrings, one row for each cause and violation, by the first pattern."""
-    low = F.lower("text")
-    found = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(k)), F.struct(F.lit(c).alias("root_cause"), F.lit(v).alias("violation"), F.lit(r).alias("risk"), F.lit(i).alias("pattern_no"))) for i, (k, c, v, r) in enumerate(patterns)]))
-    each = reports.select("report_id", F.explode(found).alias("d")).select("report_id", "d.*")
-    w = Window.partitionBy("report_id", "root_cause", "violation").orderBy("pattern_no")
-    return each.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+    """(report_id, root_cause, violation, risk, pattern_no) of reports (report_id, text): keywords as substrings, one row for each cause and violation, by the first pattern.
+
+    Where the text has a severity word, its level is every risk. All is done within a report's row.
+    """
+    low = once(reports.select("report_id", F.lower("text").alias("low")), low=F.col("low"), said=pick_severity(F.col("low"), F.lit(None).cast("string")))
+    hits = [F.when(F.contains("low", F.lit(k)), F.struct(F.lit(c).alias("root_cause"), F.lit(v).alias("violation"), F.coalesce("said", F.lit(r)).alias("risk"), F.lit(i).alias("pattern_no"))) for i, (k, c, v, r) in enumerate(patterns)]
+    # patterns of one cause and violation stand in order: the first of them that is found counts
+    kinds = dict.fromkeys((c, v) for _, c, v, _ in patterns)
+    firsts = [F.coalesce(*(h for h, (_, c, v, _) in zip(hits, patterns, strict=True) if (c, v) == kind)) for kind in kinds]
+    return low.select("report_id", F.explode(F.array_compact(F.array(*firsts))).alias("d")).select("report_id", "d.*")
+
+
+def detect_with_evidence(packages: DataFrame, patterns=V.VIOLATION_PATTERNS) -> DataFrame:
+    """Detections of packages (report_id, question, evidence), evidence an array of (evidence_type, entity, target, confidence, source_excerpt, description, rule_type, relationship).
+
+    (report_id, detection_no, root_cause, violation, component, risk, confidence, label): first those that violation and risk evidence
+    makes by its type, of its entity or else target, then those of keywords in the question and all evidence, of the first
+    entity that names one. Of detections with one cause, violation and component the first counts.
+
+    * Null fields are empty; a null confidence is 0.8; null evidence has none. Types other than the two make none by themselves.
+    * Repeated packages have their detections each. An empty table gives none.
+    """
+    text = lambda e, *names: F.concat_ws(" ", *(F.coalesce(e[n], F.lit("")) for n in names))
+    every = F.coalesce("evidence", F.array().cast(V.EVIDENCE_ROWS))
+    named = F.filter(F.transform(every, lambda e: F.coalesce(e["entity"], F.lit(""))), lambda x: ~F.lower(x).isin("", "device", "unknown"))
+    corpus = F.lower(F.concat_ws(" ", F.coalesce("question", F.lit("")), F.transform(every, lambda e: text(e, "source_excerpt", "description", "rule_type", "entity", "relationship"))))
+    base = once(packages.select("report_id", "question", "evidence"), low=corpus, all_=every, entity=F.coalesce(F.get(named, F.lit(0)), F.lit("device")))
+    ready = once(base, said=pick_severity(F.col("low"), F.lit(None).cast("string")))
+
+    def found(cause: str, violation: str, component: Column, risk: Column, confidence: Column, label: str) -> Column:
+        return F.struct(F.lit(cause).alias("root_cause"), F.lit(violation).alias("violation"), component.alias("component"), risk.alias("risk"), confidence.alias("confidence"), F.lit(label).alias("label"))
+
+    def typed(e: Column) -> Column:
+        component = F.coalesce(F.nullif(e["entity"], F.lit("")), F.nullif(e["target"], F.lit("")), F.lit("unknown"))
+        confidence = F.coalesce(e["confidence"], F.lit(0.8))
+        content = text(e, "source_excerpt", "description", "rule_type")
+        violation = found("RC-VERSION-MISMATCH", "VIOL-VERSION", component, pick_severity(content, F.lit("High")), confidence, "ViolationEvidence")
+        return F.when(e["evidence_type"] == "ViolationEvidence", violation).when(e["evidence_type"] == "RiskEvidence", found("RC-UNKNOWN-STATE", "VIOL-COMPLIANCE", component, F.lit("High"), confidence, "RiskEvidence"))
+
+    by_word = [F.when(F.contains("low", F.lit(k)), found(c, v, F.col("entity"), F.coalesce("said", F.lit(r)), F.lit(0.75), V.VIOLATION_LABELS[i])) for i, (k, c, v, r) in enumerate(patterns)]
+    told = once(ready, d=F.concat(F.array_compact(F.transform("all_", typed)), F.array_compact(F.array(*by_word))))
+    same = lambda a, b: (a["root_cause"] == b["root_cause"]) & (a["violation"] == b["violation"]) & (a["component"] == b["component"])
+    # detections of one package: evidence and some dozens of keywords
+    first = F.filter("d", lambda x, i: ~F.exists(F.slice("d", F.lit(1), i), lambda y: same(x, y)))
+    return told.select("report_id", F.posexplode(first).alias("detection_no", "x")).select("report_id", "detection_no", "x.*")
 
 
 def assess_risk(detections: DataFrame, devices: int = 1) -> DataFrame:
@@ -211,9 +256,9 @@ def evidence_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return evidence(spark, sf).withColumn("r", F.row_number().over(w)).where("r = 1").select("report_id", "entity", "ord")
 
 
-SQL_REPORTS = "(SELECT doc_id AS report_id, CASE doc_id % 5 WHEN 0 THEN 'boot failure after upgrade; ' WHEN 1 THEN 'policy drift is unknown; ' WHEN 2 THEN 'missing dependency, cve open; ' ELSE '' END || substring(text, 1, 300) AS text FROM documents)"
+SQL_REPORTS = "(SELECT doc_id AS report_id, CASE doc_id % 5 WHEN 0 THEN 'boot failure after upgrade; ' WHEN 1 THEN 'policy drift is unknown; ' WHEN 2 THEN 'missing dependency, cve open; ' ELSE '' END || text AS text FROM documents)"
 _SQL_PATTERNS = ", ".join(f"({i}, '{k}', '{c}', '{v}', '{r}')" for i, (k, c, v, r) in enumerate(V.VIOLATION_PATTERNS))
-SQL_DETECT = f"""p(i, k, c, v, risk) AS (VALUES {_SQL_PATTERNS}), d AS (SELECT report_id, c, v, risk, i, row_number() OVER (PARTITION BY report_id, c, v ORDER BY i) AS r FROM {SQL_REPORTS} JOIN p ON contains(lower(text), k))"""
+SQL_DETECT = f"""p(i, k, c, v, risk) AS (VALUES {_SQL_PATTERNS}), d AS (SELECT report_id, c, v, CASE WHEN regexp_matches(text, '(?i)\\bcritical\\b') THEN 'Critical' WHEN regexp_matches(text, '(?i)\\bwarning\\b') THEN 'High' WHEN regexp_matches(text, '(?i)\\binfo\\b') THEN 'Medium' WHEN regexp_matches(text, '(?i)\\binformational\\b') THEN 'Informational' ELSE risk END AS risk, i, row_number() OVER (PARTITION BY report_id, c, v ORDER BY i) AS r FROM {SQL_REPORTS} JOIN p ON contains(lower(text), k))"""
 
 
 def reports(spark: SparkSession, sf: str) -> DataFrame:
@@ -228,6 +273,22 @@ def violation_detect(spark: SparkSession, sf: str) -> DataFrame:
     return detect_violations(reports(spark, sf))
 
 
+@query("violation_evidence", """
+WITH e AS (SELECT user_id AS report_id, event_id, event_type, 'E' || event_id % 7 AS entity, CAST((event_id % 10) / 10.0 AS DOUBLE) AS conf FROM events),
+f AS (SELECT report_id, arg_min(entity, event_id) AS component FROM e GROUP BY report_id),
+x AS (SELECT report_id, 0 AS part, min(event_id) AS o, 'RC-VERSION-MISMATCH' AS root_cause, 'VIOL-VERSION' AS violation, entity AS component, 'High' AS risk, arg_min(conf, event_id) AS confidence, 'ViolationEvidence' AS label FROM e WHERE event_type = 'error' GROUP BY report_id, entity
+ UNION ALL SELECT report_id, 1, 25, 'RC-VERSION-MISMATCH', 'VIOL-COMPATIBILITY', component, 'Critical', 0.75, 'VersionMismatch' FROM f WHERE report_id % 3 = 0 UNION ALL SELECT report_id, 1, 29, 'RC-UNSUPPORTED-CONFIGURATION', 'VIOL-CONFLICT', component, 'Critical', 0.75, 'BootFailure' FROM f WHERE report_id % 3 = 0
+ UNION ALL SELECT report_id, 1, 6, 'RC-INVALID-UPGRADE-PATH', 'VIOL-UPGRADE', component, 'High', 0.75, 'UpgradePath' FROM f WHERE report_id % 3 = 1)
+SELECT report_id, CAST(row_number() OVER (PARTITION BY report_id ORDER BY part, o) - 1 AS INTEGER) AS detection_no, root_cause, violation, component, risk, confidence, label FROM x""")
+def violation_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of a user as the evidence of a package, with a question."""
+    row = F.struct(F.col("ord"), F.struct("evidence_type", "entity", "target", "confidence", F.lit("").alias("source_excerpt"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("string").alias("rule_type"), "relationship").alias("e"))
+    rows = F.array_sort(F.collect_list(row), lambda a, b: a["ord"].cast("int") - b["ord"].cast("int"))  # the evidence of one package
+    packages = evidence(spark, sf).groupBy("report_id").agg(F.transform(rows, lambda x: x["e"]).cast(V.EVIDENCE_ROWS).alias("evidence"))
+    question = F.when(F.col("report_id") % 3 == 0, "A critical boot failure").when(F.col("report_id") % 3 == 1, "Which upgrade order?")
+    return detect_with_evidence(packages.withColumn("question", question))
+
+
 @query("risk_assess", f"""
 WITH {SQL_DETECT}, x AS (SELECT report_id, v AS component, c, CASE risk WHEN 'Medium' THEN 2 WHEN 'High' THEN 3 ELSE 4 END AS lvl, (i % 10) / 10.0 AS conf, count(*) OVER (PARTITION BY report_id) AS n FROM d WHERE r = 1),
 y AS (SELECT *, CASE WHEN conf < 0.6 THEN greatest(lvl - 1, 0) ELSE lvl END AS low FROM x)
