@@ -100,16 +100,16 @@ def test_single_cases(spark):
 
 
 def test_fold_prefers_selected_then_order_of_extractors_then_quality(spark):
-    def folded(*copies):
-        rows = [(1, k, 1, "text", None, "The same text stands here.", m, q, sel, None, None, None, None, None) for k, (m, q, sel) in enumerate(copies)]
-        (c,) = chunking.chunk_blocks(spark.createDataFrame(rows, chunking.BLOCK)).collect()
-        return c["extraction_method"], c["quality_score"], c["deduplicated_from"]
-
-    assert folded(("csv", 0.9, None), ("docling", 0.1, None)) == ("docling", 0.1, "csv")
-    assert folded(("docling", 0.1, None), ("csv", 0.9, None)) == ("csv", 0.9, "docling")
-    assert folded(("text", 0.5, "text"), ("docling", 0.9, None)) == ("text", 0.5, "docling")
-    assert folded(("docling", 0.9, None), ("text", 0.5, "text"), ("pymupdf", 1.0, None)) == ("text", 0.5, "pymupdf")
-    assert folded(("text", None, None), ("other", 0.2, None)) == ("text", None, "other")
+    cases = [
+        ([("csv", 0.9, None), ("docling", 0.1, None)], ("docling", 0.1, "csv")),
+        ([("docling", 0.1, None), ("csv", 0.9, None)], ("csv", 0.9, "docling")),
+        ([("text", 0.5, "text"), ("docling", 0.9, None)], ("text", 0.5, "docling")),
+        ([("docling", 0.9, None), ("text", 0.5, "text"), ("pymupdf", 1.0, None)], ("text", 0.5, "pymupdf")),
+        ([("text", None, None), ("other", 0.2, None)], ("text", None, "other")),
+    ]
+    rows = [(d, k, 1, "text", None, "The same text stands here.", m, q, sel, None, None, None, None, None) for d, (copies, _) in enumerate(cases) for k, (m, q, sel) in enumerate(copies)]
+    got = {c["doc_id"]: (c["extraction_method"], c["quality_score"], c["deduplicated_from"]) for c in chunking.chunk_blocks(spark.createDataFrame(rows, chunking.BLOCK)).collect()}
+    assert got == {d: want for d, (_, want) in enumerate(cases)}
 
 
 # --- a walk over lines, one state after the other
@@ -209,7 +209,7 @@ def walk(text):
             body.append(line)
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_random_lines_equal_the_walk(spark, seed):
     r = random.Random(seed)
     kinds = ["Vendor", "Version:", "Platform: x1", "# Version", "## Overview", "Known issues", "2. Part", "version 3", "", "", "| a | b |", "|---|---|", "| x 1.2.3 | y |", "| 1.0.1 |", "|:--|", "---", "||", "| | |", "plain words 7", "Acme", "A b. C d.", " | late | row |", "x &lt; y", "&#10;- z", "applies to", "Component | Version", "| Version | b |"]
