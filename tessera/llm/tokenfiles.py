@@ -23,10 +23,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.packing import LONGEST, _byte_characters
+from tessera.llm.packing import _byte_characters
 from tessera.llm.shared import drop, give_back, in_batches, mapper, partitions, scratch, table
 from tessera.plans.catalogue import small
 
@@ -37,8 +38,10 @@ BATCH, FILE = 256, 4096
 FILES = 200_000
 #: What ends, as it begins, a file of the format.
 MAGIC = b"ARROW1"
-#: Bytes of words and ids that a worker keeps, twice, and what each takes beside its characters and ids.
-KNOWN, _ENTRY = 96 << 20, 200
+#: Words whose ids a worker keeps, some 32 bytes each.
+KNOWN = 4_000_000
+#: Characters from which a word is none: it has fewer than 2**20 ids.
+WORD = 1 << 17
 
 #: Fixed value: how the vocabulary's tokenizer parts a text.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -51,8 +54,35 @@ _PLAIN = re.compile("[\t\n\r -~\u00a1-\u024f]*")
 _LETTERS = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
 
+class Known:
+    """Ids of words by two independent hashes of 64 bits, in sorted arrays: a fraction of the room that words and ids take as objects."""
+
+    def __init__(self, kind: np.dtype) -> None:
+        self.blob = np.zeros(0, kind)
+        self.keys, self.checks, self.places = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Where the ids of each word stand, as first place times 2**20 and their number; -1 for words that aren't known."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return np.where((self.keys[at] == keys) & (self.checks[at] == checks), self.places[at], -1)
+
+    def add(self, keys: np.ndarray, checks: np.ndarray, ids: list[bytes]) -> np.ndarray:
+        """Keeps words, and tells their places."""
+        new = np.frombuffer(b"".join(ids), self.blob.dtype)
+        sizes = np.fromiter((len(x) for x in ids), np.int64, len(ids)) // self.blob.itemsize
+        places = (len(self.blob) + np.cumsum(sizes) - sizes << 20) + sizes
+        self.blob = np.concatenate([self.blob, new])
+        order = np.argsort(keys, kind="stable")
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys, self.checks, self.places = (np.insert(old, at, x[order]) for old, x in ((self.keys, keys), (self.checks, checks), (self.places, places)))
+        return places
+
+
 class ByteIds:
-    """Ids of texts by a byte-level vocabulary, as bytes of little-endian numbers of ``width`` bytes, word by word as most recur.
+    """Ids of texts by a byte-level vocabulary, word by word as most recur.
 
     A piece's ids don't depend on its neighbours. A space before anything but white space begins a piece,
     and so do punctuation behind a letter, a line end and what follows it, unless white space stands beside it. So texts are split there, known words
@@ -72,9 +102,7 @@ class ByteIds:
         self.space = _byte_characters()[" "]
         self.model = self.tokenizer.model
         self.parts = regex.compile(PIECES)
-        self.known: dict[str, bytes] = {}
-        self.former: dict[str, bytes] = {}
-        self.held = 0
+        self.known = Known(self.kind)
         probes = ["It's 12,5 %", " don't...\n\nthey've  gone\t \n", "Größe ½ niño's #1", "x" * 40, "\r\n a", "'S 'll9z", "a\nb, c"]
         self.fast = all(self._parted(p) == self._whole(p) for p in probes)
 
@@ -94,27 +122,24 @@ class ByteIds:
             return self._piece(text)
         return self._parted(text) if _PLAIN.fullmatch(text) else self._whole(text)
 
-    def _missing(self, word: str) -> bytes | None:
-        """The ids of a word that isn't among those used of late; None if it has white space that may belong to a longer run."""
-        ids = self.former.get(word)
-        if ids is None:
-            if _LETTERS.fullmatch(word):
-                ids = self._piece(word)
-            elif _ODD.search(word):
-                return None
-            else:
-                ids = self._new(word) if word else b""
-        if len(word) <= LONGEST:
-            self.known[word] = ids
-            self.held += _ENTRY + len(word) + len(ids)
-        return ids
-
-    def _special(self, text: str) -> bool:
-        return any(s in text for s in self.special)
-
     def of(self, text: str) -> np.ndarray:
         """The ids of one text, not word by word."""
-        return np.frombuffer(self._whole(text) if not self.fast or self._special(text) else self._new(text), self.kind)
+        return np.frombuffer(self._whole(text) if not self.fast or any(s in text for s in self.special) else self._new(text), self.kind)
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        """Where the ids of each of these different words stand among the known ones; -1 for words that don't stand alone.
+
+        Those are words with white space that may belong to a longer run, and very long ones, which aren't kept.
+        """
+        keys = np.fromiter(map(hash, words), np.int64, len(words))
+        checks = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        places = self.known.find(keys, checks)
+        new = [i for i in np.flatnonzero(places < 0).tolist() if len(words[i]) < WORD and (_LETTERS.fullmatch(words[i]) or not _ODD.search(words[i]))]
+        if len(self.known.keys) and len(self.known.keys) + len(new) > KNOWN:  # all go, and those of this batch come back
+            self.known = Known(self.kind)
+            return self._places(words)
+        places[new] = self.known.add(keys[new], checks[new], [self._new(words[i]) if words[i] else b"" for i in new])
+        return places
 
     def batch(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each of ``texts``; words are split and told apart by Arrow, so that Python sees each word of the batch once."""
@@ -128,21 +153,15 @@ class ByteIds:
             marked = pc.replace_substring(pc.replace_substring(marked, " ", "\0 "), "\n", "\0\n\0")
             split = pc.split_pattern(marked, "\0")
             words = split.flatten().dictionary_encode()
-            all_words = words.dictionary.to_pylist()
-            ids = [self._missing(w) if found is None else found for w, found in zip(all_words, map(self.known.get, all_words), strict=True)]
             codes, bounds = words.indices.to_numpy(), split.offsets.to_numpy()
-            bad = np.array([x is None for x in ids])
-            blob = np.frombuffer(b"".join(x or b"" for x in ids), self.kind)
-            sizes = np.fromiter((len(x or b"") // self.width for x in ids), np.int64, len(ids))
-            firsts = np.cumsum(sizes) - sizes
+            places = self._places(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+            sizes, firsts, alone, blob = places & ((1 << 20) - 1), places >> 20, places >= 0, self.known.blob
             for i, a, b in zip(np.flatnonzero(~odd).tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 own = codes[a:b]
-                if not bad[own].any():
+                if alone[own].all():
                     n = sizes[own]
                     ends = np.cumsum(n)
                     out[i] = blob[np.repeat(firsts[own] - ends + n, n) + np.arange(ends[-1])]
-            if self.held > KNOWN:  # what is used again comes back from the former ones
-                self.known, self.former, self.held = {}, self.known, 0
         return [self.of(texts[i].as_py()) if x is None else x for i, x in enumerate(out)]
 
 

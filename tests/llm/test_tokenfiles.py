@@ -78,6 +78,17 @@ def test_round_trip(spark, tokenizer, tmp_path, monkeypatch):
     assert order == sorted(order)
 
 
+def test_known_words_are_bounded_and_long_ones_whole(tokenizer, monkeypatch):
+    monkeypatch.setattr(tokenfiles, "KNOWN", 40)
+    monkeypatch.setattr(tokenfiles, "WORD", 30)
+    ids = tokenfiles.ByteIds(PATH)
+    r = random.Random(9)
+    for n in range(20):
+        texts = [" ".join("".join(r.choice("abcäé.,'1\t") for _ in range(r.randrange(1, 9))) for _ in range(r.randrange(12))) + " x" * (n % 2) for _ in range(15)] + ["a " + "long" * 20 + " b", ""]
+        assert [x.tolist() for x in ids.batch(pa.array(texts))] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(ids.known.keys) <= 200 and (np.diff(ids.known.keys) >= 0).all()
+
+
 def test_no_documents(spark):
     assert tokenfiles.token_files(fixed(spark, []), PATH).count() == 0
 
