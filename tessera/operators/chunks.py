@@ -213,7 +213,11 @@ def _chunks(docs: DataFrame) -> DataFrame:
     )
 
 
-@query("chunk_dedupe")
+@query("chunk_dedupe", f"""
+WITH k AS (SELECT doc_id, CAST(line_no AS INTEGER) AS i, lower({SQL_COMPACT.format('line')}) AS k, line_no % 5 = 3 AS s, line_no % 3 AS p, line_no * 7 % 10 AS q FROM ({SQL_LINES}) WHERE trim(line) <> ''),
+g AS (SELECT doc_id, k, list({{'i': i, 's': s, 'p': p, 'q': q}} ORDER BY i) AS g, CAST(count(*) AS INTEGER) AS copies FROM k GROUP BY ALL),
+w AS (SELECT doc_id, k, copies, list_reduce(g, lambda a, b: CASE WHEN CASE WHEN a.s <> b.s THEN b.s WHEN a.s THEN false WHEN b.p < a.p THEN true ELSE b.q > a.q END THEN b ELSE a END).i AS winner FROM g)
+SELECT doc_id, i AS chunk_index, i = winner AS kept, winner, copies FROM k JOIN w USING (doc_id, k)""")
 def chunk_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return deduplicate(_chunks(table(spark, sf, "documents")))
 
