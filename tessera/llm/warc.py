@@ -88,27 +88,30 @@ def write(pages: DataFrame, path: str, smallest: int = 0) -> None:
     again = table(rows.groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1 and page_id is not null").select("page_id", F.lit(True).alias("again")), "again")
     found = found.join(small(again, REPEATED), "page_id", "left").select("page_id", "url", "html", "first", "first_url", "again", "size")
 
-    def make() -> Callable[[pa.Table], pa.Table]:
-        from pyspark import TaskContext
+    def maker(kind: int) -> Callable[[], Callable[[pa.Table], pa.Table]]:
+        def make() -> Callable[[pa.Table], pa.Table]:
+            from pyspark import TaskContext
+
+            part, count = TaskContext.get().partitionId(), itertools.count()
 
-        part, count = TaskContext.get().partitionId(), itertools.count()
+            def step(t: pa.Table) -> pa.Table:
+                cols = [t[c].to_pylist() for c in ("page_id", "url", "html", "first", "first_url", "again")]
+                out = []
+                for p, u, h, f, fu, a in zip(*cols, strict=True):
+                    n = next(count)
+                    # a later row with the response's own page_id repeats it, and stays a response; tasks of each size class count for themselves
+                    out.append(record(p, f":{kind}-{part}-{n}" if a or p is None else "", u, h or "", f, fu, f is not None and f != p))
+                return pa.table({"value": pa.array(out, pa.string())})
 
-        def step(t: pa.Table) -> pa.Table:
-            cols = [t[c].to_pylist() for c in ("page_id", "url", "html", "first", "first_url", "again")]
-            out = []
-            for p, u, h, f, fu, a in zip(*cols, strict=True):
-                n = next(count)
-                # a later row with the response's own page_id repeats it, and stays a response
-                out.append(record(p, f":{part}-{n}" if a or p is None else "", u, h or "", f, fu, f is not None and f != p))
-            return pa.table({"value": pa.array(out, pa.string())})
+            return step
 
-        return step
+        return make
 
     sizes = [0, *(most for most, _ in CLASSES)]
     held = keyed.agg(*(F.count(F.when((F.col("size") >= a) & (F.col("size") < b), 1)) for a, b in itertools.pairwise(sizes))).first()
     for k, (a, b) in enumerate(itertools.pairwise(sizes)):
         if held[k] or not k:
-            records = found.where((F.col("size") >= a) & (F.col("size") < b)).mapInArrow(mapper(make), "value string")
+            records = found.where((F.col("size") >= a) & (F.col("size") < b)).mapInArrow(mapper(maker(k)), "value string")
             records.write.mode("append").option("lineSep", END * 2).option("maxRecordsPerFile", CLASSES[k][1]).text(path)
     drop(firsts, again)
 
