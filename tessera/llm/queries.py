@@ -18,7 +18,7 @@ from tessera.llm.tokenfiles import token_files
 from tessera.llm.topk import top_k
 
 #: Host and path of each rule, and whether it allows.
-URL_RULES = [(False, "com/en/"), (True, "example.com/en/7"), (False, "net/de/"), (False, "example.net/de/8"), (False, "org/es/")]
+URL_RULES = [(False, "com/en/"), (True, "example.com/en/7"), (True, "net/de/"), (False, "example.net/de/8"), (False, "org/es/")]
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
