@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,34 +15,119 @@ from tessera.plans.registry import query, table
 
 #: Largest query side that is broadcast; beyond it the search runs over blocks of queries.
 BROADCAST_QUERIES = 4096
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+#: Vectors that meet a block of queries at once, and vectors of a task.
+CHUNK, TASK = 1024, 1 << 16
+#: Scores count to nine digits.
+GRID = 1e9
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """Vectors that aren't null and hold only finite values, with their length."""
+    """Vectors that aren't null and hold only finite values."""
     ok = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return vectors.where(ok).withColumn("norm", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
+    return vectors.where(ok)
+
+
+def _units(embedding: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``dim`` doubles of length 1 (or 0, if all are 0), and how many components each vector has."""
+    sizes = pc.list_value_length(embedding).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = embedding.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    out = np.zeros((len(sizes), dim))
+    if (sizes == dim).all():
+        out[:] = flat.reshape(-1, dim)
+    else:
+        for i, at in enumerate(np.cumsum(sizes) - sizes):
+            n = min(sizes[i], dim)  # one of more than ``dim`` components meets no query of its size
+            out[i, :n] = flat[at : at + n]
+    for length in (lambda v: np.abs(v).max(axis=1, initial=0.0), lambda v: np.sqrt((v * v).sum(1))):
+        n = length(out)
+        out /= np.where(n > 0, n, 1)[:, None]
+    return out, sizes
+
+
+def _search(qids: np.ndarray, q: np.ndarray, q_sizes: np.ndarray, k: int) -> Callable:
+    """One partition's nearest vectors, which come by ascending vec_id: at most ``k`` of each query."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # no pair at or below its query's bound is among the k best; a later vector of equal score has a larger id
+        bound = np.full(len(qids), -np.inf)
+        at, key, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        kept: pa.Table | None = None  # vec_id and label of what is kept
+        for batch in rows:
+            for start in range(0, batch.num_rows, CHUNK):
+                some = batch.slice(start, CHUNK)
+                ids = some["vec_id"].to_numpy(zero_copy_only=False)
+                v, sizes = _units(some["embedding"], q.shape[1])
+                scores = q @ v.T
+                if (sizes != q.shape[1]).any() or (q_sizes != q.shape[1]).any():
+                    scores[q_sizes[:, None] != sizes[None, :]] = 0.0
+                first, last = np.searchsorted(qids, ids), np.searchsorted(qids, ids, "right")
+                for j in np.flatnonzero(last > first):
+                    scores[first[j] : last[j], j] = -np.inf
+                may = scores > bound[:, None]
+                many = np.count_nonzero(may, axis=1) > k
+                r, c = np.nonzero(may & ~many[:, None])
+                r, c = [r], [c]
+                wide = np.flatnonzero(many)
+                for i in range(0, len(wide), 256):
+                    mine = wide[i : i + 256]
+                    best = np.argsort(-np.rint(scores[mine] * GRID), axis=1, kind="stable")[:, :k]
+                    r.append(np.repeat(mine, best.shape[1]))
+                    c.append(best.ravel())
+                r, c = np.concatenate(r), np.concatenate(c)
+                fine = scores[r, c] > -np.inf
+                r, c = r[fine], c[fine]
+                if not len(r):
+                    continue
+                at, score = np.concatenate([at, r]), np.concatenate([score, scores[r, c]])
+                key = np.concatenate([key, np.rint(scores[r, c] * GRID).astype(np.int64)])
+                found = pa.table({"vec_id": some["vec_id"], "label": some["label"]}).take(pa.array(c))
+                kept = pa.concat_tables([kept, found]).combine_chunks() if kept is not None else found
+                # what was kept comes first and in order of ids, so a stable sort leaves ties to the smaller one
+                order = np.lexsort((-key, at))
+                group = at[order]
+                starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+                place = np.arange(len(group)) - np.repeat(starts, np.diff(np.r_[starts, len(group)]))
+                order, full = order[place < k], order[place == k - 1]
+                bound[at[full]] = (key[full] + (0.5 - 1e-6)) / GRID
+                at, key, score, kept = at[order], key[order], score[order], kept.take(pa.array(order))
+        if len(at):
+            kept = kept.combine_chunks()
+            yield pa.record_batch([pa.array(qids[at]), kept["vec_id"].chunk(0), kept["label"].chunk(0), pa.array(score), pa.array(key)], ["query_id", "vec_id", "label", "score", "key"])
+
+    return run
 
 
 def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = None, block: int = BROADCAST_QUERIES) -> DataFrame:
     """(query_id, vec_id, label, score, rank): the ``k`` nearest vectors of each query other than itself, by cosine, ties to the smaller id.
 
-    A vector of length 0 has score 0 with every other. Queries (query_id, embedding) meet the vectors in blocks of ``block``, so what is broadcast has a bound; each
-    partition of the result first ranks what it has, as a rank limit is pushed below the exchange.
+    A vector of length 0 has score 0 with every other, and so have vectors of different sizes. Scores are equal if they are to nine digits.
+    Queries (query_id, embedding) meet the vectors in blocks of ``block``, which the driver holds one at a time, as products of matrices: a task holds
+    a block, the products with ``CHUNK`` vectors and the ``k`` best so far of each query. Only these are shuffled, ``k`` a query and partition.
     """
-    base = usable(vectors).select("vec_id", "label", F.col("embedding").alias("v"), F.col("norm").alias("nv"))
-    asked = usable(queries.withColumnRenamed("query_id", "vec_id")).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("norm").alias("nq"))
-    n = max(1, -(-asked.count() // block))
-    found = None
-    for b in range(n):
-        some = F.broadcast(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b))
-        part = base.join(some, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", "label", F.coalesce(F.try_divide(dot(F.col("q"), F.col("v")), F.col("nq") * F.col("nv")), F.lit(0.0)).alias("score"))
-        found = part if found is None else found.union(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
-    top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    spark = vectors.sparkSession
+    base = usable(vectors.select("vec_id", "label", "embedding")).where("vec_id is not null")
+    asked = usable(queries.select("query_id", "embedding")).where("query_id is not null")
+    count = asked.count()
+    tasks = max(spark.sparkContext.defaultParallelism, -(-vectors.count() // TASK))
+    dealt = base.repartition(tasks, "vec_id").sortWithinPartitions("vec_id")
+    kinds = {f.name: f.dataType.simpleString() for f in dealt.schema}
+    schema = f"query_id long, vec_id {kinds['vec_id']}, label {kinds['label']}, score double, key long"
+    n = max(1, -(-count // block))
+    found = spark.createDataFrame([], schema)
+    for b in range(n if count else 0):
+        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).orderBy("query_id").toArrow().combine_chunks()
+        if not some.num_rows:
+            continue
+        embedding = some["embedding"].chunk(0)
+        unit, sizes = _units(embedding, max(1, pc.max(pc.list_value_length(embedding)).as_py()))
+        held = spark.sparkContext.broadcast((some["query_id"].to_numpy().astype(np.int64), unit, sizes, k))
+
+        def run(rows: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            yield from _search(*held.value)(rows)
+
+        found = found.union(dealt.mapInArrow(run, schema))
+    order = Window.partitionBy("query_id").orderBy(F.desc("key"), "vec_id")
+    top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("key")
     return top if least is None else top.where(F.col("score") >= least)
 
 
