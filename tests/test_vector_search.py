@@ -46,7 +46,19 @@ def test_no_vectors_and_no_queries(spark):
     assert [retrieval.cosine_top_k(ask(q), v, 3).count() for q, v in ((none, one), (one, none), (one, one))] == [0, 0, 0]
 
 
-@pytest.mark.parametrize("name", ["vector_topk"])
+def test_combined_sides_of_any_label(spark, tmp_path):
+    draw = random.Random(5)
+    rows = [(i, [float(draw.randint(-9, 9)) for _ in range(5)], draw.choice([-3, -2, 0, 1, 2, None])) for i in range(120)]
+    at = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame(rows, SCHEMA).write.parquet(at)
+    got = [tuple(r) for r in registry.queries()["search_combined"](spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{at}/*.parquet'")
+    want = con.sql(registry.oracle_sql()["search_combined"]).fetchall()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("name", ["vector_topk", "search_combined"])
 def test_plan_joins_no_pairs(spark, name):
     plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
