@@ -58,7 +58,7 @@ def test_combined_sides_of_any_label(spark, tmp_path):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
-@pytest.mark.parametrize("name", ["vector_topk", "search_combined", "label_retrieval_eval", "search_quality_report", "vector_threshold", "vector_topk_cutoff"])
+@pytest.mark.parametrize("name", ["vector_topk", "search_combined", "label_retrieval_eval", "search_quality_report", "vector_threshold", "vector_topk_cutoff", "answer_confidence"])
 def test_plan_joins_no_pairs(spark, name):
     plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
