@@ -10,6 +10,7 @@ judged as columns, and one shuffle by document folds duplicates and numbers what
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -76,9 +77,11 @@ def join_labels(text: Column) -> Column:
 
 def clean(text: Column) -> Column:
     """References resolved, bullets and dashes as ``-``, runs of blanks as one, three or more line ends as two, labels joined, stripped."""
-    t = F.translate(X.unescape(F.coalesce(text, F.lit(""))), "•–—", "---")
+    whole = F.coalesce(text, F.lit(""))
+    t = F.translate(X.unescape(whole), "•–—", "---")
     t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\n{3,}", "\n\n")
-    return X.strip(join_labels(t))
+    # a single line without any of these stays as it is
+    return F.when(whole.rlike(rf"[&•–—\t]|  |{X.LINE_END}|\A{X.BLANK}|{X.BLANK}\z"), X.strip(join_labels(t))).otherwise(whole)
 
 
 def _hashless(line: Column) -> Column:
@@ -139,7 +142,7 @@ def _is_row(line: Column) -> Column:
 
 def _is_rule(line: Column) -> Column:
     """A line of dashes between bars, or an empty one."""
-    return F.forall(_cells(line), lambda c: (c == "") | c.rlike(r"^:?-{3,}:?$"))
+    return ~line.rlike(rf"[^-|:{X.BLANK[1:-1]}]") & F.forall(_cells(line), lambda c: (c == "") | c.rlike(r"^:?-{3,}:?$"))
 
 
 def _is_data(cells: Column) -> Column:
@@ -226,7 +229,9 @@ def _table_rows(lines: Column, headers: Column, carried: Column) -> Column:
 def _text_pieces(text: Column, zone: Column) -> Column:
     """Paragraphs, or the sentences of a single one: rules alone, others joined up to the next rule."""
     paragraphs = F.filter(F.transform(F.split(text, rf"\n{X.BLANK}*\n+"), lambda p: X.strip(p)), lambda p: p != "")
-    marked = F.transform(X.sentences(text), lambda s: F.struct(s.alias("line"), X.chunk_type(s, zone).isin("compound_requirement", "unsupported_configuration").alias("alone")))
+    # of type compound_requirement or unsupported_configuration, in any zone
+    alone = lambda low: X.contains_any(low, V.UNSUPPORTED_WORDS) | (F.contains(low, F.lit("with ")) & X.contains_any(low, V.REQUIRE_WORDS))
+    marked = F.transform(X.sentences(text), lambda s: F.struct(s.alias("line"), X.let(F.lower(s), alone).alias("alone")))
     whole = F.array(text)
 
     def joined(m: Column) -> Column:
@@ -261,31 +266,35 @@ def _pieces(units: DataFrame) -> DataFrame:
 
 
 def _judged(pieces: DataFrame, keep_rejected: bool, send_medium: bool) -> DataFrame:
-    """What a piece is worth: chunk columns of those that aren't too thin, or of all as rejected ones."""
+    """What a piece is worth: chunk columns of those that aren't too thin, or of all as rejected ones. Columns that nobody reads aren't worked out."""
     thin = X.is_suspicious(F.col("text"), F.col("chunk_type"))
     if keep_rejected:
         kept = pieces.withColumn("chunk_type", F.when(thin, "rejected").otherwise(F.col("chunk_type")))
     else:
         kept = pieces.where(~thin)
-    zoned = once(kept, chunk_type=F.col("chunk_type"), semantic_zone=X.zone_override(F.col("zone"), F.col("chunk_type"), F.col("text")))
-    scored = once(zoned, s=X.signal_score(F.col("text"), F.col("semantic_zone"), F.col("chunk_type")))
-    used = once(scored, llm_usage=X.llm_usage(F.col("chunk_type"), F.col("semantic_zone"), F.col("s.likelihood"), send_medium))
+    zoned = once(kept, chunk_type=F.col("chunk_type"), low=F.lower("text"), semantic_zone=X.zone_override(F.col("zone"), F.col("chunk_type"), F.col("text")))
+    score, signals = X.score_and_signals(F.col("low"), F.col("semantic_zone"), F.col("chunk_type"))
+    used = once(zoned, score=score).withColumn("likelihood", X.likelihood(F.col("score")))
+    used = used.withColumn("llm_usage", X.llm_usage(F.col("chunk_type"), F.col("semantic_zone"), F.col("likelihood"), send_medium))
     names = F.array_distinct("headers")
     last = F.transform(names, lambda n: F.get(F.col("values"), F.size("headers") - F.array_position(F.reverse("headers"), n).cast("int")))
     return used.select(
         "doc_id", "block_no", "ordinal", "page_number", "chunk_type", F.col("title").alias("section_title"), "text", X.excerpt(F.col("text")).alias("source_excerpt"), "extraction_method", "quality_score", "selected_extractor",
-        F.col("s.likelihood").alias("rule_likelihood"), (F.col("llm_usage") == "rule_extraction").alias("send_to_llm"),
+        F.col("likelihood").alias("rule_likelihood"), (F.col("llm_usage") == "rule_extraction").alias("send_to_llm"),
         F.coalesce(F.nullif("source_parser", F.lit("")), "extraction_method").alias("source_parser"),
         F.coalesce(F.nullif("source_chunker", F.lit("")), F.when(F.col("extraction_method") == "docling", "docling_hybrid_chunker").otherwise("semantic_chunker")).alias("source_chunker"),
         F.when(F.coalesce("title", F.lit("")) != "", F.array("title")).otherwise(F.array().cast("array<string>")).alias("section_path"),
-        "semantic_zone", X.zone_confidence(F.col("semantic_zone"), F.col("s.score")).alias("semantic_zone_confidence"), X.classification_signals(F.col("semantic_zone"), F.col("text")).alias("classification_signals"),
-        "llm_usage", F.col("s.score").alias("rule_signal_score"), F.col("s.signals").alias("rule_signals"), X.hits(F.lower("text"), V.RULE_KEYWORDS).alias("keywords"),
+        "semantic_zone", X.zone_confidence(F.col("semantic_zone"), F.col("score")).alias("semantic_zone_confidence"), X.classification_signals(F.col("semantic_zone"), F.col("text")).alias("classification_signals"),
+        "llm_usage", F.col("score").alias("rule_signal_score"), signals.alias("rule_signals"), X.hits(F.col("low"), V.RULE_KEYWORDS).alias("keywords"),
         F.col("headers").alias("table_headers"), F.when(F.size("headers") > 0, F.map_from_arrays(names, last)).alias("table_row"), "row_number", "strategy", X.token_estimate(F.col("text")).alias("token_estimate"), F.length("text").alias("character_count"),
     )
 
 
-def _numbered(found: DataFrame) -> DataFrame:
-    """Equal texts of a document folded into one, in the first one's place, and all numbered from 0."""
+def _numbered(found: DataFrame, columns: Sequence[str] | None) -> DataFrame:
+    """Equal texts of a document folded into one, in the first one's place, and all numbered from 0; ``columns`` are all that is asked for, if not null."""
+    if columns is not None:
+        needed = {"doc_id", "block_no", "ordinal", "text", "selected_extractor", "extraction_method", "quality_score", *columns}
+        found = found.select(*[c for c in found.columns if c in needed])
     item = F.struct("block_no", "ordinal", *[c for c in found.columns if c not in ("doc_id", "block_no", "ordinal")])
     # a chunk whose text is gone under the key has no place; rows are dealt by document already
     keyed = once(found, k=F.sha2(X.dedupe_key(F.col("text")), 256))
@@ -301,17 +310,18 @@ def _numbered(found: DataFrame) -> DataFrame:
     begin = F.struct(F.col("g")[0].alias("kept"), F.lit(None).cast("string").alias("lost"))
     folded = groups.select("doc_id", F.col("g")[0]["block_no"].alias("first_block"), F.col("g")[0]["ordinal"].alias("first_ordinal"), F.size("g").alias("copies"), F.aggregate(F.slice("g", 2, 2**30), begin, step).alias("f"))
     place = Window.partitionBy("doc_id").orderBy("first_block", "first_ordinal")
-    return folded.select(
+    numbered = folded.select(
         "doc_id",
         (F.row_number().over(place) - 1).alias("chunk_index"),
         F.col("f.kept.*"),
         F.when(F.col("copies") > 1, "kept_after_duplicate").otherwise("kept").alias("deduplication_status"),
         F.col("f.lost").alias("deduplicated_from"),
     ).drop("ordinal", "selected_extractor")
+    return numbered if columns is None else numbered.select(*columns)
 
 
-def chunk_blocks(blocks: DataFrame, keep_rejected: bool = False, send_medium: bool = False) -> DataFrame:
-    """The chunks of ``blocks`` (columns as in ``BLOCK``), numbered in each document in order of block_no.
+def chunk_blocks(blocks: DataFrame, keep_rejected: bool = False, send_medium: bool = False, columns: Sequence[str] | None = None) -> DataFrame:
+    """The chunks of ``blocks`` (columns as in ``BLOCK``), numbered in each document in order of block_no; ``columns`` of them, or all.
 
     Row blocks (``table_row``) are one chunk. Others are cleaned; labelled lines become a metadata chunk and leave the text; then
     each section gives its table rows, under the headers of the table before where a table has none of its own, and
@@ -323,7 +333,10 @@ def chunk_blocks(blocks: DataFrame, keep_rejected: bool = False, send_medium: bo
     * Texts of any length are read whole; an empty table gives no chunks; further columns aren't read.
     """
     own = [c.split()[0] for c in BLOCK.split(", ")]
-    ready = once(blocks.select(*own), text=clean(F.col("text"))).where("text <> ''")
+    # few bytes are much work, so they are dealt to as many tasks as shuffles have, which are not merged by their size
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = blocks.select(*own).repartition(tasks, "doc_id", "block_no")
+    ready = once(dealt, text=clean(F.col("text"))).where("text <> ''")
     is_row = F.coalesce(F.col("block_type") == "table_row", F.lit(False))
     even = (F.size("headers") > 0) & (F.size("headers") == F.size("values"))
     told = F.array_join(F.zip_with("headers", "values", lambda h, v: F.concat(h, F.lit(": "), v)), " | ")
@@ -333,7 +346,7 @@ def chunk_blocks(blocks: DataFrame, keep_rejected: bool = False, send_medium: bo
     judged = _judged(_pieces(_units(_seeds(once(marked, rest=rest).drop("block_type")))), keep_rejected, send_medium)
     others = F.count_if(F.col("strategy") != "single_block").over(Window.partitionBy("doc_id", "block_no"))
     settled = judged.repartition("doc_id").withColumn("others", others).where("strategy <> 'single_block' or others = 0").drop("others")
-    return _numbered(settled)
+    return _numbered(settled, columns)
 
 
 #: Texts about customers' orders as technical documents have them: labels, headings, tables with and without headers of their own, rules.
@@ -402,21 +415,20 @@ s AS (SELECT doc_id, CAST(place AS INTEGER) AS chunk_index, chunk_type, semantic
 SELECT * EXCLUDE (score), score AS rule_signal_score, CASE WHEN chunk_type = 'document_metadata' THEN 'global_context' WHEN chunk_type = 'overview' THEN 'background_context' WHEN chunk_type IN ('minimum_version_requirement', 'unsupported_configuration', 'component_table_row', 'fixed_issue')
  THEN CASE WHEN {SQL_LEVEL} IN ('high', 'medium') THEN 'rule_extraction' ELSE 'evidence_only' END WHEN {SQL_LEVEL} = 'high' THEN 'rule_extraction' WHEN {SQL_LEVEL} = 'low' THEN 'evidence_only' ELSE 'ignore' END AS llm_usage FROM s""")
 def chunks_of_notes(spark: SparkSession, sf: str) -> DataFrame:
-    found = chunk_blocks(notes(spark, sf))
-    return found.select("doc_id", "chunk_index", "chunk_type", "semantic_zone", "section_title", "text", "row_number", "rule_signal_score", "llm_usage")
+    return chunk_blocks(notes(spark, sf), columns=("doc_id", "chunk_index", "chunk_type", "semantic_zone", "section_title", "text", "row_number", "rule_signal_score", "llm_usage"))
 
 
 @query("chunked_tables", f"""{_SQL_NOTES} SELECT doc_id, count(*) AS rows, count(*) FILTER (row_number = 1) AS tables, max(text) AS last FROM p WHERE chunk_type = 'component_table_row' GROUP BY doc_id""")
 def chunked_tables(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of tables, of which the second has the first one's headers."""
-    found = chunk_blocks(notes(spark, sf)).where("chunk_type = 'component_table_row'")
+    found = chunk_blocks(notes(spark, sf), columns=("doc_id", "chunk_type", "text", "row_number")).where("chunk_type = 'component_table_row'")
     return found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_if(F.col("row_number") == 1).alias("tables"), F.max("text").alias("last"))
 
 
 @query("markdown_tables", f"""{_SQL_NOTES} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS row_no, text AS row FROM p WHERE chunk_type = 'component_table_row'""")
 def markdown_tables(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of Markdown tables in order, as ``header: value | header: value``."""
-    rows = chunk_blocks(notes(spark, sf)).where("chunk_type = 'component_table_row'")
+    rows = chunk_blocks(notes(spark, sf), columns=("doc_id", "chunk_index", "chunk_type", "text")).where("chunk_type = 'component_table_row'")
     place = Window.partitionBy("doc_id").orderBy("chunk_index")  # the chunks of one document
     return rows.select("doc_id", F.row_number().over(place).cast("long").alias("row_no"), F.col("text").alias("row"))
 
@@ -438,4 +450,4 @@ def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", F.lit(0).alias("block_no"), F.lit(1).alias("page_number"), F.lit("text").alias("block_type"), null("string").alias("section_title"), "text", F.lit("text").alias("extraction_method"), F.lit(0.9).alias("quality_score"),
         null("string").alias("selected_extractor"), null("string").alias("source_parser"), null("string").alias("source_chunker"), null("array<string>").alias("headers"), null("array<string>").alias("values"), null("int").alias("row_number"),
     )
-    return chunk_blocks(docs).select("doc_id", "chunk_index", "chunk_type", "semantic_zone", "text", "llm_usage", "deduplication_status")
+    return chunk_blocks(docs, columns=("doc_id", "chunk_index", "chunk_type", "semantic_zone", "text", "llm_usage", "deduplication_status"))
